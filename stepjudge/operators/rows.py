@@ -128,7 +128,11 @@ def to_wide(df: DataFrame, by: Sequence[str], values: Sequence[str], idx: str =
     group, so it is used where the reference's output format is one row per problem)."""
     packed = F.array_sort(F.collect_list(F.struct(F.col(idx).alias("_i"), *[F.col(v) for v in values])))
     g = df.groupBy(*by).agg(packed.alias("_p"))
-    return g.select(*by, *[F.transform("_p", lambda x, v=v: x[v]).alias(v) for v in values])
+    return g.select(*by, *[F.transform("_p", _field(v)).alias(v) for v in values])
+
+
+def _field(name: str):
+    return lambda x: x[name]
 
 
 # ------------------------------------------------------------------------------- L: sort, sample
