@@ -76,7 +76,7 @@ def drop_empty(df: DataFrame, col: str) -> DataFrame:
 
 def replicate(df: DataFrame, n: int, col: str = "sample_idx") -> DataFrame:
     """Repeat every row ``n`` times, numbered 0..n-1."""
-    return df.withColumn(col, F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1))).cast("bigint"))
+    return df.withColumn(col, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(n) - 1).cast("bigint"))))
 
 
 # ------------------------------------------------------------------------------- B7: assertions
