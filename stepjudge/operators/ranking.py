@@ -2,7 +2,8 @@
 
 A plain ``row_number() OVER (PARTITION BY g ORDER BY o)`` sends every row of a group to one task.
 If one group holds a third of the table, that task holds a third of the table. The helpers here
-split groups instead:
+measure the groups first (one partial aggregation) and keep small groups on the plain window;
+hot groups are split instead:
 
 1. range-partition on ``(g, o)`` with an explicit partition count, so a hot group is cut into many
    contiguous, ordered slices, and checkpoint the sliced table (range bounds are sampled per
@@ -36,20 +37,25 @@ def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Col
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str | Column],
-    aggs: dict[str, tuple[str, str | Column | None]],
-    slices: int | None = None,
-) -> DataFrame:
-    """Add inclusive running aggregates per group in ``order`` (a total order is expected).
+# A group with more rows than this is "hot": it is cut into range slices instead of being
+# numbered by one window task. Smaller groups stay on the plain window (bounded per task).
+HOT_GROUP_ROWS = 2_000_000
 
-    ``aggs`` maps an output name to ``(op, column)`` with op in ``count``, ``sum``, ``max``, ``min``.
-    """
-    keys = list(keys)
-    order_cols = _cols(order)
-    n = slices or shuffle_partitions(df.sparkSession)
+_OPS = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}
+
+
+def _window_running(df: DataFrame, keys: Sequence[str], order_cols: list[Column],
+                    aggs: dict[str, tuple[str, str | Column | None]]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df
+    for name, (op, col) in aggs.items():
+        c = F.lit(1) if op == "count" else (F.col(col) if isinstance(col, str) else col)
+        out = out.withColumn(name, _OPS[op](c).over(w))
+    return out
+
+
+def _sliced_running(df: DataFrame, keys: Sequence[str], order_cols: list[Column],
+                    aggs: dict[str, tuple[str, str | Column | None]], n: int) -> DataFrame:
     # The slice id must be the same for every consumer below. Range bounds are sampled per
     # exchange (and depend on the columns it carries), so the sliced table is materialised once
     # in the shared checkpoint folder: one set of bounds, and a lineage cut that survives a lost
@@ -67,9 +73,8 @@ def running(
     tot_exprs = []
     for name, (op, col) in aggs.items():
         c = F.lit(1) if op == "count" else (F.col(col) if isinstance(col, str) else col)
-        fn = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}[op]
-        local = local.withColumn(f"_sj_l_{name}", fn(c).over(w_local))
-        tot_exprs.append(fn(c).alias(f"_sj_t_{name}"))
+        local = local.withColumn(f"_sj_l_{name}", _OPS[op](c).over(w_local))
+        tot_exprs.append(_OPS[op](c).alias(f"_sj_t_{name}"))
     totals = local.groupBy(_P, *keys).agg(*tot_exprs, F.count(F.lit(1)).alias("_sj_rows"))
     w_prev = Window.partitionBy(*keys).orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals
@@ -104,14 +109,50 @@ def running(
     return out.drop(*drop)
 
 
+def running(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    aggs: dict[str, tuple[str, str | Column | None]],
+    slices: int | None = None,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Add inclusive running aggregates per group in ``order`` (a total order is expected).
+
+    ``aggs`` maps an output name to ``(op, column)`` with op in ``count``, ``sum``, ``max``, ``min``.
+    One aggregate job measures the groups first. Groups of at most ``hot_rows`` rows use the plain
+    window; larger ("hot") groups — at most total / ``hot_rows`` keys, so the key list is a bounded
+    broadcast — are cut into range slices with carried totals. The two parts are disjoint and are
+    unioned.
+    """
+    keys = list(keys)
+    order_cols = _cols(order)
+    n = slices or shuffle_partitions(df.sparkSession)
+    limit = HOT_GROUP_ROWS if hot_rows is None else hot_rows
+    if not keys:
+        total = df.count()
+        if total <= limit:
+            return _window_running(df, keys, order_cols, aggs)
+        return _sliced_running(df, keys, order_cols, aggs, n)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sj_n"))
+    biggest = sizes.agg(F.max("_sj_n")).first()[0] or 0
+    if biggest <= limit:
+        return _window_running(df, keys, order_cols, aggs)
+    hot = F.broadcast(sizes.filter(F.col("_sj_n") > limit).select(*keys))
+    cold = df.join(hot, keys, "left_anti")
+    warm = df.join(hot, keys, "left_semi")
+    return _window_running(cold, keys, order_cols, aggs).unionByName(_sliced_running(warm, keys, order_cols, aggs, n))
+
+
 def number_within(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rn", base: int = 1
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rn", base: int = 1,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Row number per group (``base``-based) in a total ``order``; skew-safe (see module doc).
+    """Row number per group (``base``-based) in a total ``order``; skew-safe (see ``running``).
 
-    ``keys=[]`` numbers the whole table without a single-partition window.
+    ``keys=[]`` numbers the whole table; above ``hot_rows`` rows without a single-partition window.
     """
-    out = running(df, keys, order, {name: ("count", None)})
+    out = running(df, keys, order, {name: ("count", None)}, hot_rows=hot_rows)
     if base != 1:
         out = out.withColumn(name, F.col(name) + F.lit(base - 1))
     return out.withColumn(name, F.col(name).cast("bigint"))

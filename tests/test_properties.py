@@ -59,7 +59,7 @@ def test_numbering_with_a_hot_key(spark):
     """A key holding a third of all rows is split across slices and still numbered exactly."""
     n = 30000
     df = spark.range(n).withColumn("g", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97 + 1))
-    got = RK.number_within(df, ["g"], ["id"], "rn")
+    got = RK.number_within(df, ["g"], ["id"], "rn", hot_rows=1000)  # group 0 is hot, the rest are not
     exp = df.withColumn("rn2", F.row_number().over(Window.partitionBy("g").orderBy("id")))
     j = got.join(exp, ["id", "g"])
     assert j.count() == n and j.filter("rn != rn2").count() == 0
@@ -79,7 +79,7 @@ def test_same_result_for_1_and_8_partitions(spark):
 
 def test_running_max_matches_window(spark):
     df = spark.range(5000).withColumn("v", (F.col("id") * 7919) % 1000)
-    got = RK.running(df, [], ["id"], {"m": ("max", "v")})
+    got = RK.running(df, [], ["id"], {"m": ("max", "v")}, hot_rows=100)  # force range slices
     exp = df.withColumn("m2", F.max("v").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)))
     assert got.join(exp, "id").filter("m != m2").count() == 0
 
@@ -108,3 +108,11 @@ def test_kendall_matches_pairs(spark):
     tx = sum(1 for a, b in pairs if a[1] == b[1] and a[2] != b[2])
     ty = sum(1 for a, b in pairs if a[2] == b[2] and a[1] != b[1])
     assert abs(tau - (nc - nd) / ((nc + nd + tx) * (nc + nd + ty)) ** 0.5) < 1e-12
+
+
+def test_sliced_numbering_matches_window_on_fixture(spark):
+    """The hot-group path (forced with a tiny bound) gives the plain window's numbers."""
+    li = X.table(spark, SF_SMALL, "lineitem").select("l_orderkey", *X.LINE_ORDER)
+    a = RK.number_within(li, ["l_orderkey"], X.LINE_ORDER, "rn", hot_rows=3)
+    b = RK.number_within(li, ["l_orderkey"], X.LINE_ORDER, "rn")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
