@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stepjudge.operators.ranking import running
 from stepjudge.operators.votes import sweep, vote_sweep
+from stepjudge.session import checkpoint_dir
 
 
 def _c(x: str | Column) -> Column:
@@ -235,10 +236,16 @@ def calibration_report(df: DataFrame, conf: str = "conf", correct: str = "correc
 # ------------------------------------------------------------------------------------ correlation
 
 
-def _rank_stats(df: DataFrame, by: Sequence[str], x: str, y: Column) -> DataFrame:
+def rank_cells(df: DataFrame, by: Sequence[str], x: str, y: Column) -> DataFrame:
+    """Counts per (group, x, y) — the only input the rank statistics need. Checkpointed once so
+    the size checks and running sums below read it instead of recomputing the upstream plan."""
+    checkpoint_dir(df.sparkSession)
+    return df.groupBy(*by, F.col(x).alias("_x"), y.alias("_y")).agg(F.count(F.lit(1)).alias("_c")).checkpoint(eager=True)
+
+
+def _rank_stats(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per (group, x, y) counts with tie-averaged ranks of x and of y inside the group."""
     by = list(by)
-    cells = df.groupBy(*by, F.col(x).alias("_x"), y.alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
     xs = cells.groupBy(*by, "_x").agg(F.sum("_c").alias("_cx"))
     xs = running(xs, by, ["_x"], {"_cum_x": ("sum", "_cx")})
     xs = xs.withColumn("_rx", F.col("_cum_x") - F.col("_cx") + (F.col("_cx") + 1) / 2.0)
@@ -248,9 +255,8 @@ def _rank_stats(df: DataFrame, by: Sequence[str], x: str, y: Column) -> DataFram
     return cells.join(xs, [*by, "_x"]).join(ys, [*by, "_y"])
 
 
-def spearman(df: DataFrame, by: Sequence[str], x: str, y: Column) -> DataFrame:
-    """Spearman rho per group (Pearson of tie-averaged ranks); NULL for a constant group."""
-    r = _rank_stats(df, by, x, y)
+def _spearman_from_cells(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    r = _rank_stats(cells, by)
     c = F.col("_c")
     g = r.groupBy(*by).agg(
         F.sum(c).alias("n"), F.sum(c * F.col("_rx")).alias("sx"), F.sum(c * F.col("_ry")).alias("sy"),
@@ -265,15 +271,16 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: Column) -> DataFrame:
     return g.select(*by, rho.alias("spearman"))
 
 
-def kendall_binary(df: DataFrame, by: Sequence[str], x: str, y: Column) -> DataFrame:
-    """Kendall tau-b per group for a binary ``y`` (correct / not) — from counts, no pairs.
+def spearman(df: DataFrame, by: Sequence[str], x: str, y: Column) -> DataFrame:
+    """Spearman rho per group (Pearson of tie-averaged ranks); NULL for a constant group."""
+    return _spearman_from_cells(rank_cells(df, by, x, y), by)
 
-    nc - nd = sum over positives of (negatives with smaller x - negatives with larger x);
-    tau_b = (nc - nd) / sqrt((n0 - n1)(n0 - n2)) with tie corrections n1 (x) and n2 (y).
-    """
+
+def _kendall_from_cells(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     by = list(by)
-    yy = y.cast("double") > 0
-    per = df.groupBy(*by, F.col(x).alias("_x")).agg(F.count_if(yy).alias("_pos"), F.count_if(~yy).alias("_neg"))
+    yy = F.col("_y").cast("double") > 0
+    per = cells.groupBy(*by, "_x").agg(F.sum(F.when(yy, F.col("_c")).otherwise(0)).alias("_pos"),
+                                       F.sum(F.when(~yy, F.col("_c")).otherwise(0)).alias("_neg"))
     rs = running(per, by, ["_x"], {"_neg_le": ("sum", "_neg")})
     g = rs.groupBy(*by).agg(
         F.sum("_pos").alias("P"), F.sum("_neg").alias("N"),
@@ -290,10 +297,21 @@ def kendall_binary(df: DataFrame, by: Sequence[str], x: str, y: Column) -> DataF
     return g.select(*by, tau.alias("kendall"))
 
 
+def kendall_binary(df: DataFrame, by: Sequence[str], x: str, y: Column) -> DataFrame:
+    """Kendall tau-b per group for a binary ``y`` (correct / not) — from counts, no pairs.
+
+    nc - nd = sum over positives of (negatives with smaller x - negatives with larger x);
+    tau_b = (nc - nd) / sqrt((n0 - n1)(n0 - n2)) with tie corrections n1 (x) and n2 (y).
+    """
+    return _kendall_from_cells(rank_cells(df, by, x, y), by)
+
+
 def correlation_report(df: DataFrame, by: Sequence[str], x: str, y: Column) -> DataFrame:
-    """Mean Spearman and Kendall over groups; constant groups are skipped and counted."""
-    s = spearman(df, by, x, y)
-    k = kendall_binary(df, by, x, y)
+    """Mean Spearman and Kendall over groups; constant groups are skipped and counted.
+    Both statistics come from one checkpointed count table."""
+    cells = rank_cells(df, by, x, y)
+    s = _spearman_from_cells(cells, by)
+    k = _kendall_from_cells(cells, by)
     j = s.join(k, list(by), "full")
     return j.agg(
         F.avg("spearman").alias("spearman"), F.avg("kendall").alias("kendall"),

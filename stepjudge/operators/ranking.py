@@ -41,6 +41,9 @@ def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Col
 # numbered by one window task. Smaller groups stay on the plain window (bounded per task).
 HOT_GROUP_ROWS = 2_000_000
 
+# largest group size per (plan, keys), measured once per session
+_LARGEST_GROUP: dict[tuple[int, tuple[str, ...]], int] = {}
+
 _OPS = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -135,7 +138,10 @@ def running(
             return _window_running(df, keys, order_cols, aggs)
         return _sliced_running(df, keys, order_cols, aggs, n)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sj_n"))
-    biggest = sizes.agg(F.max("_sj_n")).first()[0] or 0
+    memo = (df.semanticHash(), tuple(keys))
+    if memo not in _LARGEST_GROUP:
+        _LARGEST_GROUP[memo] = sizes.agg(F.max("_sj_n")).first()[0] or 0
+    biggest = _LARGEST_GROUP[memo]
     if biggest <= limit:
         return _window_running(df, keys, order_cols, aggs)
     hot = F.broadcast(sizes.filter(F.col("_sj_n") > limit).select(*keys))

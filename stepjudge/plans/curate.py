@@ -15,11 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepjudge.functions import verdicts as VD
-from stepjudge.operators.ranking import number_within
+from stepjudge.operators.ranking import top_k_within
+from stepjudge.session import shuffle_partitions
 from stepjudge.operators.rows import balance, hash_unit, random_cut, sample_fraction, to_wide
 from stepjudge.operators.steps import solution_summary
 
@@ -39,14 +40,20 @@ def repaired_labels(n_steps: Column, last_plus: Column) -> Column:
 
 
 def _cap(df: DataFrame, cap: int | None, order: str = "gen_idx") -> DataFrame:
-    """At most ``cap`` accepted chains per solution, in generation order (skew-safe numbering)."""
+    """At most ``cap`` accepted chains per solution, in generation order; the rest are marked
+    ``over_cap``. Two levels, so a solution with a huge number of chains is never one task: rank
+    inside (solution, salt) buckets first — a row past ``cap`` in its own bucket is over the cap —
+    then rank the few survivors per solution."""
     if cap is None:
         return df
-    acc = df.filter(F.col("reject_reason").isNull())
+    s = shuffle_partitions(df.sparkSession)
+    acc = df.filter(F.col("reject_reason").isNull()).withColumn("_salt", F.pmod(F.xxhash64("problem_id", order), F.lit(s)))
     rej = df.filter(F.col("reject_reason").isNotNull())
-    ranked = number_within(acc, ["problem_id"], [order], "_cap_rank")
-    ranked = ranked.withColumn("reject_reason", F.when(F.col("_cap_rank") > cap, F.lit("over_cap"))).drop("_cap_rank")
-    return ranked.unionByName(rej)
+    r1 = acc.withColumn("_r1", F.row_number().over(Window.partitionBy("problem_id", "_salt").orderBy(order)))
+    out_bucket = r1.filter(F.col("_r1") > cap).withColumn("reject_reason", F.lit("over_cap"))
+    head = r1.filter(F.col("_r1") <= cap).withColumn("_r2", F.row_number().over(Window.partitionBy("problem_id").orderBy(order)))
+    head = head.withColumn("reject_reason", F.when(F.col("_r2") > cap, F.lit("over_cap"))).drop("_r2")
+    return head.unionByName(out_bucket).drop("_salt", "_r1").unionByName(rej)
 
 
 def curate_line_chains(steps: DataFrame, generations: DataFrame, text: str = "text",
@@ -168,8 +175,10 @@ def preference_pairs(steps: DataFrame, generations: DataFrame, text: str = "text
     j = j.withColumn("_dec", dec).withColumn(
         "cot", F.array_join(VD.pad_after_error(F.col(text), F.col("n_keep"), F.col("n_steps")), "\n"))
     j = j.withColumn("_diff", VD.mismatches_through(F.col("_dec"), F.col("n_keep"), F.col("last_plus")))
-    chosen = number_within(j.filter(F.col("_diff") == 0), ["problem_id"], ["gen_idx"], "rank")
-    rejected = number_within(j.filter(F.col("_diff") > 0), ["problem_id"], [F.col("_diff").desc(), F.col("gen_idx")], "rank")
+    chosen = top_k_within(j.filter(F.col("_diff") == 0), ["problem_id"], [F.col("gen_idx")], k, "rank",
+                          salt_cols=["problem_id", "gen_idx"])
+    rejected = top_k_within(j.filter(F.col("_diff") > 0), ["problem_id"], [F.col("_diff").desc(), F.col("gen_idx")], k, "rank",
+                            salt_cols=["problem_id", "gen_idx"])
     c = chosen.filter(F.col("rank") <= k).select("problem_id", "rank", "solution", "solution_steps",
                                                   F.col("gen_idx").alias("chosen_gen"), F.col("cot").alias("chosen_cot"))
     r = rejected.filter(F.col("rank") <= k).select("problem_id", "rank", F.col("gen_idx").alias("rejected_gen"),

@@ -36,17 +36,15 @@ def get_spark(master: str | None = None, partitions: int | None = None, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset (tests, local runs)
-    a fresh scratch folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``; it is read from the session and used as is.
+    Only when it is unset (tests, local runs) a scratch folder is taken for this context.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="stepjudge-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 

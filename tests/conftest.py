@@ -23,8 +23,9 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="stepjudge-test-ckpt-"))
+    from stepjudge.session import checkpoint_dir
+
+    checkpoint_dir(s)  # the session's spark.checkpoint.dir, or a scratch folder when unset
     yield s
     s.stop()
 
