@@ -173,12 +173,15 @@ def q_key_accuracy(spark, sf):
 
 
 @query("difficulty_level", with_views("""
-WITH p AS (SELECT problem_id, avg(CAST(score AS DOUBLE)) AS m FROM cand GROUP BY problem_id),
+WITH p AS (SELECT problem_id, CAST(sum(CAST(score * 1000000 AS BIGINT)) AS DOUBLE) / count(*) AS m FROM cand GROUP BY problem_id),
 q AS (SELECT quantile_cont(m, [0.2, 0.4, 0.6, 0.8]) AS q FROM p)
 SELECT CASE WHEN m < q[1] THEN 5 WHEN m < q[2] THEN 4 WHEN m < q[3] THEN 3 WHEN m < q[4] THEN 2 ELSE 1 END AS level,
   count(*) AS problems FROM p, q GROUP BY level""", "cand"))
 def q_difficulty_level(spark, sf):
-    p = X.cand(spark, sf).groupBy("problem_id").agg(F.avg(F.col("score").cast("double")).alias("m"))
+    # exact integer sum, one division: the mean is bit-identical however the sum is ordered,
+    # so comparisons against the cut points cannot flip
+    p = X.cand(spark, sf).groupBy("problem_id").agg(
+        (F.sum((F.col("score") * 1000000).cast("bigint")).cast("double") / F.count(F.lit(1))).alias("m"))
     cuts = M.quintiles(p, "m")
     lv = p.withColumn("level", M.difficulty_level("m", cuts).cast("bigint"))
     return lv.groupBy("level").agg(F.count(F.lit(1)).alias("problems"))
