@@ -143,3 +143,24 @@ def test_pad_after_error_and_cut(spark):
     df2 = spark.createDataFrame([(boxed,)], "t string")
     assert df2.select(VD.cut_after_kth_verdict(F.col("t"), F.lit(2)).alias("c")).first().c == "x \\boxed{correct}\ny\nz \\boxed{incorrect}"
     assert df2.select(VD.truncate_after_last_verdict(F.col("t")).alias("c")).first().c == "x \\boxed{correct}\ny\nz \\boxed{incorrect}"
+
+
+def test_conform_and_typed(spark):
+    df = spark.createDataFrame([("x", "B", "The answer is (B)."), ("A,C", "AC", ""), ("7", "7", "")],
+                               "p string, g string, t string")
+    assert [r.c for r in df.select(A.conform_choice("p", "g", "t").alias("c")).collect()] == ["B", "AC", "7"]
+    d2 = spark.createDataFrame([("Yes it is",), ("so x = 12 cm",), ("(b) is it",), ("\\boxed{3}",)], "t string")
+    assert [r.a for r in d2.select(A.extract_typed_answer("t").alias("a")).collect()] == ["True", "12", "(b) is it", "3"]
+
+
+def test_rough_match_and_loose(spark):
+    df = spark.createDataFrame([("first 3\nso we get $12 apples", "12"), ("total: 5 + 7", "12"), ("x=12 at the end", "12")],
+                               "t string, g string")
+    assert [r.m for r in df.select(A.rough_match("t", "g").alias("m")).collect()] == [True, False, False]
+    d2 = spark.createDataFrame([("$1,000", "1000"), ("50%", "0.5"), ("abc", "1")], "a string, b string")
+    assert [r.c for r in d2.select(A.loose_numbers_close("a", "b").alias("c")).collect()] == [True, True, False]
+
+
+def test_clean_expression(spark):
+    df = spark.createDataFrame([("2**3 * x",), ("\\dfrac12",), ("sqrt(16)",)], "t string")
+    assert [r.c for r in df.select(A.clean_expression("t").alias("c")).collect()] == ["2^3 \\times  x", "\\frac{1}{2}", "\\sqrt{16}"]
