@@ -100,3 +100,25 @@ def q_chat_text(spark, sf):
     c = X.table(spark, sf, "conversations")
     t = P.chat_text(c, ["conv_id"], "turn", "role", "text")
     return t.select("conv_id", "n_turns", F.length("chat").cast("bigint").alias("n_chars"), F.md5("chat").alias("digest"))
+
+
+@query("rough_match", r"""
+WITH l AS (SELECT doc_id, CAST(n_chars % 10 AS DOUBLE) AS gold, string_split(text, chr(10)) AS al,
+                  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[0-9]')) AS dl FROM documents),
+w AS (SELECT doc_id, gold, list_filter(regexp_split_to_array(trim(COALESCE(dl[-1], al[1])), '\s+'), lambda x: x <> '') AS ws FROM l),
+v AS (SELECT doc_id, gold, ws, list_transform(ws, lambda x: replace(replace(replace(x, '$', ''), ',', ''), '$', '')) AS cl FROM w)
+SELECT doc_id, COALESCE(list_bool_or(list_transform(ws, lambda x, i:
+    NOT (i > 1 AND list_contains(['+', '-', '*', '/', '^'], ws[i - 1]))
+    AND NOT (i < len(ws) AND list_contains(['+', '-', '*', '/', '^'], ws[i + 1]))
+    AND regexp_matches(x, '[0-9]')
+    AND COALESCE(abs(CASE WHEN ends_with(cl[i], '%')
+                          THEN CASE WHEN regexp_full_match(rtrim(cl[i], '%'), '\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*')
+                                    THEN CAST(rtrim(cl[i], '%') AS DOUBLE) / 100 END
+                          WHEN regexp_full_match(cl[i], '\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*')
+                          THEN CAST(cl[i] AS DOUBLE) END - gold) < 1e-3, FALSE)
+    AND NOT contains(substr(x, i), '='))), FALSE) AS matched
+FROM v""")
+def q_rough_match(spark, sf):
+    """H29 (+H25): does the last line with a digit state the gold number (n_chars mod 10)?"""
+    d = X.table(spark, sf, "documents")
+    return d.select("doc_id", A.rough_match(F.col("text"), (F.col("n_chars") % 10).cast("string")).alias("matched"))

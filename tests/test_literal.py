@@ -164,3 +164,12 @@ def test_rough_match_and_loose(spark):
 def test_clean_expression(spark):
     df = spark.createDataFrame([("2**3 * x",), ("\\dfrac12",), ("sqrt(16)",)], "t string")
     assert [r.c for r in df.select(A.clean_expression("t").alias("c")).collect()] == ["2^3 \\times  x", "\\frac{1}{2}", "\\sqrt{16}"]
+
+
+def test_programs_and_lines_after(spark):
+    trace = ("a\n```python\nimport math\nprint(1)\n```\n```output\nTraceback: boom\n```\n"
+             "b\n```python\nx = 2\nprint(x)\n```\n```output\n2\n```")
+    df = spark.createDataFrame([(trace, "[action] go\nnext\n[action] stop\nlast")], "t string, a string")
+    r = df.select(A.programs("t").alias("p"), A.lines_after("a").alias("l")).first()
+    assert r.p == "import math\nx = 2\nprint(x)\n"
+    assert r.l == ["next", "last"]
