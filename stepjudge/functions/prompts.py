@@ -122,8 +122,9 @@ def rewrite_answer_phrase(col: str | Column) -> Column:
 
 
 def attach_demos(df: DataFrame, demos: DataFrame, key: str, k: int, aliases: Mapping[str, str] | None = None) -> DataFrame:
-    """The first k demonstrations of a benchmark (demo table ``key, idx, input, output``),
-    joined as one text. The demo table is tiny and fixed per benchmark; AQE broadcasts it."""
+    """The first k demonstrations of a benchmark (demo table ``key, idx, input, output``) as
+    ARRAY<STRUCT<input, output>> per row (at most k per benchmark: a bounded table AQE broadcasts);
+    benchmark aliases map several names to one demo list."""
     d = demos
     if aliases:
         m = F.create_map(*[e for a, b in aliases.items() for e in (F.lit(a), F.lit(b))])
@@ -131,6 +132,79 @@ def attach_demos(df: DataFrame, demos: DataFrame, key: str, k: int, aliases: Map
     else:
         df = df.withColumn("_demo_key", F.col(key))
     first = d.filter(F.col("idx") < k).groupBy(F.col(key).alias("_demo_key")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.concat("input", F.lit("\n"), "output").alias("t")))),
-                                 lambda x: x["t"]), "\n\n").alias("demos"))
+        F.transform(F.array_sort(F.collect_list(F.struct("idx", "input", "output"))),
+                    lambda x: F.struct(x["input"].alias("input"), x["output"].alias("output"))).alias("demos"))
     return df.join(first, "_demo_key", "left").drop("_demo_key")
+
+
+# ---- fixed values that must equal the reference's: few-shot templates (input, output, splitter) ----
+FEW_SHOT_TEMPLATES: dict[str, tuple[str, ...]] = {
+    "direct": ("Question: {input}\nAnswer: ", "{output}", "\n\n"),
+    "cot": ("Question: {input}\nAnswer: ", "{output}", "\n\n\n"),
+    "pal": ("Question: {input}\n\n", "{output}", "\n---\n"),
+    "tool-integrated": ("Question: {input}\n\nSolution:\n", "{output}", "\n---\n"),
+    "self-instruct": ("<|user|>\n{input}\n<|assistant|>\n", "{output}", "\n"),
+    "tora": ("<|user|>\n{input}\n<|assistant|>\n", "{output}", "\n"),
+    "wizard_zs": ("### Instruction:\n{input}\n\n### Response: Let's think step by step.", "{output}", "\n\n\n"),
+    "platypus_fs": ("### Instruction:\n{input}\n\n### Response:\n", "{output}", "\n\n\n"),
+    "deepseek-math": ("User: {input}\nPlease reason step by step, and put your final answer within \\boxed{}.\n\nAssistant:",
+                      "{output}", "\n\n\n"),
+    "kpmath": ('User: Please reason step by step and put your final answer at the end with "The answer is: ".\n\n{input}\n\nAssistant:',
+               "{output}"),
+    "jiuzhang": ("## Question\n{input}\n\n## Solution\n", "{output}", "\n\n\n"),
+    "jiuzhang_tora": ("## Question\n{input}\n\n## Code Solution\n", "{output}", "\n\n\n"),
+    "jiuzhang_nl": ("## Question\n{input}\n\n## Natural Language Solution\n", "{output}", "\n\n\n"),
+    "mmiqc": ('Please solve the following problem and put your answer at the end with "The answer is: ".\n\n{input}\n\n',
+              "{output}", "\n\n\n"),
+    "abel": ("Question:\n{input}\nAnswer:\nLet's think step by step.\n", "{output}", "\n\n"),
+    "shepherd": ("{input}\n", "{output}", "\n\n\n"),
+    "qwen-boxed": ("<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n<|im_start|>user\n{input}\nPlease reason step by "
+                   "step, and put your final answer within \\boxed{}.<|im_end|>\n<|im_start|>assistant\n", "{output}", "\n\n"),
+    "qwen25-math-cot": ("<|im_start|>system\nPlease reason step by step, and put your final answer within \\boxed{}.<|im_end|>\n"
+                        "<|im_start|>user\n{input}<|im_end|>\n<|im_start|>assistant\n", "{output}", "\n\n"),
+    "mathstral": ("{input}\nPlease reason step by step, and put your final answer within \\boxed{}.", "{output}", "\n\n"),
+    "internlm-math-fs": ("Question:{input}\nAnswer:", "{output}", "\n"),
+    "internlm-math-chat": ("<|im_start|>user\n{input}<|im_end|>\n<|im_start|>assistant\n", "{output}", "\n\n"),
+    "mistral": ("[INST] {input}[/INST]", "{output}", "\n\n"),
+    "numina": ("### Problem: {input}\n### Solution:", " {output}", "\n\n"),
+}
+PLATYPUS_WRAPPER = ("Below is an instruction that describes a task. Write a response that appropriately completes the "
+                    "request.\n\n### Instruction:\n{instruction}\n\n### Response:\n")
+TOOL_PREAMBLE = (
+    "Integrate step-by-step reasoning and Python code to solve math problems using the following guidelines:\n\n"
+    "- Analyze the question and write functions to solve the problem; the function should not take any arguments.\n"
+    "- Present the final result in LaTeX using a `\\boxed{}` without any units.\n"
+    "- Utilize the `pi` symbol and `Rational`` from Sympy for $\\pi$ and fractions, and simplify all fractions and square "
+    "roots without converting them to decimal values.\n\nHere are some examples you may refer to:\n\n---\n\n"
+)
+# ------------------------------------------------------------------------------------------------------
+
+
+def _fill(template: str, key: str, value: Column) -> Column:
+    return F.replace(F.lit(template), F.lit("{" + key + "}"), value)
+
+
+def few_shot_prompt(question: str | Column, demos: str | Column, template: str) -> Column:
+    """P5: the few-shot prompt for one template — demonstrations (ARRAY<STRUCT<input, output>>)
+    rendered and joined by the template's splitter, then the question; no demos → the question
+    alone; the instruction wrapper (``platypus_fs``) and the tool preamble (``tora``,
+    ``tool-integrated``) applied; outer spaces stripped."""
+    if template not in FEW_SHOT_TEMPLATES:
+        raise ValueError(f"unknown prompt template {template!r}")
+    parts = FEW_SHOT_TEMPLATES[template]
+    if len(parts) < 3:
+        raise ValueError(f"prompt template {template!r} has no splitter")
+    inp, out, sep = parts
+    q, d = _c(question), _c(demos)
+    if template == "qwen25-math-cot":
+        demo_text = F.array_join(F.transform(d, lambda x: F.concat(x["input"], F.lit("\n"), x["output"])), sep)
+        with_demos = _fill(inp, "input", F.concat(demo_text, F.lit(sep), q))
+    else:
+        demo_text = F.array_join(F.transform(d, lambda x: F.concat(_fill(inp, "input", x["input"]), _fill(out, "output", x["output"]))), sep)
+        with_demos = F.concat(demo_text, F.lit(sep), _fill(inp, "input", q))
+    full = F.when(F.coalesce(F.length(demo_text), F.lit(0)) == 0, _fill(inp, "input", q)).otherwise(with_demos)
+    if template == "platypus_fs":
+        full = _fill(PLATYPUS_WRAPPER, "instruction", full)
+    if template in ("tora", "tool-integrated"):
+        full = F.concat(F.lit(TOOL_PREAMBLE), full)
+    return F.regexp_replace(full, r"^ +| +$", "")

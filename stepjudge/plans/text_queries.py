@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stepjudge.functions import answers as A
 from stepjudge.functions import prompts as P
 from stepjudge.plans.registry import query
+from stepjudge.operators.ranking import number_within
 from stepjudge.sources import fixtures as X
 
 _DOC_PRED_SQL = """
@@ -122,3 +123,23 @@ def q_rough_match(spark, sf):
     """H29 (+H25): does the last line with a digit state the gold number (n_chars mod 10)?"""
     d = X.table(spark, sf, "documents")
     return d.select("doc_id", A.rough_match(F.col("text"), (F.col("n_chars") % 10).cast("string")).alias("matched"))
+
+
+@query("few_shot_prompt", r"""
+WITH b AS (SELECT item_id, text, replace(trim(split_part(text, '####', -1)), ',', '') AS gold FROM benchmark),
+demo AS (SELECT string_agg('Question: ' || text || chr(10) || 'Answer: ' || gold, chr(10) || chr(10) || chr(10) ORDER BY item_id) AS dp
+         FROM (SELECT * FROM b ORDER BY item_id LIMIT 2))
+SELECT item_id, CAST(length(p) AS BIGINT) AS n_chars, md5(p) AS digest FROM
+ (SELECT item_id, regexp_replace(demo.dp || chr(10) || chr(10) || chr(10) || 'Question: ' || b.text || chr(10) || 'Answer: ', '^ +| +$', '', 'g') AS p
+  FROM b, demo)""")
+def q_few_shot_prompt(spark, sf):
+    """P5 + C3: every benchmark item as a 2-shot 'cot' prompt whose demonstrations are the first two
+    items of the same benchmark (the gold after ``####`` as the demo answer)."""
+    b = X.table(spark, sf, "benchmark").withColumn("bench", F.lit("benchmark"))
+    demos = b.select(F.col("bench"), F.col("item_id").alias("idx"), F.col("text").alias("input"),
+                     A.retrieve_gold("text").alias("output"))
+    # demo positions: the item order inside the benchmark (skew-safe numbering)
+    ranked = number_within(demos, ["bench"], ["idx"], "idx_pos", base=0).drop("idx").withColumnRenamed("idx_pos", "idx")
+    with_demos = P.attach_demos(b, ranked, "bench", 2)
+    p = P.few_shot_prompt(F.col("text"), F.col("demos"), "cot")
+    return with_demos.select("item_id", F.length(p).cast("bigint").alias("n_chars"), F.md5(p).alias("digest"))
