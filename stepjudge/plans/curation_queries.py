@@ -233,3 +233,37 @@ def q_partial_prefixes(spark, sf):
     g = X.gen(spark, sf, X.verd(spark, sf, s)).select("problem_id", "gen_idx", F.col("boxed_text").alias("text"))
     c = K.add_partial_prefixes(K.curate_long_chains(s, g), p=0.1, seed=7, min_steps=4)
     return c.select("problem_id", "gen_idx", "partial", F.col("n_steps").cast("bigint").alias("n_steps"), "cot")
+
+
+_SOLUTION_SQL = """
+sol AS (SELECT problem_id, string_agg(step, chr(10) ORDER BY step_idx) AS solution FROM steps GROUP BY problem_id)
+"""
+
+
+@query("verification_prompt", with_views("WITH " + _SOLUTION_SQL + r"""
+SELECT g.problem_id, g.gen_idx, md5(
+  '<|user|>' || chr(10) || 'You are given a math problem and a proposed step-by-step solution:' || chr(10) || chr(10)
+  || '[Math Problem]' || chr(10) || chr(10) || 'problem ' || CAST(g.problem_id AS VARCHAR) || chr(10) || chr(10)
+  || '[Solution]' || chr(10) || chr(10) || sol.solution || chr(10) || chr(10)
+  || 'Review and critique each step in the proposed solution to determine whether each step is correct. If the solution is incomplete, only verify the provided steps.'
+  || chr(10) || '<|assistant|>' || chr(10) || 'Let''s verify step by step:' || chr(10) || g.boxed_text) AS digest
+FROM gen g JOIN sol USING (problem_id)""", "gen"))
+def q_verification_prompt(spark, sf):
+    """P1 (training form): the verification request for every chain, with the chain as the answer."""
+    from stepjudge.functions.prompts import verification_prompt
+    s = X.steps(spark, sf)
+    sol = K.solutions(s).select("problem_id", "solution")
+    g = X.gen(spark, sf, X.verd(spark, sf, s)).join(sol, "problem_id")
+    p = verification_prompt(F.concat(F.lit("problem "), F.col("problem_id").cast("string")), F.col("solution"), F.col("boxed_text"))
+    return g.select("problem_id", "gen_idx", F.md5(p).alias("digest"))
+
+
+@query("evaluation_rows", with_views("""
+SELECT problem_id, md5(string_agg('Step ' || CAST(step_idx + 1 AS VARCHAR) || ': ' || step, chr(10) ORDER BY step_idx)) AS digest
+FROM steps GROUP BY problem_id""", "steps"))
+def q_evaluation_rows(spark, sf):
+    """Labelled steps regrouped per solution with the numbered solution text."""
+    from stepjudge.operators.rows import to_wide
+    from stepjudge.operators.sequences import evaluation_rows
+    w = to_wide(X.steps(spark, sf), ["problem_id"], ["step", "gt_label"], idx="step_idx")
+    return evaluation_rows(w, "step", "gt_label").select("problem_id", F.md5("solution").alias("digest"))

@@ -143,3 +143,28 @@ def q_few_shot_prompt(spark, sf):
     with_demos = P.attach_demos(b, ranked, "bench", 2)
     p = P.few_shot_prompt(F.col("text"), F.col("demos"), "cot")
     return with_demos.select("item_id", F.length(p).cast("bigint").alias("n_chars"), F.md5(p).alias("digest"))
+
+
+@query("filter_by_length", r"""
+SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) <= 300""")
+def q_filter_by_length(spark, sf):
+    """Documents of at most 300 tokens (default whitespace tokenizer)."""
+    from stepjudge.plans.curate import filter_by_length
+    return filter_by_length(X.table(spark, sf, "documents").select("doc_id", "text"), "text", 300).select("doc_id")
+
+
+@query("answer_only_labels", r"""
+WITH t AS (SELECT doc_id,
+  len(list_filter(regexp_split_to_array(split_part(text, chr(10), 1), '\s+'), lambda x: x <> '')) AS np,
+  len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS na FROM documents)
+SELECT doc_id, CAST(least(np + na, 512) AS BIGINT) AS n_labels, CAST(least(np, 512) AS BIGINT) AS n_ignored FROM t""")
+def q_answer_only_labels(spark, sf):
+    """Labels over (first line as prompt, whole text as answer): ignore-index on the prompt,
+    answer ids after it, truncated to 512."""
+    from stepjudge.operators.scoring import hash_tokenize
+    from stepjudge.operators.sequences import IGNORE_INDEX, answer_only_labels
+    d = X.table(spark, sf, "documents").select("doc_id", hash_tokenize(F.substring_index("text", "\n", 1)).alias("p"),
+                                                 hash_tokenize(F.col("text")).alias("a"))
+    lab = answer_only_labels("p", "a", 512)
+    return d.select("doc_id", F.size(lab).cast("bigint").alias("n_labels"),
+                    F.size(F.filter(lab, lambda x: x == IGNORE_INDEX)).cast("bigint").alias("n_ignored"))
