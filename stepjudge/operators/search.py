@@ -3,7 +3,7 @@
 All problems advance together: one round is one equi-join of the active paths with their
 children, a skew-safe top-k per problem, and a filter. The tree is hash-partitioned by problem
 and checkpointed once, so every round shuffles only the (small) frontier; the frontier is
-checkpointed every few rounds to cut lineage. The loop stops when no path is active.
+checkpointed every round to cut lineage. The loop stops when no path is active.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def _children(tree: DataFrame, by: Sequence[str], node: str, parent: str) -> Dat
 
 def best_paths(tree: DataFrame, keep: int, n: int, rounds: int, by: Sequence[str] = ("problem_id",),
                node: str = "node_id", parent: str = "parent_id", text: str = "text", score: str = "score",
-               stop: str = "stop_reason", checkpoint_every: int = 4) -> DataFrame:
+               stop: str = "stop_reason", checkpoint_every: int = 1) -> DataFrame:
     """Beam search over a logged tree, all problems at once.
 
     Round 0 starts at the roots. Each round expands every active path to its children (path text
@@ -102,18 +102,22 @@ def best_paths(tree: DataFrame, keep: int, n: int, rounds: int, by: Sequence[str
     cols = [*by, node, "path", score, "_done", "depth"]
     frontier = t.filter(F.col(parent).isNull()).select(*by, node, F.col(text).alias("path"), score, "_done",
                                                        F.lit(0).alias("depth"))
-    finished = frontier.filter("_done")
+    finished_parts = [frontier.filter("_done")]
     frontier = frontier.filter(~F.col("_done"))
     for r in range(1, rounds + 1):
         kids = frontier.select(*by, F.col(node).alias(parent), F.col("path").alias("_pp")).join(t, [*by, parent])
         new = kids.select(*by, node, F.concat("_pp", text).alias("path"), score, "_done", F.lit(r).alias("depth"))
         new = top_k_within(new, by, [F.col(score).desc(), F.col(node)], keep, "_rk", salt_cols=[*by, node]).drop("_rk")
-        finished = finished.unionByName(new.filter("_done"))
-        frontier = new.filter(~F.col("_done"))
         if r % checkpoint_every == 0:
-            frontier = frontier.checkpoint(eager=True)
-            finished = finished.checkpoint(eager=True)
-        if frontier.limit(1).count() == 0:
+            # each round's paths (at most `keep` per problem) are written once, so every round and
+            # the stop check read one round of lineage instead of all earlier rounds again
+            new = new.checkpoint(eager=True)
+        finished_parts.append(new.filter("_done"))
+        frontier = new.filter(~F.col("_done"))
+        if frontier.isEmpty():
             break
+    finished = finished_parts[0]
+    for part in finished_parts[1:]:
+        finished = finished.unionByName(part)
     out = top_k_within(finished.select(*cols), by, [F.col(score).desc(), F.col(node)], n, "rank", salt_cols=[*by, node])
     return out.drop("_done")
