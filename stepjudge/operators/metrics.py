@@ -129,8 +129,17 @@ def difficulty_level(metric: str | Column, cuts: Column) -> Column:
     return (F.when(m < cuts[0], 5).when(m < cuts[1], 4).when(m < cuts[2], 3).when(m < cuts[3], 2).otherwise(1))
 
 
-def quintiles(df: DataFrame, metric: str, exact: bool = True) -> Column:
-    """Cut points at 20/40/60/80 % as a scalar subquery Column (exact or approximate)."""
+# an exact percentile keeps every distinct value in one aggregation buffer; above this many
+# distinct values the sketch-based approximate percentile is used instead
+EXACT_PERCENTILE_DISTINCT = 1_000_000
+
+
+def quintiles(df: DataFrame, metric: str, exact: bool | None = None) -> Column:
+    """Cut points at 20/40/60/80 % as a scalar subquery Column. ``exact=None`` measures the
+    distinct values first (a mergeable sketch) and uses the exact percentile only while its
+    buffer stays bounded; beyond that, ``percentile_approx`` (bounded memory, partial merges)."""
+    if exact is None:
+        exact = (df.agg(F.approx_count_distinct(metric)).first()[0] or 0) <= EXACT_PERCENTILE_DISTINCT
     probs = F.array(*[F.lit(p) for p in (0.2, 0.4, 0.6, 0.8)])
     agg = F.percentile(F.col(metric), probs) if exact else F.percentile_approx(F.col(metric), probs, 10000)
     return df.select(agg.alias("q")).scalar()

@@ -40,7 +40,8 @@ def start_grading(stream: DataFrame, out_path: str, name: str = "grading", text:
     ckpt = f"{checkpoint_dir(stream.sparkSession).rstrip('/')}/{name}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        grade_batch(batch, text, gold).withColumn("batch_id", F.lit(batch_id)).write.mode("append") \
-            .partitionBy("batch_id").parquet(out_path)
+        # each micro-batch owns its folder and overwrites it: a replayed batch (after a failure)
+        # replaces its earlier output instead of adding to it
+        grade_batch(batch, text, gold).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).start()
