@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepjudge.operators.ranking import number_within, top_k_within
+from stepjudge.session import checkpoint_dir
 
 
 def _c(x: str | Column) -> Column:
@@ -171,17 +172,19 @@ def random_cut(steps_n: str | Column, seed: int, key: Sequence[str]) -> Column:
 def balance(df: DataFrame, label: str, seed: int, key: Sequence[str]) -> DataFrame:
     """L4: keep all rows of the minority class and an equal-size keyed-random sample of the majority.
 
-    Two passes: class counts (a 2-row aggregate, read as a scalar subquery), then a skew-safe
-    numbering of the majority class by hash — no row is collected anywhere.
-    """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    n_true = counts.filter(F.col(label)).select(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
-    n_false = counts.filter(~F.col(label)).select(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
-    target = F.least(n_true, n_false)
-    major = F.when(n_true > n_false, F.lit(True)).otherwise(F.lit(False))
-    d = df.withColumn("_u", hash_unit(seed, *key))
+    The input is checkpointed once (it is read by the class count and by the numbering); the
+    class counts are one aggregate with one row per class (two rows); the majority class is then
+    numbered by hash with the skew-safe numbering (a class is one huge group). Nothing else passes
+    through the driver."""
+    checkpoint_dir(df.sparkSession)
+    base = df.checkpoint(eager=True)
+    counts = {r[0]: r[1] for r in base.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    n_true, n_false = counts.get(True, 0), counts.get(False, 0)
+    target = min(n_true, n_false)
+    major = n_true > n_false
+    d = base.withColumn("_u", hash_unit(seed, *key))
     ranked = number_within(d, [label], ["_u", *key], "_r")
-    keep = (F.col(label) != major) | (F.col("_r") <= target)
+    keep = (F.col(label) != F.lit(major)) | (F.col("_r") <= F.lit(target))
     return ranked.filter(keep).drop("_u", "_r")
 
 
