@@ -121,3 +121,59 @@ def best_paths(tree: DataFrame, keep: int, n: int, rounds: int, by: Sequence[str
         finished = finished.unionByName(part)
     out = top_k_within(finished.select(*cols), by, [F.col(score).desc(), F.col(node)], n, "rank", salt_cols=[*by, node])
     return out.drop("_done")
+
+
+STOP_REASONS = ("EOS", "length")
+
+
+def beam_round(beams: DataFrame, expansions: DataFrame, n: int, width: int, by: Sequence[str] = ("problem_id",),
+               dedup: bool = True) -> tuple[DataFrame, DataFrame]:
+    """One beam-search round on tables.
+
+    ``beams`` (by…, beam_id, text) are the active beams; ``expansions`` (by…, beam_id, exp_idx,
+    next_text, stop_reason, score) their scored continuations. A continuation completes the beam
+    on ``EOS``/``length`` or an empty step. Duplicated texts are dropped (first kept), the best
+    ⌊n / width⌋ active ones per problem survive (later row first on equal scores), and the
+    survivors are cycled to exactly n beams (new ``beam_id`` = slot). Returns (active, completed).
+    """
+    by = list(by)
+    j = beams.join(expansions, [*by, "beam_id"]).withColumn("text", F.concat("text", "next_text")).withColumn(
+        "completed", F.coalesce(F.col("stop_reason").isin(*STOP_REASONS), F.lit(False)) | (F.col("next_text") == ""))
+    j = j.withColumn("_order", F.col("beam_id") * F.lit(1 << 20) + F.col("exp_idx"))
+    if dedup:
+        j = dedup_first(j, by, "text", "_order")
+    done = j.filter("completed")
+    kept = prune_top(j.filter(~F.col("completed")), by, "score", "_order", max(n // width, 1))
+    active = refill(kept, by, n).withColumn("beam_id", F.col("slot").cast("bigint"))
+    return active.select(*by, "beam_id", "text", "score"), done.select(*by, "text", "score", "stop_reason", "_order")
+
+
+def beam_finish(completed: DataFrame, n: int, by: Sequence[str] = ("problem_id",), sort: bool = True,
+                order: str = "_order") -> DataFrame:
+    """The top n finished beams (or the first n in ``order``), cycled to exactly n, and the
+    prediction: the text of the best-scored one (first on ties)."""
+    by = list(by)
+    top = top_completed(completed, by, "score", order, n, sort)
+    full = refill(top, by, n)
+    return full.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("slot", "text", "score"))).alias("_b"),
+        first_argmax(F.col("text"), "score", "slot").alias("pred"),
+    ).select(*by, F.transform("_b", lambda x: x["text"]).alias("completions"),
+             F.transform("_b", lambda x: x["score"]).alias("scores"), "pred")
+
+
+def tree_round(beams: DataFrame, expansions: DataFrame, width: int, last: bool = False,
+               by: Sequence[str] = ("problem_id",)) -> DataFrame:
+    """One round of diverse verifier tree search. Each beam (subtree) keeps its best
+    continuation by look-ahead score (lowest ``exp_idx`` on ties); a beam stops on ``EOS``, an empty
+    step or a boxed answer. In the last round every beam fans out to its ``width`` best rows."""
+    by = list(by)
+    j = beams.join(expansions, [*by, "beam_id"]).withColumn("text", F.concat("text", "next_text"))
+    j = j.withColumn("stopped", F.coalesce(F.col("stop_reason") == "EOS", F.lit(False)) | (F.col("next_text") == "")
+                     | F.col("next_text").contains("boxed{"))
+    if last:
+        return top_k_within(j, [*by, "beam_id"], [F.col("score").desc(), F.col("exp_idx")], width, "rank",
+                            salt_cols=[*by, "beam_id", "exp_idx"])
+    best = j.groupBy(*by, "beam_id").agg(F.max_by(F.struct("text", "score", "stopped", "exp_idx"),
+                                                   F.struct(F.col("score"), -F.col("exp_idx"))).alias("_b"))
+    return best.select(*by, "beam_id", "_b.text", "_b.score", "_b.stopped", "_b.exp_idx")

@@ -200,3 +200,11 @@ def balanced(chains: DataFrame, seed: int = 42) -> DataFrame:
 def sample_chains(chains: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """L3 on curated chains: a keyed shuffle, then the first n."""
     return chains.withColumn("_u", hash_unit(seed, "problem_id", "gen_idx")).orderBy("_u", "problem_id", "gen_idx").limit(n).drop("_u")
+
+
+def grade_candidates(df: DataFrame, text: str, gold: str, benchmark: str = "math", out: str = "is_correct") -> DataFrame:
+    """Extract each candidate's answer (H11, H12 per distinct answer) and compare it with the
+    gold answer (H16); a comparison that cannot decide counts as false."""
+    from stepjudge.functions.answers import answers_equal, extract_answers
+    p = extract_answers(df, text, "pred", benchmark)
+    return p.withColumn(out, F.coalesce(answers_equal(F.col("pred"), F.col(gold)), F.lit(False)))

@@ -167,3 +167,45 @@ def q_pad_batches(spark, sf):
     d = X.table(spark, sf, "documents").select("doc_id", SC.hash_tokenize(F.col("text")).alias("ids"))
     p = SQ.pad_batches(d, ["doc_id"], 8, {"ids": 0})
     return p.select("doc_id", F.col("batch_id").cast("bigint").alias("batch_id"), F.size("ids").cast("bigint").alias("padded_len"))
+
+
+def _root_expansions(spark, sf):
+    t = X.tree(spark, sf)
+    roots = t.filter(F.col("parent_id").isNull()).select("problem_id", F.lit(0).cast("bigint").alias("beam_id"), "text")
+    exp = t.filter(F.col("parent_id") == 0).select("problem_id", F.lit(0).cast("bigint").alias("beam_id"),
+                                                  F.col("node_id").alias("exp_idx"), F.col("text").alias("next_text"),
+                                                  "stop_reason", F.col("score").cast("double").alias("score"))
+    return roots, exp
+
+
+_ROOT_SQL = """
+r AS (SELECT problem_id, text FROM tree WHERE parent_id IS NULL),
+e AS (SELECT t.problem_id, t.node_id AS exp_idx, r.text || t.text AS text, t.text AS next_text, CAST(t.score AS DOUBLE) AS score,
+             t.stop_reason FROM tree t JOIN r ON r.problem_id = t.problem_id WHERE t.parent_id = 0)
+"""
+
+
+@query("beam_round", with_views("WITH " + _ROOT_SQL + """,
+d AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY problem_id, text ORDER BY exp_idx) = 1),
+a AS (SELECT * FROM d WHERE NOT COALESCE(stop_reason IN ('EOS', 'length'), FALSE) AND next_text <> ''),
+k AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, exp_idx DESC) AS rank FROM a QUALIFY rank <= 2),
+c AS (SELECT problem_id, count(*) AS cnt FROM k GROUP BY problem_id),
+s AS (SELECT c.problem_id, g.slot, g.slot % c.cnt + 1 AS rank FROM c, (SELECT unnest([0, 1, 2, 3]) AS slot) g)
+SELECT s.problem_id, CAST(s.slot AS BIGINT) AS beam_id, k.text, round(k.score, 6) AS score FROM s JOIN k USING (problem_id, rank)""",
+                                "tree"))
+def q_beam_round(spark, sf):
+    """One beam round from every root: append, dedup, keep 4 // 2 = 2, refill to 4 beams."""
+    roots, exp = _root_expansions(spark, sf)
+    active, _ = SE.beam_round(roots, exp, n=4, width=2)
+    return active.select("problem_id", "beam_id", "text", r6("score").alias("score"))
+
+
+@query("tree_round", with_views("WITH " + _ROOT_SQL + """
+SELECT problem_id, CAST(0 AS BIGINT) AS beam_id, text, round(score, 6) AS score, exp_idx,
+  (COALESCE(stop_reason = 'EOS', FALSE) OR next_text = '' OR contains(next_text, 'boxed{')) AS stopped
+FROM e QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, exp_idx) = 1""", "tree"))
+def q_tree_round(spark, sf):
+    """One diverse-tree-search round: each subtree keeps its best continuation."""
+    roots, exp = _root_expansions(spark, sf)
+    t = SE.tree_round(roots, exp, width=2)
+    return t.select("problem_id", "beam_id", "text", r6("score").alias("score"), "exp_idx", "stopped")

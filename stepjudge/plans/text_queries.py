@@ -34,8 +34,9 @@ SELECT doc_id, pred, CASE WHEN pred = '' THEN FALSE WHEN lower(pred) = gold THEN
   ELSE FALSE END AS correct FROM g""")
 def q_grade_documents(spark, sf):
     """Extract the final answer of every document, grade it against a gold derived from the row."""
-    p = _doc_preds(spark, sf).withColumn("gold", (F.col("n_chars") % 10).cast("string"))
-    return p.select("doc_id", "pred", A.answers_equal(F.col("pred"), F.col("gold")).alias("correct"))
+    from stepjudge.plans.curate import grade_candidates
+    d = X.table(spark, sf, "documents").select("doc_id", "text", (F.col("n_chars") % 10).cast("string").alias("gold"))
+    return grade_candidates(d, "text", "gold", out="correct").select("doc_id", "pred", "correct")
 
 
 @query("count_empty", _DOC_PRED_SQL + """

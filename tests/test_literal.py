@@ -173,3 +173,24 @@ def test_programs_and_lines_after(spark):
     r = df.select(A.programs("t").alias("p"), A.lines_after("a").alias("l")).first()
     assert r.p == "import math\nx = 2\nprint(x)\n"
     assert r.l == ["next", "last"]
+
+
+def test_last_or_mean_or(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 6.0],), ([],)], "a array<double>")
+    r = df.select(A.last_or("a").alias("l"), A.mean_or("a").alias("m")).collect()
+    assert [(x.l, x.m) for x in r] == [(6.0, 3.0), (0.0, 0.0)]
+
+
+def test_beam_round_and_finish(spark):
+    from stepjudge.operators import search as SE
+    beams = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "problem_id long, beam_id long, text string")
+    exp = spark.createDataFrame([(1, 0, 0, "x", None, 0.9), (1, 0, 1, "y", "EOS", 0.8), (1, 1, 0, "x", None, 0.7),
+                                 (1, 1, 1, "", None, 0.95)],
+                                "problem_id long, beam_id long, exp_idx long, next_text string, stop_reason string, score double")
+    active, done = SE.beam_round(beams, exp, n=4, width=2)
+    assert sorted(r.text for r in active.collect()) == ["ax", "ax", "bx", "bx"]
+    assert sorted(r.text for r in done.collect()) == ["ay", "b"]
+    fin = SE.beam_finish(done, 2).first()
+    assert fin.pred == "b" and len(fin.completions) == 2
+    tr = SE.tree_round(beams, exp, width=2).orderBy("beam_id").collect()
+    assert [(r.text, r.stopped) for r in tr] == [("ax", False), ("b", True)]
