@@ -87,18 +87,45 @@ def accuracy(df: DataFrame, correct: str = "is_correct", score: str | None = "sc
     return df.agg(*aggs)
 
 
-def scaling_table(df: DataFrame, ns: Sequence[int], by: Sequence[str] = ("problem_id",), **kw) -> DataFrame:
+_IDX_BITS = 1 << 40  # candidates per problem stay below 2^40
+
+
+def _packed(major: Column, idx: Column) -> Column:
+    """One DECIMAL(38,0) that orders like (major desc-wins, idx asc-wins): major * 2^40 + (2^40-1-idx).
+    Fixed-width, so the aggregates that compare by it stay hash aggregates."""
+    return (major.cast("decimal(38,0)") * F.lit(_IDX_BITS) + (F.lit(_IDX_BITS - 1) - idx)).cast("decimal(38,0)")
+
+
+def scaling_table(df: DataFrame, ns: Sequence[int], by: Sequence[str] = ("problem_id",), key: str = "answer_key",
+                  score: str = "score", idx: str = "idx", gold: str = "gold_key") -> DataFrame:
     """``n, problems, acc_naive, acc_weighted, acc_maj, cov`` — votes, coverage and accuracy
-    for every n in one plan (three aggregation levels, no job per n)."""
-    v = vote_sweep(df, ns, by=by, **kw)
-    pct = lambda c: F.avg(c.cast("double")) * 100
-    return v.groupBy("n").agg(
-        F.count(F.lit(1)).alias("problems"),
-        pct(F.col("key_naive") == F.col("gold")).alias("acc_naive"),
-        pct(F.col("key_weighted") == F.col("gold")).alias("acc_weighted"),
-        pct(F.col("key_maj") == F.col("gold")).alias("acc_maj"),
-        pct(F.coalesce(F.col("covered"), F.lit(False))).alias("cov"),
+    for every n in one plan (three aggregation levels, no job per n).
+
+    Only correctness is needed here, not the winning texts, so every aggregation buffer is numeric:
+    an answer group carries ``hit`` (its key is the gold key) and the tie-broken orderings are packed
+    into one DECIMAL(38,0) (score in 1e-6 units, weights in 1e-6 units and counts, each with the
+    first index as tie-break). All three levels plan as hash aggregates with map-side combine.
+    Bounds: fewer than 2^40 candidates per problem, |score sum| < 1e16.
+    """
+    s = sweep(df, ns, idx)
+    units = (F.col(score).cast("decimal(38,6)") * 1000000).cast("decimal(38,0)")
+    lvl1 = s.groupBy(*by, "n", key).agg(
+        F.count(F.lit(1)).alias("_cnt"),
+        F.sum(units).alias("_w"),
+        F.min(idx).alias("_fi"),
+        F.max((F.col(key) == F.col(gold)).cast("int")).alias("_hit"),
+        F.max(_packed(units, F.col(idx))).alias("_best"),
+    )
+    lvl2 = lvl1.groupBy(*by, "n").agg(
+        F.max_by("_hit", "_best").alias("naive"),
+        F.max_by("_hit", _packed(F.col("_w"), F.col("_fi"))).alias("weighted"),
+        F.max_by("_hit", _packed(F.col("_cnt"), F.col("_fi"))).alias("maj"),
+        F.max("_hit").alias("covered"),
     )
+    pct = lambda c: F.avg(F.col(c).cast("double")) * 100
+    return lvl2.groupBy(F.col("n").cast("bigint").alias("n")).agg(
+        F.count(F.lit(1)).alias("problems"), pct("naive").alias("acc_naive"), pct("weighted").alias("acc_weighted"),
+        pct("maj").alias("acc_maj"), pct("covered").alias("cov"))
 
 
 def accuracy_by(df: DataFrame, col: str, correct: str = "is_correct", total: bool = True) -> DataFrame:

@@ -84,7 +84,7 @@ SELECT problem_id, gen_idx, count(*) AS n_aligned, count(*) FILTER (WHERE verdic
 FROM verd GROUP BY problem_id, gen_idx""", "verd"))
 def q_align_steps(spark, sf):
     s = X.steps(spark, sf)
-    v = X.verd(spark, sf, s).select("problem_id", "gen_idx", "step_idx", "verdict")
+    v = X.verd(spark, sf).select("problem_id", "gen_idx", "step_idx", "verdict")
     a = ST.align_steps(v, s.select("problem_id", "step_idx", "gt_label"))
     return a.groupBy("problem_id", "gen_idx").agg(F.count(F.lit(1)).alias("n_aligned"),
                                                   F.count_if(F.col("verdict") == F.col("gt_label")).alias("n_agree"))
@@ -156,7 +156,7 @@ FROM staged k JOIN s2 USING (problem_id) JOIN cot USING (problem_id, gen_idx) JO
 WHERE k.reason IS NULL""", "gen"))
 def q_curate_line_chains(spark, sf):
     s = X.steps(spark, sf)
-    g = X.gen(spark, sf, X.verd(spark, sf, s)).select("problem_id", "gen_idx", F.col("line_text").alias("text"))
+    g = X.gen(spark, sf).select("problem_id", "gen_idx", F.col("line_text").alias("text"))
     c = K.curate_line_chains(s, g, max_per_solution=2)
     return c.select("problem_id", "gen_idx", "is_correct", F.col("n_steps").cast("bigint").alias("n_steps"), "cot",
                     F.array_join("labels", "").alias("labels"))
@@ -167,7 +167,7 @@ SELECT COALESCE(reason, 'kept') AS stage, count(*) AS n, count(DISTINCT problem_
 GROUP BY COALESCE(reason, 'kept')""", "gen"))
 def q_curation_funnel(spark, sf):
     s = X.steps(spark, sf)
-    g = X.gen(spark, sf, X.verd(spark, sf, s)).select("problem_id", "gen_idx", F.col("line_text").alias("text"))
+    g = X.gen(spark, sf).select("problem_id", "gen_idx", F.col("line_text").alias("text"))
     return funnel(K.curate_line_chains(s, g, max_per_solution=2, keep_rejected=True))
 
 
@@ -184,7 +184,7 @@ SELECT k2.problem_id, k2.gen_idx, k2.is_correct, CAST(k2.n_steps AS BIGINT) AS n
 FROM k2 JOIN gen g USING (problem_id, gen_idx) JOIN lab USING (problem_id)""", "gen"))
 def q_curate_long_chains(spark, sf):
     s = X.steps(spark, sf)
-    g = X.gen(spark, sf, X.verd(spark, sf, s)).select("problem_id", "gen_idx", F.col("boxed_text").alias("text"))
+    g = X.gen(spark, sf).select("problem_id", "gen_idx", F.col("boxed_text").alias("text"))
     c = K.curate_long_chains(s, g, match="steps")
     return c.select("problem_id", "gen_idx", "is_correct", F.col("n_steps").cast("bigint").alias("n_steps"), "cot",
                     F.array_join("labels", "").alias("labels"))
@@ -194,7 +194,7 @@ def q_curate_long_chains(spark, sf):
 SELECT is_correct, count(*) AS n FROM k2 GROUP BY is_correct""", "gen"))
 def q_class_counts(spark, sf):
     s = X.steps(spark, sf)
-    g = X.gen(spark, sf, X.verd(spark, sf, s)).select("problem_id", "gen_idx", F.col("boxed_text").alias("text"))
+    g = X.gen(spark, sf).select("problem_id", "gen_idx", F.col("boxed_text").alias("text"))
     return class_counts(K.curate_long_chains(s, g))
 
 
@@ -203,7 +203,7 @@ c AS (SELECT is_correct, count(*) AS n FROM k2 GROUP BY is_correct)
 SELECT is_correct, (SELECT min(n) FROM c) AS n FROM c""", "gen"))
 def q_balance_classes(spark, sf):
     s = X.steps(spark, sf)
-    g = X.gen(spark, sf, X.verd(spark, sf, s)).select("problem_id", "gen_idx", F.col("boxed_text").alias("text"))
+    g = X.gen(spark, sf).select("problem_id", "gen_idx", F.col("boxed_text").alias("text"))
     return class_counts(K.balanced(K.curate_long_chains(s, g), seed=42))
 
 
@@ -220,7 +220,7 @@ JOIN cot c2 ON c2.problem_id = rj.problem_id AND c2.gen_idx = rj.gen_idx
 WHERE ch.rank <= 2""", "gen"))
 def q_preference_pairs(spark, sf):
     s = X.steps(spark, sf)
-    g = X.gen(spark, sf, X.verd(spark, sf, s)).select("problem_id", "gen_idx", F.col("line_text").alias("text"))
+    g = X.gen(spark, sf).select("problem_id", "gen_idx", F.col("line_text").alias("text"))
     p = K.preference_pairs(s, g, k=2)
     return p.select("problem_id", "rank", "chosen_gen", "rejected_gen", F.col("n_wrong").cast("bigint").alias("n_wrong"),
                     "chosen_cot", "rejected_cot")
@@ -230,7 +230,7 @@ def q_preference_pairs(spark, sf):
 def q_partial_prefixes(spark, sf):
     """K3 (keyed-random, so no DuckDB oracle): partial copies of long-chain rows."""
     s = X.steps(spark, sf)
-    g = X.gen(spark, sf, X.verd(spark, sf, s)).select("problem_id", "gen_idx", F.col("boxed_text").alias("text"))
+    g = X.gen(spark, sf).select("problem_id", "gen_idx", F.col("boxed_text").alias("text"))
     c = K.add_partial_prefixes(K.curate_long_chains(s, g), p=0.1, seed=7, min_steps=4)
     return c.select("problem_id", "gen_idx", "partial", F.col("n_steps").cast("bigint").alias("n_steps"), "cot")
 
@@ -253,7 +253,7 @@ def q_verification_prompt(spark, sf):
     from stepjudge.functions.prompts import verification_prompt
     s = X.steps(spark, sf)
     sol = K.solutions(s).select("problem_id", "solution")
-    g = X.gen(spark, sf, X.verd(spark, sf, s)).join(sol, "problem_id")
+    g = X.gen(spark, sf).join(sol, "problem_id")
     p = verification_prompt(F.concat(F.lit("problem "), F.col("problem_id").cast("string")), F.col("solution"), F.col("boxed_text"))
     return g.select("problem_id", "gen_idx", F.md5(p).alias("digest"))
 

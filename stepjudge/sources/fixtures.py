@@ -6,10 +6,13 @@ values. The Spark side uses the skew-safe numbering of ``operators.ranking`` for
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepjudge.operators.ranking import number_within
+from stepjudge.session import checkpoint_dir
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -29,7 +32,7 @@ def _numbered_lines(spark: SparkSession, sf_dir: str, cols: list[str], name: str
     return number_within(li, ["l_orderkey"], LINE_ORDER, name, base=0)
 
 
-def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_cand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CAND(problem_id, idx, answer, answer_key, score DECIMAL(18,6), gold_key)."""
     li = _numbered_lines(spark, sf_dir, ["l_returnflag", "l_linestatus", "l_discount"], "idx")
     st = table(spark, sf_dir, "orders").groupBy("o_orderkey").agg(F.min("o_orderstatus").alias("st"))
@@ -50,7 +53,7 @@ def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STEPS(problem_id, step_idx, step, gt_label '+'/'-', score DECIMAL(18,6), k)."""
     li = _numbered_lines(spark, sf_dir, ["l_linestatus", "l_tax"], "step_idx")
     return li.select(
@@ -63,7 +66,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def verd(spark: SparkSession, sf_dir: str, steps_df: DataFrame | None = None) -> DataFrame:
+def _build_verd(spark: SparkSession, sf_dir: str, steps_df: DataFrame | None = None) -> DataFrame:
     """VERD(problem_id, gen_idx, step_idx, gt_label, verdict): three chains per solution."""
     s = steps_df if steps_df is not None else steps(spark, sf_dir)
     g = s.withColumn("gen_idx", F.explode(F.sequence(F.lit(0), F.lit(2))))
@@ -80,7 +83,7 @@ def verd(spark: SparkSession, sf_dir: str, steps_df: DataFrame | None = None) ->
     )
 
 
-def gen(spark: SparkSession, sf_dir: str, verd_df: DataFrame | None = None) -> DataFrame:
+def _build_gen(spark: SparkSession, sf_dir: str, verd_df: DataFrame | None = None) -> DataFrame:
     """GEN(problem_id, gen_idx, boxed_text, line_text): one verification text per chain."""
     v = verd_df if verd_df is not None else verd(spark, sf_dir)
     num = (F.col("step_idx") + 1).cast("string")
@@ -112,7 +115,7 @@ def conf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tree(spark: SparkSession, sf_dir: str, cand_df: DataFrame | None = None) -> DataFrame:
+def _build_tree(spark: SparkSession, sf_dir: str, cand_df: DataFrame | None = None) -> DataFrame:
     """TREE(problem_id, node_id, parent_id, text, score, stop_reason): heap-shaped tree per problem."""
     c = cand_df if cand_df is not None else cand(spark, sf_dir)
     return c.select(
@@ -127,7 +130,7 @@ def tree(spark: SparkSession, sf_dir: str, cand_df: DataFrame | None = None) ->
     )
 
 
-def logp(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_logp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LOGP(gen_id, pos, yes_logprob, no_logprob, top_token)."""
     li = _numbered_lines(spark, sf_dir, ["l_tax", "l_discount"], "pos")
     return li.select(
@@ -139,6 +142,82 @@ def logp(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- materialised fixture tables
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> str | None:
+    """Identity of an input folder: its path and the length and modification time of every table
+    (through the Hadoop file system, so it works on cluster storage); None if it is not there."""
+    parts = [sf_dir.rstrip("/")]
+    for t in TABLES:
+        fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")
+        if fs.exists(p):
+            st = fs.getFileStatus(p)
+            parts.append(f"{t}:{st.getLen()}:{st.getModificationTime()}")
+    if len(parts) == 1:
+        return None
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+
+
+def _materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived fixture table is written once per input folder into the shared checkpoint
+    folder and read back by every later query (a complete write has a _SUCCESS marker)."""
+    stamp = _stamp(spark, sf_dir) if MATERIALIZE else None
+    if stamp is None:
+        return build()
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stepjudge-fixtures/{NAMESPACE}/{stamp}/{name}"
+    fs, done = _fs(spark, f"{root}/_SUCCESS")
+    if not fs.exists(done):
+        build().write.mode("overwrite").parquet(root)
+    return spark.read.parquet(root)
+
+
+MATERIALIZE = True
+# runs that must start cold (a benchmark) set their own namespace
+NAMESPACE = "shared"
+
+
+def cand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CAND(problem_id, idx, answer, answer_key, score DECIMAL(18,6), gold_key)."""
+    return _materialized(spark, sf_dir, "cand", lambda: _build_cand(spark, sf_dir))
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STEPS(problem_id, step_idx, step, gt_label '+'/'-', score DECIMAL(18,6), k)."""
+    return _materialized(spark, sf_dir, "steps", lambda: _build_steps(spark, sf_dir))
+
+
+def verd(spark: SparkSession, sf_dir: str, steps_df: DataFrame | None = None) -> DataFrame:
+    """VERD(problem_id, gen_idx, step_idx, gt_label, verdict): three chains per solution."""
+    if steps_df is not None:
+        return _build_verd(spark, sf_dir, steps_df)
+    return _materialized(spark, sf_dir, "verd", lambda: _build_verd(spark, sf_dir))
+
+
+def gen(spark: SparkSession, sf_dir: str, verd_df: DataFrame | None = None) -> DataFrame:
+    """GEN(problem_id, gen_idx, boxed_text, line_text): one verification text per chain."""
+    if verd_df is not None:
+        return _build_gen(spark, sf_dir, verd_df)
+    return _materialized(spark, sf_dir, "gen", lambda: _build_gen(spark, sf_dir))
+
+
+def tree(spark: SparkSession, sf_dir: str, cand_df: DataFrame | None = None) -> DataFrame:
+    """TREE(problem_id, node_id, parent_id, text, score, stop_reason): heap-shaped tree per problem."""
+    if cand_df is not None:
+        return _build_tree(spark, sf_dir, cand_df)
+    return _materialized(spark, sf_dir, "tree", lambda: _build_tree(spark, sf_dir))
+
+
+def logp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LOGP(gen_id, pos, yes_logprob, no_logprob, top_token)."""
+    return _materialized(spark, sf_dir, "logp", lambda: _build_logp(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- DuckDB definitions (oracle side)
 
 _LINE_RN = (
