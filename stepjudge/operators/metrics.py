@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepjudge.operators.ranking import running
-from stepjudge.operators.votes import sweep, vote_sweep
+from stepjudge.operators.votes import sweep
 from stepjudge.session import checkpoint_dir
 
 

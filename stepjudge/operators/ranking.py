@@ -33,10 +33,6 @@ def _cols(xs: Sequence[str | Column]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 # A group with more rows than this is "hot": it is cut into range slices instead of being
 # numbered by one window task. Smaller groups stay on the plain window (bounded per task).
 HOT_GROUP_ROWS = 2_000_000

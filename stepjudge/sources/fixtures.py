@@ -153,13 +153,13 @@ def _fs(spark: SparkSession, path: str):
 def _stamp(spark: SparkSession, sf_dir: str) -> str | None:
     """Identity of an input folder: its path and the length and modification time of every table
     (through the Hadoop file system, so it works on cluster storage); None if it is not there."""
-    parts = [sf_dir.rstrip("/")]
+    parts = [FIXTURE_VERSION, sf_dir.rstrip("/")]
     for t in TABLES:
         fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")
         if fs.exists(p):
             st = fs.getFileStatus(p)
             parts.append(f"{t}:{st.getLen()}:{st.getModificationTime()}")
-    if len(parts) == 1:
+    if len(parts) == 2:
         return None
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
@@ -178,6 +178,8 @@ def _materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFra
 
 
 MATERIALIZE = True
+# bump when a fixture builder changes, so no earlier table is read back
+FIXTURE_VERSION = "fixtures-v1"
 # runs that must start cold (a benchmark) set their own namespace
 NAMESPACE = "shared"
 
