@@ -23,10 +23,12 @@ IGNORE_INDEX = -100
 def step_sequences(steps: DataFrame, questions: DataFrame, by: Sequence[str] = ("problem_id",), step_idx: str = "step_idx",
                    step: str = "step", label: str = "gt_label", question: str = "question",
                    tokenize: Callable[[Column], Column] = hash_tokenize, sep_id: int = 1, pos_id: int = 2, neg_id: int = 3,
-                   pad_id: int = 0, max_length: int | None = None, last_only: bool = False) -> DataFrame:
+                   pad_id: int = 0, max_length: int | None = None, last_only: bool = False,
+                   solution_label: str | None = None) -> DataFrame:
     """P10: question tokens, then per step the tokens of ``\\nStep i: text`` and a separator that
     carries the step label; loss mask 1 on separators (only the last with ``last_only``); a mask
-    that keeps separators through the first error; attention mask; truncation to ``max_length``."""
+    that keeps separators through the first error; attention mask; truncation to ``max_length``;
+    with ``solution_label`` (a column of ``questions``) every loss position takes the solution's label."""
     by = list(by)
     per = steps.select(*by, step_idx, tokenize(F.concat(F.lit("\nStep "), (F.col(step_idx) + 1).cast("string"), F.lit(": "),
                                                         F.col(step))).alias("_tok"),
@@ -58,6 +60,13 @@ def step_sequences(steps: DataFrame, questions: DataFrame, by: Sequence[str] = (
     out = j.select(*by, cat("ids", F.col("_q")).alias("input_ids"), cat("labels", qp).alias("labels"),
                    cat("loss_mask", qz).alias("loss_mask"), cat("first_error_mask", qz).alias("loss_mask_with_first_error_only"))
     out = out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
+    if solution_label is not None:
+        # "same label everywhere": every loss position carries the solution's label (an explicit
+        # option here; the reference's switch never takes effect)
+        lab = questions.select(*by, step_label(solution_label).alias("_sol_ok"))
+        out = out.join(lab, by).withColumn("labels", F.zip_with(
+            "labels", "loss_mask", lambda l, m: F.when(m == 1, F.when(F.col("_sol_ok"), pos_id).otherwise(neg_id)).otherwise(l))
+        ).drop("_sol_ok")
     if max_length is not None:
         for c in ["input_ids", "labels", "loss_mask", "loss_mask_with_first_error_only", "attention_mask"]:
             out = out.withColumn(c, F.slice(c, 1, max_length))

@@ -194,3 +194,14 @@ def test_beam_round_and_finish(spark):
     assert fin.pred == "b" and len(fin.completions) == 2
     tr = SE.tree_round(beams, exp, width=2).orderBy("beam_id").collect()
     assert [(r.text, r.stopped) for r in tr] == [("ax", False), ("b", True)]
+
+
+def test_step_sequences_same_label(spark):
+    from stepjudge.operators.sequences import step_sequences
+    steps = spark.createDataFrame([(1, 0, "a b", "+"), (1, 1, "c", "-")], "problem_id long, step_idx long, step string, gt_label string")
+    qs = spark.createDataFrame([(1, "q w e", "1")], "problem_id long, question string, sol string")
+    r = step_sequences(steps, qs).first()
+    assert len(r.input_ids) == 3 + 5 + 4 and r.labels.count(2) == 1 and r.labels.count(3) == 1
+    assert r.loss_mask_with_first_error_only.count(1) == 2
+    r2 = step_sequences(steps, qs, solution_label="sol").first()
+    assert r2.labels.count(2) == 2 and r2.labels.count(3) == 0
