@@ -264,9 +264,8 @@ def calibration_report(df: DataFrame, conf: str = "conf", correct: str = "correc
                        normalize: bool = False) -> DataFrame:
     """One row with num_samples, ece, auc_roc."""
     d = normalize_by_max(df, conf) if normalize else df
-    e = ece(d, conf, correct, bins).withColumn("_j", F.lit(0))
-    a = auc_roc(d, conf, correct).withColumn("_j", F.lit(0))
-    return e.join(a, "_j").drop("_j")
+    # both parts are one-row aggregates: AUC enters as a scalar subquery, no join needed
+    return ece(d, conf, correct, bins).withColumn("auc_roc", auc_roc(d, conf, correct).select("auc_roc").scalar())
 
 
 # ------------------------------------------------------------------------------------ correlation

@@ -136,7 +136,8 @@ SELECT item_id, CAST(length(p) AS BIGINT) AS n_chars, md5(p) AS digest FROM
 def q_few_shot_prompt(spark, sf):
     """P5 + C3: every benchmark item as a 2-shot 'cot' prompt whose demonstrations are the first two
     items of the same benchmark (the gold after ``####`` as the demo answer)."""
-    b = X.table(spark, sf, "benchmark").withColumn("bench", F.lit("benchmark"))
+    # the table holds one benchmark; its name is a column so demos attach by an equi-join
+    b = X.table(spark, sf, "benchmark").withColumn("bench", F.when(F.col("item_id").isNotNull(), F.lit("benchmark")))
     demos = b.select(F.col("bench"), F.col("item_id").alias("idx"), F.col("text").alias("input"),
                      A.retrieve_gold("text").alias("output"))
     # demo positions: the item order inside the benchmark (skew-safe numbering)
