@@ -55,10 +55,12 @@ def q_last_number(spark, sf):
 
 @query("split_steps", """
 WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS st FROM documents)
-SELECT doc_id, CAST(len(st) AS BIGINT) AS n_steps, 'Step 1: ' || st[1] AS first_step FROM s""")
+SELECT doc_id, CAST(len(st) AS BIGINT) AS n_steps,
+  md5(array_to_string(list_transform(st, lambda x, i: 'Step ' || CAST(i AS VARCHAR) || ': ' || x), chr(10))) AS digest FROM s""")
 def q_split_steps(spark, sf):
+    """H5 + H6: every document split into steps and renumbered (the whole step list is digested)."""
     d = X.table(spark, sf, "documents").withColumn("st", A.number_steps(A.split_steps("text", "newline")))
-    return d.select("doc_id", F.size("st").cast("bigint").alias("n_steps"), F.try_element_at("st", F.lit(1)).alias("first_step"))
+    return d.select("doc_id", F.size("st").cast("bigint").alias("n_steps"), F.md5(F.array_join("st", "\n")).alias("digest"))
 
 
 @query("truncate_middle", """
@@ -86,11 +88,11 @@ def q_cut_at_stop_words(spark, sf):
 
 @query("render_template", """
 SELECT doc_id, CAST(length('[' || lang || '/' || source || '] ' || text) AS BIGINT) AS n_chars_rendered,
-  left('[' || lang || '/' || source || '] ' || text, 40) AS head FROM documents""")
+  md5('[' || lang || '/' || source || '] ' || text) AS digest FROM documents""")
 def q_render_template(spark, sf):
     d = X.table(spark, sf, "documents")
     r = P.render_template("[{lang}/{source}] {text}", {"lang": F.col("lang"), "source": F.col("source"), "text": F.col("text")})
-    return d.select("doc_id", F.length(r).cast("bigint").alias("n_chars_rendered"), F.left(r, F.lit(40)).alias("head"))
+    return d.select("doc_id", F.length(r).cast("bigint").alias("n_chars_rendered"), F.md5(r).alias("digest"))
 
 
 @query("chat_text", """
