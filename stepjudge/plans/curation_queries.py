@@ -267,3 +267,15 @@ def q_evaluation_rows(spark, sf):
     from stepjudge.operators.sequences import evaluation_rows
     w = to_wide(X.steps(spark, sf), ["problem_id"], ["step", "gt_label"], idx="step_idx")
     return evaluation_rows(w, "step", "gt_label").select("problem_id", F.md5("solution").alias("digest"))
+
+
+@query("gold_line", with_views("WITH " + _SOLUTION_SQL + """
+SELECT problem_id, md5(replace(solution, chr(10), ' ')) AS gold_digest FROM sol""", "steps"))
+def q_gold_line(spark, sf):
+    """K4: the gold solution read back from a prompt's last "Correct solution" line (the prompt is
+    built from the step table: a problem line, a draft line, then the gold steps on one line)."""
+    s = X.steps(spark, sf)
+    sol = K.solutions(s).select("problem_id", F.array_join("solution_steps", " ").alias("flat"))
+    prompt = F.concat(F.lit("Problem "), F.col("problem_id").cast("string"), F.lit("\nCorrect solution: draft\n"),
+                      F.lit("Correct solution: "), F.col("flat"))
+    return sol.select("problem_id", F.md5(K.gold_line(prompt)).alias("gold_digest"))

@@ -69,3 +69,18 @@ def test_stream_grading(spark, tmpdir_path):
     q.stop()
     got = {r.idx: r.is_correct for r in spark.read.parquet(out).collect()}
     assert got == {0: True, 1: False}
+
+
+def test_benchmark_log_and_materialize(spark, tmpdir_path):
+    root = os.path.join(tmpdir_path, "bench")
+    os.makedirs(os.path.join(root, "gsm8k"))
+    with open(os.path.join(root, "gsm8k", "test.jsonl"), "w") as f:
+        f.write(json.dumps({"question": "q", "answer": "x #### 3"}) + "\n")
+    b = IO.read_benchmark(spark, "gsm8k", "test", root)
+    assert b.first().answer == "x #### 3"
+    cached = IO.materialize(b, os.path.join(tmpdir_path, "cache"))
+    assert cached.count() == 1
+    log = spark.createDataFrame([("p", 0.5, ["v1", "v2"])], "input string, score double, verifications array<string>")
+    out = os.path.join(tmpdir_path, "log")
+    IO.write_verification_log(log, out)
+    assert spark.read.json(out).first().verifications == ["v1", "v2"]
