@@ -1,8 +1,8 @@
 """Row-level operators: identity, projection guards, long/wide adapters, sampling, set operations,
 look-up joins.
 
-Randomness is keyed hashing (``xxhash64(key, seed)``): the same rows are drawn on every run, on any
-number of partitions, and after a lost executor recomputes a partition.
+Randomness is keyed hashing (md5 of the seed and the key): the same rows are drawn on every run, on
+any number of partitions, and after a lost executor recomputes a partition.
 """
 
 from __future__ import annotations
@@ -21,9 +21,17 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def hash_int(seed: int, *keys: str | Column) -> Column:
+    """A reproducible 52-bit integer per row from the seed and the key columns: the first 13 hex
+    digits of ``md5("seed|key1|key2…")``. Any engine with md5 draws the same rows (so the draws can
+    be checked in SQL), on any number of partitions and after any recomputation."""
+    text = F.concat_ws("|", F.lit(str(int(seed))), *[_c(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+
+
 def hash_unit(seed: int, *keys: str | Column) -> Column:
-    """A reproducible pseudo-random number in [0, 1) per row."""
-    return F.pmod(F.xxhash64(F.lit(int(seed)), *[_c(k) for k in keys]), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    """A reproducible pseudo-random number in [0, 1) per row (``hash_int`` / 2^52)."""
+    return hash_int(seed, *keys).cast("double") / float(1 << 52)
 
 
 # ------------------------------------------------------------------------------- B: projections
@@ -166,7 +174,7 @@ def sample_fraction(df: DataFrame, p: float, seed: int, key: Sequence[str]) -> D
 def random_cut(steps_n: str | Column, seed: int, key: Sequence[str]) -> Column:
     """A cut point in [1, n-1] per row (NULL when n < 2)."""
     n = _c(steps_n)
-    return F.when(n >= 2, 1 + F.pmod(F.xxhash64(F.lit(int(seed)), *[_c(k) for k in key]), n - 1))
+    return F.when(n >= 2, 1 + F.pmod(hash_int(seed, *key), n - 1))
 
 
 def balance(df: DataFrame, label: str, seed: int, key: Sequence[str]) -> DataFrame:

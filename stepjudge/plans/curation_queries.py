@@ -226,9 +226,21 @@ def q_preference_pairs(spark, sf):
                     "chosen_cot", "rejected_cot")
 
 
-@query("partial_prefixes")
+@query("partial_prefixes", with_views("WITH " + _K2_SQL + """,
+base AS (SELECT k2.problem_id, k2.gen_idx, k2.n_steps, s2.lp, g.boxed_text,
+           g.boxed_text || chr(10) || 'Is the solution correct? ' || CASE WHEN k2.is_correct THEN 'Yes' ELSE 'No' END AS cot
+         FROM k2 JOIN gen g USING (problem_id, gen_idx) JOIN s2 USING (problem_id)),
+pk AS (SELECT *, 1 + (CAST(('0x' || substr(md5('8|' || CAST(problem_id AS VARCHAR) || '|' || CAST(gen_idx AS VARCHAR)), 1, 13)) AS BIGINT)
+                      % NULLIF(n_steps - 1, 0)) AS k, string_split(boxed_text, chr(10)) AS ls
+       FROM base WHERE n_steps >= 4
+         AND (CAST(('0x' || substr(md5('7|' || CAST(problem_id AS VARCHAR) || '|' || CAST(gen_idx AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0) < 0.1)
+SELECT problem_id, gen_idx, FALSE AS partial, CAST(n_steps AS BIGINT) AS n_steps, cot FROM base
+UNION ALL
+SELECT problem_id, gen_idx, TRUE, CAST(k AS BIGINT),
+  array_to_string(ls[1:k], chr(10)) || chr(10) || 'Is the solution correct? ' || CASE WHEN k - 1 <= COALESCE(lp, -1) THEN 'Yes' ELSE 'No' END
+FROM pk WHERE len(ls) >= k""", "gen"))
 def q_partial_prefixes(spark, sf):
-    """K3 (keyed-random, so no DuckDB oracle): partial copies of long-chain rows."""
+    """K3: partial copies of a keyed-random tenth of the long chains, cut at a keyed-random step."""
     s = X.steps(spark, sf)
     g = X.gen(spark, sf).select("problem_id", "gen_idx", F.col("boxed_text").alias("text"))
     c = K.add_partial_prefixes(K.curate_long_chains(s, g), p=0.1, seed=7, min_steps=4)

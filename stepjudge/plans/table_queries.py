@@ -65,20 +65,25 @@ def q_head_n(spark, sf):
     return R.head_n(o, 50, [F.col("o_totalprice").desc(), F.col("o_orderkey")])
 
 
-@query("sample_n")
+@query("sample_n", """
+SELECT o_orderkey FROM orders ORDER BY (CAST(('0x' || substr(md5('42|' || CAST(o_orderkey AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0), o_orderkey LIMIT 100""")
 def q_sample_n(spark, sf):
-    """L3: seeded shuffle then 100 rows (keyed hash; no DuckDB equivalent of the hash)."""
+    """L3: seeded shuffle then 100 rows (keyed md5 hash, reproduced in SQL)."""
     return R.sample_n(X.table(spark, sf, "orders").select("o_orderkey"), 100, 42, ["o_orderkey"])
 
 
-@query("sample_fraction")
+@query("sample_fraction", """
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (CAST(('0x' || substr(md5('7|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|' || CAST(l_partkey AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0) < 0.1""")
 def q_sample_fraction(spark, sf):
     """Bernoulli(0.1) sample by keyed hash."""
     return R.sample_fraction(X.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"),
                              0.1, 7, ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
-@query("weighted_choice")
+@query("weighted_choice", """
+WITH e AS (SELECT e.event_id, e.user_id, 1.0 / (1.0 + (m.mx - e.value)) AS w FROM events e
+  JOIN (SELECT user_id, max(value) AS mx FROM events GROUP BY user_id) m USING (user_id))
+SELECT user_id, arg_max(event_id, ln(greatest((CAST(('0x' || substr(md5('11|' || CAST(event_id AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0), 1e-300)) / w) AS event_id FROM e GROUP BY user_id""")
 def q_weighted_choice(spark, sf):
     """One event per user, drawn with weight 1 / (1 + distance to the user's best value)."""
     e = X.table(spark, sf, "events").select("event_id", "user_id", "value")
