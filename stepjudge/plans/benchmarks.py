@@ -101,6 +101,13 @@ def question_text(df: DataFrame, benchmark: str, out: str = "question", gold: st
         opts = F.array_join(F.transform("choices", lambda o, i: F.concat(
             F.lit("("), F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), i + 1), F.lit(") "), strip_ws(o.cast("string")))), " ")
         q = F.concat(strip_ws(F.col("question")), F.lit("\nAnswer Choices: "), opts)
+    elif b == "sat_math":
+        opts = F.concat(F.lit("("), strip_ws(F.col("options")))
+        opts = F.regexp_replace(opts, r" ([BCD])\) ", " ($1) ")
+        q = F.concat(strip_ws(F.col("question")), F.lit("\nAnswer Choices: "), opts)
+    elif b == "gaokao_math_qa":
+        opts = F.array_join(F.transform(F.map_entries("options"), lambda e: F.concat(F.lit("("), e["key"], F.lit(") "), e["value"])), " ")
+        q = F.concat(strip_ws(F.col("question")), F.lit("\n选项: "), opts)
     elif b == "aqua":
         choice = F.concat(F.lit("("), F.array_join("options", "("))
         choice = strip_ws(F.replace(F.replace(choice, F.lit("("), F.lit(" (")), F.lit(")"), F.lit(") ")))

@@ -205,3 +205,17 @@ def test_step_sequences_same_label(spark):
     assert r.loss_mask_with_first_error_only.count(1) == 2
     r2 = step_sequences(steps, qs, solution_label="sol").first()
     assert r2.labels.count(2) == 2 and r2.labels.count(3) == 0
+
+
+def test_question_text_layouts(spark):
+    from stepjudge.plans.benchmarks import gold_answer, question_text
+    sat = spark.createDataFrame([(" What? ", "A) 1 B) 2 C) 3 D) 4", "B")], "question string, options string, Answer string")
+    assert question_text(sat, "sat_math").first().question == "What?\nAnswer Choices: (A) 1 (B) 2 (C) 3 (D) 4"
+    gk = spark.createDataFrame([("Q", {"A": "x", "B": "y"}, "A")], "question string, options map<string,string>, label string")
+    assert question_text(gk, "gaokao_math_qa").first().question == "Q\n选项: (A) x (B) y"
+    aq = spark.createDataFrame([("Q", ["A)1", "B)2"], "A")], "question string, options array<string>, correct string")
+    assert question_text(aq, "aqua").first().question == "Q\nAnswer Choices: (A) 1 (B) 2"
+    gs = spark.createDataFrame([("q", "steps #### 1,234")], "question string, answer string")
+    assert gold_answer(gs, "gsm8k").first().gold == "1,234"  # commas stay; equality drops them
+    mm = spark.createDataFrame([("q", ["a", "b", "c", "d"], 2)], "question string, choices array<string>, answer int")
+    assert gold_answer(mm, "mmlu_stem").first().gold == "C"
