@@ -23,8 +23,9 @@ def _c(x: str | Column) -> Column:
 
 
 def r6(x: str | Column) -> Column:
-    """Round a double to 6 digits (the comparison rule of the fixtures)."""
-    return F.round(_c(x).cast("double"), 6)
+    """Round a double to 6 digits (the comparison rule of the fixtures); ``+ 0.0`` turns a
+    negative zero into zero so equal values also hash equally."""
+    return F.round(_c(x).cast("double"), 6) + F.lit(0.0)
 
 
 # ------------------------------------------------------------------------------------ pass@k

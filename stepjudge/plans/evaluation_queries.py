@@ -244,14 +244,14 @@ kd AS (SELECT p.problem_id, CASE WHEN (nc + nd + tx) * (nc + nd + ty) = 0 THEN N
 """
 
 
-@query("spearman", with_views(_RANKS_SQL + "SELECT problem_id, round(spearman, 6) AS spearman FROM sp", "cand"))
+@query("spearman", with_views(_RANKS_SQL + "SELECT problem_id, round(spearman, 6) + 0.0 AS spearman FROM sp", "cand"))
 def q_spearman(spark, sf):
     c = X.cand(spark, sf).withColumn("x", F.col("score").cast("double"))
     s = M.spearman(c, ["problem_id"], "x", (F.col("answer_key") == F.col("gold_key")).cast("double"))
     return s.select("problem_id", r6("spearman").alias("spearman"))
 
 
-@query("kendall", with_views(_RANKS_SQL + "SELECT problem_id, round(kendall, 6) AS kendall FROM kd", "cand"))
+@query("kendall", with_views(_RANKS_SQL + "SELECT problem_id, round(kendall, 6) + 0.0 AS kendall FROM kd", "cand"))
 def q_kendall(spark, sf):
     c = X.cand(spark, sf).withColumn("x", F.col("score").cast("double"))
     k = M.kendall_binary(c, ["problem_id"], "x", (F.col("answer_key") == F.col("gold_key")).cast("double"))
@@ -259,7 +259,7 @@ def q_kendall(spark, sf):
 
 
 @query("correlation_report", with_views(_RANKS_SQL + """
-SELECT round(avg(spearman), 6) AS spearman, round(avg(kendall), 6) AS kendall, count(spearman) AS n_groups_used,
+SELECT round(avg(spearman), 6) + 0.0 AS spearman, round(avg(kendall), 6) + 0.0 AS kendall, count(spearman) AS n_groups_used,
   count(*) AS num_samples FROM sp JOIN kd USING (problem_id)""", "cand"))
 def q_correlation_report(spark, sf):
     c = X.cand(spark, sf).withColumn("x", F.col("score").cast("double"))
