@@ -37,8 +37,8 @@ def _cols(xs: Sequence[str | Column]) -> list[Column]:
 # numbered by one window task. Smaller groups stay on the plain window (bounded per task).
 HOT_GROUP_ROWS = 2_000_000
 
-# largest group size per (plan, keys), measured once per session
-_LARGEST_GROUP: dict[tuple[int, tuple[str, ...]], int] = {}
+# (largest group, hot rows) per (plan, keys, bound), measured once per session
+_LARGEST_GROUP: dict[tuple, tuple[int, int]] = {}
 
 _OPS = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}
 
@@ -132,18 +132,27 @@ def running(
         total = df.count()
         if total <= limit:
             return _window_running(df, keys, order_cols, aggs)
-        return _sliced_running(df, keys, order_cols, aggs, n)
+        return _sliced_running(df, keys, order_cols, aggs, max(n, -(-total // limit)))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sj_n"))
-    memo = (df.semanticHash(), tuple(keys))
-    if memo not in _LARGEST_GROUP:
-        _LARGEST_GROUP[memo] = sizes.agg(F.max("_sj_n")).first()[0] or 0
-    biggest = _LARGEST_GROUP[memo]
+    biggest, hot_rows = _measure(df, keys, sizes, limit)
     if biggest <= limit:
         return _window_running(df, keys, order_cols, aggs)
     hot = F.broadcast(sizes.filter(F.col("_sj_n") > limit).select(*keys))
     cold = df.join(hot, keys, "left_anti")
     warm = df.join(hot, keys, "left_semi")
-    return _window_running(cold, keys, order_cols, aggs).unionByName(_sliced_running(warm, keys, order_cols, aggs, n))
+    # enough slices that each holds about `limit` rows of the hot groups
+    slices_needed = max(n, -(-hot_rows // limit))
+    return _window_running(cold, keys, order_cols, aggs).unionByName(
+        _sliced_running(warm, keys, order_cols, aggs, slices_needed))
+
+
+def _measure(df: DataFrame, keys: Sequence[str], sizes: DataFrame, limit: int) -> tuple[int, int]:
+    """(largest group, rows in groups above ``limit``), one small aggregate job per plan."""
+    memo = (df.semanticHash(), tuple(keys), limit)
+    if memo not in _LARGEST_GROUP:
+        r = sizes.agg(F.max("_sj_n"), F.sum(F.when(F.col("_sj_n") > limit, F.col("_sj_n")).otherwise(0))).first()
+        _LARGEST_GROUP[memo] = (int(r[0] or 0), int(r[1] or 0))
+    return _LARGEST_GROUP[memo]
 
 
 def number_within(
@@ -166,12 +175,21 @@ def top_k_within(
 ) -> DataFrame:
     """Keep the first ``k`` rows of every group in ``order`` and number them 1..k.
 
-    Two levels: the top ``k`` inside ``(group, salt)`` buckets first, then the exact top ``k`` over the
-    survivors, which are at most ``k * salts`` rows per group however large the group is.
+    Groups are measured first (one small aggregate): when every group is bounded, one window.
+    Otherwise two levels: the top ``k`` inside ``(group, salt)`` buckets of about ``HOT_GROUP_ROWS``
+    rows, then the exact top ``k`` over the survivors — at most ``k * salts`` rows per group.
     """
     keys = list(keys)
     order_cols = _cols(order)
-    s = salts or shuffle_partitions(df.sparkSession)
+    if salts is None:
+        # bounded groups need no salt; a hot group is cut into buckets of about HOT_GROUP_ROWS rows
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sj_n"))
+        biggest, _ = _measure(df, keys, sizes, HOT_GROUP_ROWS)
+        if biggest <= HOT_GROUP_ROWS:
+            w = Window.partitionBy(*keys).orderBy(*order_cols)
+            return df.withColumn(name, F.row_number().over(w).cast("bigint")).filter(F.col(name) <= k)
+        salts = max(shuffle_partitions(df.sparkSession), -(-biggest // HOT_GROUP_ROWS))
+    s = salts
     salt_src = [F.col(c) for c in (salt_cols or df.columns)]
     salted = df.withColumn("_sj_salt", F.pmod(F.xxhash64(*salt_src), F.lit(s)))
     w1 = Window.partitionBy(*keys, "_sj_salt").orderBy(*order_cols)
