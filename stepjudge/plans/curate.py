@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepjudge.functions import verdicts as VD
+from stepjudge.operators import ranking as RK
 from stepjudge.operators.ranking import top_k_within
 from stepjudge.session import shuffle_partitions
 from stepjudge.operators.rows import balance, hash_unit, random_cut, sample_fraction, to_wide
@@ -46,8 +47,12 @@ def _cap(df: DataFrame, cap: int | None, order: str = "gen_idx") -> DataFrame:
     then rank the few survivors per solution."""
     if cap is None:
         return df
-    s = shuffle_partitions(df.sparkSession)
-    acc = df.filter(F.col("reject_reason").isNull()).withColumn("_salt", F.pmod(F.xxhash64("problem_id", order), F.lit(s)))
+    accepted = df.filter(F.col("reject_reason").isNull())
+    sizes = accepted.groupBy("problem_id").agg(F.count(F.lit(1)).alias("_sj_n"))
+    biggest, _ = RK._measure(accepted, ["problem_id"], sizes, RK.HOT_GROUP_ROWS)
+    # one bucket while every solution is bounded; otherwise buckets of about HOT_GROUP_ROWS chains
+    s = 1 if biggest <= RK.HOT_GROUP_ROWS else max(shuffle_partitions(df.sparkSession), -(-biggest // RK.HOT_GROUP_ROWS))
+    acc = accepted.withColumn("_salt", F.pmod(F.xxhash64("problem_id", order), F.lit(s)))
     rej = df.filter(F.col("reject_reason").isNotNull())
     r1 = acc.withColumn("_r1", F.row_number().over(Window.partitionBy("problem_id", "_salt").orderBy(order)))
     out_bucket = r1.filter(F.col("_r1") > cap).withColumn("reject_reason", F.lit("over_cap"))
