@@ -40,6 +40,9 @@ HOT_GROUP_ROWS = 2_000_000
 # (largest group, hot rows) per (plan, keys, bound), measured once per session
 _LARGEST_GROUP: dict[tuple, tuple[int, int]] = {}
 
+# buckets per group for the two-level top-k
+TOP_K_SALTS = 1024
+
 _OPS = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -175,21 +178,15 @@ def top_k_within(
 ) -> DataFrame:
     """Keep the first ``k`` rows of every group in ``order`` and number them 1..k.
 
-    Groups are measured first (one small aggregate): when every group is bounded, one window.
-    Otherwise two levels: the top ``k`` inside ``(group, salt)`` buckets of about ``HOT_GROUP_ROWS``
-    rows, then the exact top ``k`` over the survivors — at most ``k * salts`` rows per group.
+    Two levels: the top ``k`` inside ``(group, salt)`` buckets (at least ``TOP_K_SALTS`` of them, so
+    a hot group is spread over that many tasks), then the exact top ``k`` over the survivors — at
+    most ``k * salts`` rows per group however large the group is.
     """
     keys = list(keys)
     order_cols = _cols(order)
-    if salts is None:
-        # bounded groups need no salt; a hot group is cut into buckets of about HOT_GROUP_ROWS rows
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sj_n"))
-        biggest, _ = _measure(df, keys, sizes, HOT_GROUP_ROWS)
-        if biggest <= HOT_GROUP_ROWS:
-            w = Window.partitionBy(*keys).orderBy(*order_cols)
-            return df.withColumn(name, F.row_number().over(w).cast("bigint")).filter(F.col(name) <= k)
-        salts = max(shuffle_partitions(df.sparkSession), -(-biggest // HOT_GROUP_ROWS))
-    s = salts
+    # no measuring job: a fixed, generous number of buckets spreads any hot group over at least
+    # TOP_K_SALTS tasks, and costs small groups only a second, tiny window
+    s = salts or max(shuffle_partitions(df.sparkSession), TOP_K_SALTS)
     salt_src = [F.col(c) for c in (salt_cols or df.columns)]
     salted = df.withColumn("_sj_salt", F.pmod(F.xxhash64(*salt_src), F.lit(s)))
     w1 = Window.partitionBy(*keys, "_sj_salt").orderBy(*order_cols)

@@ -48,10 +48,7 @@ def _cap(df: DataFrame, cap: int | None, order: str = "gen_idx") -> DataFrame:
     if cap is None:
         return df
     accepted = df.filter(F.col("reject_reason").isNull())
-    sizes = accepted.groupBy("problem_id").agg(F.count(F.lit(1)).alias("_sj_n"))
-    biggest, _ = RK._measure(accepted, ["problem_id"], sizes, RK.HOT_GROUP_ROWS)
-    # one bucket while every solution is bounded; otherwise buckets of about HOT_GROUP_ROWS chains
-    s = 1 if biggest <= RK.HOT_GROUP_ROWS else max(shuffle_partitions(df.sparkSession), -(-biggest // RK.HOT_GROUP_ROWS))
+    s = max(shuffle_partitions(df.sparkSession), RK.TOP_K_SALTS)
     acc = accepted.withColumn("_salt", F.pmod(F.xxhash64("problem_id", order), F.lit(s)))
     rej = df.filter(F.col("reject_reason").isNotNull())
     r1 = acc.withColumn("_r1", F.row_number().over(Window.partitionBy("problem_id", "_salt").orderBy(order)))

@@ -86,12 +86,7 @@ def test_running_max_matches_window(spark):
 
 def test_top_k_with_hot_group(spark):
     df = spark.range(20000).withColumn("g", F.when(F.col("id") < 10000, F.lit(0)).otherwise(F.col("id") % 50 + 1))
-    old = RK.HOT_GROUP_ROWS
-    RK.HOT_GROUP_ROWS = 1000  # group 0 (10,000 rows) is hot: salted two-level path
-    try:
-        top = RK.top_k_within(df, ["g"], [F.col("id").desc()], 3, "rank")
-    finally:
-        RK.HOT_GROUP_ROWS = old
+    top = RK.top_k_within(df, ["g"], [F.col("id").desc()], 3, "rank")  # group 0 spread over the salt buckets
     hot = [r.id for r in top.filter("g = 0").orderBy("rank").collect()]
     assert hot == [9999, 9998, 9997]
 
