@@ -25,6 +25,8 @@ def get_spark(master: str | None = None, partitions: int | None = None, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # checkpoint files of unreachable DataFrames are removed instead of piling up
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
