@@ -84,3 +84,22 @@ def test_benchmark_log_and_materialize(spark, tmpdir_path):
     out = os.path.join(tmpdir_path, "log")
     IO.write_verification_log(log, out)
     assert spark.read.json(out).first().verifications == ["v1", "v2"]
+
+
+def test_stream_restart_resumes(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "in2")
+    os.makedirs(src)
+    out = os.path.join(tmpdir_path, "out2")
+    name = f"r{int(time.time() * 1000)}"
+    with open(os.path.join(src, "a.jsonl"), "w") as f:
+        f.write(json.dumps({"problem_id": 1, "idx": 0, "text": "The answer is 3.", "gold": "3"}) + "\n")
+    q = S.start_grading(S.read_candidate_stream(spark, src), out, name=name)
+    q.processAllAvailable()
+    q.stop()
+    with open(os.path.join(src, "b.jsonl"), "w") as f:
+        f.write(json.dumps({"problem_id": 2, "idx": 0, "text": "\\boxed{5}", "gold": "4"}) + "\n")
+    q = S.start_grading(S.read_candidate_stream(spark, src), out, name=name)  # same progress folder
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r.problem_id, r.is_correct) for r in spark.read.parquet(out).collect())
+    assert got == [(1, True), (2, False)]
