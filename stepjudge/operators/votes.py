@@ -12,8 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STEP_AGGREGATES = ("min", "prod", "last")
+_IDX_BITS = 1 << 40  # candidates per problem stay below 2^40
 
 
 def _c(x: str | Column) -> Column:
@@ -65,14 +67,23 @@ def sweep(df: DataFrame, ns: Sequence[int], idx: str = "idx") -> DataFrame:
 
 def _first_group_stats(df: DataFrame, by: Sequence[str], key: str, answer: str, idx: str,
                        score: str | None) -> DataFrame:
+    """Per answer group: size, first index, first answer text and (optionally) score sum.
+
+    Two steps: a hash aggregate per distinct (group, answer text) with numeric buffers only — the
+    pass over every candidate — then the text of the first index per group, a (sort-based)
+    aggregate over distinct answers only."""
+    pre = [F.count(F.lit(1)).alias("_c0"), F.min(idx).alias("_i0")]
+    if score is not None:
+        pre.append(F.sum(score).alias("_w0"))
+    d = df.groupBy(*by, key, answer).agg(*pre)
     aggs = [
-        F.count(F.lit(1)).alias("_cnt"),
-        F.min(idx).alias("_first_idx"),
-        F.min_by(F.col(answer), F.col(idx)).alias("_first_answer"),
+        F.sum("_c0").alias("_cnt"),
+        F.min("_i0").alias("_first_idx"),
+        F.min_by(F.col(answer), F.col("_i0")).alias("_first_answer"),
     ]
     if score is not None:
-        aggs.append(F.sum(score).alias("_weight"))
-    return df.groupBy(*by, key).agg(*aggs)
+        aggs.append(F.sum("_w0").alias("_weight"))
+    return d.groupBy(*by, key).agg(*aggs)
 
 
 def vote_weighted(df: DataFrame, by: Sequence[str] = ("problem_id",), key: str = "answer_key",
@@ -119,19 +130,34 @@ def vote_sweep(df: DataFrame, ns: Sequence[int], by: Sequence[str] = ("problem_i
     (by..., n, pred_naive, pred_weighted, pred_maj, key_naive, key_weighted, key_maj[, gold, covered]).
     """
     s = sweep(df, ns, idx)
+    exact = isinstance(s.schema[score].dataType, (T.DecimalType, T.IntegralType))
+    keys0 = [*by, "n", key, answer] + ([gold] if gold is not None else [])
+    if exact:
+        # one pass over every (candidate, n) with numeric buffers only (answer text and gold are
+        # grouping keys); the best candidate is a packed DECIMAL(38,0): score units, then first index
+        units = (F.col(score).cast("decimal(38,6)") * 1000000).cast("decimal(38,0)")
+        best = (units * F.lit(_IDX_BITS) + (F.lit(_IDX_BITS - 1) - F.col(idx))).cast("decimal(38,0)")
+        d = s.groupBy(*keys0).agg(F.count(F.lit(1)).alias("_c0"), F.sum(score).alias("_w0"),
+                                  F.min(idx).alias("_i0"), F.max(best).alias("_b0"))
+        best_expr = F.max_by(F.struct(F.col("_b0").alias("o"), F.col(answer)), F.col("_b0"))
+    else:
+        d = s.groupBy(*keys0).agg(F.count(F.lit(1)).alias("_c0"), F.sum(score).alias("_w0"), F.min(idx).alias("_i0"),
+                                  F.max(F.struct(F.col(score), -F.col(idx))).alias("_b0"))
+        best_expr = F.max_by(F.struct(F.col("_b0").alias("o"), F.col(answer)), F.col("_b0"))
     lvl1 = [
-        F.count(F.lit(1)).alias("_cnt"),
-        F.sum(score).alias("_weight"),
-        F.min(idx).alias("_first_idx"),
-        F.min_by(F.col(answer), F.col(idx)).alias("_first_answer"),
-        F.max(F.struct(F.col(score), -F.col(idx), F.col(answer))).alias("_best"),
+        F.sum("_c0").alias("_cnt"),
+        F.sum("_w0").alias("_weight"),
+        F.min("_i0").alias("_first_idx"),
+        F.min_by(F.col(answer), F.col("_i0")).alias("_first_answer"),
+        best_expr.alias("_best"),
     ]
     if gold is not None:
         lvl1.append(F.max(gold).alias("_gold"))
-    g = s.groupBy(*by, "n", key).agg(*lvl1)
+    g = d.groupBy(*by, "n", key).agg(*lvl1)
     grp = F.struct(F.col("_first_answer").alias("a"), F.col(key).alias("k"))
     lvl2 = [
-        F.max(F.struct(F.col("_best"), F.col(key).alias("k"))).alias("_naive"),
+        F.max_by(F.struct(F.col("_best").getField(answer).alias(answer), F.col(key).alias("k")),
+                 F.col("_best.o")).alias("_naive"),
         F.max_by(grp, F.struct(F.col("_weight"), -F.col("_first_idx"))).alias("_wt"),
         F.max_by(grp, F.struct(F.col("_cnt"), -F.col("_first_idx"))).alias("_mj"),
     ]
@@ -140,7 +166,7 @@ def vote_sweep(df: DataFrame, ns: Sequence[int], by: Sequence[str] = ("problem_i
     r = g.groupBy(*by, "n").agg(*lvl2)
     cols = [
         *by, F.col("n").cast("bigint").alias("n"),
-        boxed(F.col("_naive._best").getField(answer)).alias("pred_naive"),
+        boxed(F.col("_naive").getField(answer)).alias("pred_naive"),
         boxed(F.col("_wt.a")).alias("pred_weighted"),
         boxed(F.col("_mj.a")).alias("pred_maj"),
         F.col("_naive.k").alias("key_naive"), F.col("_wt.k").alias("key_weighted"), F.col("_mj.k").alias("key_maj"),
