@@ -219,3 +219,27 @@ def test_question_text_layouts(spark):
     assert gold_answer(gs, "gsm8k").first().gold == "1,234"  # commas stay; equality drops them
     mm = spark.createDataFrame([("q", ["a", "b", "c", "d"], 2)], "question string, choices array<string>, answer int")
     assert gold_answer(mm, "mmlu_stem").first().gold == "C"
+
+
+def test_prompt_helpers(spark):
+    from stepjudge.functions import prompts as P
+    df = spark.createDataFrame([("Q", "S1\nS2", "<think>\nchk</think>\nIs the solution correct? Yes", None, ["a", "b"])],
+                               "q string, s string, c string, starter string, steps array<string>")
+    r = df.select(
+        P.analysis_prompt("q", "s").alias("a"),
+        P.training_prompt("q", "s", "c").alias("t"),
+        P.code_prompt("q", "starter").alias("code"),
+        P.conversation(F.lit("sys"), "q", F.lit("")).alias("conv"),
+        P.mark_steps("steps", "tag").alias("m1"),
+        P.mark_steps("steps", "numbered").alias("m2"),
+        P.rewrite_answer_phrase(F.lit("The answer is 4")).alias("rw"),
+    ).first()
+    assert r.a.endswith("Question: Q\n\nS1\nS2\n\n")
+    assert "<think>\nLet's verify step by step:\nchk" in r.t and r.t.endswith("</think>\nIs the solution correct? Yes")
+    assert r.code.endswith("# YOUR CODE HERE\n```\n\n")
+    assert [m.role for m in r.conv] == ["system", "user"]
+    assert r.m1 == "a<extra_0>b<extra_0>"
+    assert r.m2 == "Step 1: a ки\nStep 2: b ки"
+    assert r.rw == "The final answer is 4"
+    with pytest.raises(ValueError):
+        P.few_shot_prompt(F.lit("q"), F.array(), "kpmath")
