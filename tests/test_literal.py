@@ -243,3 +243,15 @@ def test_prompt_helpers(spark):
     assert r.rw == "The final answer is 4"
     with pytest.raises(ValueError):
         P.few_shot_prompt(F.lit("q"), F.array(), "kpmath")
+
+
+def test_confidence_extremes(spark):
+    from stepjudge.operators import scoring as SC
+    df = spark.createDataFrame([(-800.0, -900.0, [-800.0, -900.0, -1000.0])], "y double, n double, a array<double>")
+    r = df.select(SC.confidence("y", "n").alias("c"), SC.softmax("a").alias("s")).first()
+    assert abs(r.c - 1.0) < 1e-12
+    assert abs(sum(r.s) - 1.0) < 1e-12 and r.s[0] > 0.999
+    lp = spark.createDataFrame([(1, 0, -0.1, -2.3, " Yes"), (1, 1, -3.0, -0.05, "No "), (1, 2, -1.0, -1.0, " maybe")],
+                               "gen_id long, pos long, yes double, no double, top string")
+    got = SC.scores_from_logprobs(lp, "gen_id", "pos", "yes", "no", "top").orderBy("pos").collect()
+    assert [g.pos for g in got] == [0, 1] and got[0].confidence > 0.9 and got[1].confidence < 0.1
