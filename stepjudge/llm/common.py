@@ -35,8 +35,9 @@ def free_name(df: DataFrame, base: str) -> str:
 
 
 def with_struct(df: DataFrame, fields: Sequence[str], value: Column, keep: Sequence[str]) -> DataFrame:
-    """``keep`` and the fields of a struct column, which is evaluated once per row."""
+    """``keep`` and the fields of a struct column, which is evaluated once per row. Fields replace columns of their name."""
     tmp = free_name(df, "_out")
+    keep = [c for c in keep if c.lower() not in {f.lower() for f in fields}]
     return df.withColumn(tmp, value).select(*keep, *[F.col(f"{tmp}.{f}").alias(f) for f in fields])
 
 

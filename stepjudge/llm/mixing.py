@@ -58,7 +58,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: fl
 
 def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
             weights: Sequence[float] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """(key, size, source_size, target, copies, taken): what the mix takes of each row."""
+    """(doc_id, source, size, source_size, target, copies, taken): what the mix takes of each row."""
     rows = checkpoint(
         docs.select(
             F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), digest(F.col(key), seed).alias("d")
@@ -93,15 +93,16 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     joined = joined.join(edge, same(F.col("source"), F.col("e_source")) & (F.col("d") == F.col("e_d")), "left")
     extra = F.when(F.col("rest") <= 0, 0).when(F.col("b_at").isNull() | (F.col("b") < F.col("b_at")), 1).when(F.col("in_edge"), 1).otherwise(0)
     copies = F.least(F.col("whole") + extra, F.lit(int(max_epochs))).cast("int")
-    return joined.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; all columns are kept."""
-    plan = mixture(docs, key, text, source, **options).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    mine, times, each = free_name(docs, "_key"), free_name(docs, "_times"), free_name(docs, "_each")
-    plan = plan.select(F.col("doc_id").alias(mine), F.col("copies").alias(times)).where(F.col(times) > 0)
-    joined = docs.join(plan, docs[key].eqNullSafe(F.col(mine)))
+    # rows of one source and id have one digest, so they are taken alike
+    plan = mixture(docs, key, text, source, **options).groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
+    mine, of, times, each = (free_name(docs, c) for c in ("_key", "_of", "_times", "_each"))
+    plan = plan.select(F.col("doc_id").alias(mine), F.col("source").alias(of), F.col("copies").alias(times)).where(F.col(times) > 0)
+    joined = docs.join(plan, docs[key].eqNullSafe(F.col(mine)) & docs[source].cast("string").eqNullSafe(F.col(of)))
     return joined.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 

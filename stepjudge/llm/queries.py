@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepjudge.llm import fingerprint, language, mixing, sentencepiece_table, substrings, toxicity
+from stepjudge.llm import fingerprint, hamming, jaccard, language, maxent, mixing, private, sentencepiece_table, substrings, toxicity
 from stepjudge.llm.common import held_out, learnable, table, with_struct
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,10 +46,29 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_runs(table(spark, sf_dir, "documents"))
 
 
+@query("op3_private_data")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of personal data of every document."""
+    return private.find(table(spark, sf_dir, "documents"))
+
+
+@query("op4_nearest_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found of every hundredth."""
+    return hamming.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op5_lm_scoring")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document; learned from those whose remainder isn't 2."""
+    docs = table(spark, sf_dir, "documents")
+    return maxent.score_documents(docs, docs.where(learnable("doc_id", 7, 2)), held_out("doc_id", 7, 2))
+
+
 @query("op6_mixing", mixing.SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
-    return mixing.mixture(table(spark, sf_dir, "documents")).drop("copies")
+    return mixing.mixture(table(spark, sf_dir, "documents")).drop("copies", "source")
 
 
 @query("op7_fingerprints")
@@ -58,6 +77,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.next_pairs(table(spark, sf_dir, "documents"))
 
 
+@query("op8_jaccard_join", jaccard.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and links of every document: five words, a similarity of 0.8."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies", "n_links")
+
+
 @query("op9_sentencepiece")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
@@ -74,3 +99,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["lang_pred", "score", "langs"]
     out = docs.withColumn("held_out", held_out("doc_id", 4, 2))
     return with_struct(out, fields, language.predict("text", names, logp), ["doc_id", "held_out"])
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of the corpus pipeline, with the digests of what they end in."""
+    import corpus_pipeline
+
+    docs = corpus_pipeline.run(spark, sf_dir)
+    ids = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256)
+    return docs.select("doc_id", "text", "lang", "source", "n_chars", F.size("ids").cast("bigint").alias("n_tokens"), ids.alias("ids_sha256"))
