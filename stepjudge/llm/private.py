@@ -181,10 +181,10 @@ def _best(rows: list, ridge: float = RIDGE):
 def learn(found: DataFrame) -> Trees:
     """Trees and thresholds from a table of candidates.
 
-    Its rows are summed per feature vector first. Each level of a tree is one aggregation by feature and
+    Its rows are summed per feature vector first (a table bounded by the features' values). Each level of a tree is one aggregation by feature and
     value (a few hundred sums) of which the driver picks the best.
     """
-    table = checkpoint(found.groupBy("kind", "f").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("inside").cast("double")).alias("y")))
+    table = checkpoint(found.groupBy("kind", "f").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("inside").cast("double")).alias("y")).coalesce(4))
     sums = table.agg(F.sum("n").alias("n"), F.sum("y").alias("y")).first()
     model = Trees()
     if not sums["n"]:
