@@ -5,6 +5,8 @@ A chat template is a plug-in (``role_template``); the default tags each message
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,11 +32,11 @@ def _c(x: str | Column) -> Column:
 
 
 def render_template(template: str, fields: Mapping[str, str | Column]) -> Column:
-    """Substitute ``{name}`` placeholders with columns (a fold of ``replace``)."""
-    out = F.lit(template)
-    for k, v in fields.items():
-        out = F.replace(out, F.lit("{" + k + "}"), _c(v))
-    return out
+    """The template with its ``{name}`` placeholders filled by columns. The template is split once,
+    so placeholders inside a filled-in text stay as they are."""
+    names = "|".join(re.escape(k) for k in fields) or "(?!)"
+    parts = re.split(r"\{(" + names + r")\}", template)
+    return F.concat(*[_c(fields[p]) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 
 
 def role_template(role: str | Column, content: str | Column) -> Column:

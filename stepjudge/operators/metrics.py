@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepjudge.operators.ranking import running
-from stepjudge.operators.votes import sweep
+from stepjudge.operators.votes import exact, first_sweep, later_ns, sweep
 from stepjudge.session import checkpoint_dir
 
 
@@ -88,39 +88,29 @@ def accuracy(df: DataFrame, correct: str = "is_correct", score: str | None = "sc
     return df.agg(*aggs)
 
 
-_IDX_BITS = 1 << 40  # candidates per problem stay below 2^40
-
-
-def _packed(major: Column, idx: Column) -> Column:
-    """One DECIMAL(38,0) that orders like (major desc-wins, idx asc-wins): major * 2^40 + (2^40-1-idx).
-    Fixed-width, so the aggregates that compare by it stay hash aggregates."""
-    return (major.cast("decimal(38,0)") * F.lit(_IDX_BITS) + (F.lit(_IDX_BITS - 1) - idx)).cast("decimal(38,0)")
-
-
 def scaling_table(df: DataFrame, ns: Sequence[int], by: Sequence[str] = ("problem_id",), key: str = "answer_key",
                   score: str = "score", idx: str = "idx", gold: str = "gold_key") -> DataFrame:
     """``n, problems, acc_naive, acc_weighted, acc_maj, cov`` — votes, coverage and accuracy
     for every n in one plan (three aggregation levels, no job per n).
 
-    Only correctness is needed here, not the winning texts, so every aggregation buffer is numeric:
-    an answer group carries ``hit`` (its key is the gold key) and the tie-broken orderings are packed
-    into one DECIMAL(38,0) (score in 1e-6 units, weights in 1e-6 units and counts, each with the
-    first index as tie-break). All three levels plan as hash aggregates with map-side combine.
-    Bounds: fewer than 2^40 candidates per problem, |score sum| < 1e16.
+    Only correctness is needed here, not the winning texts: an answer group carries ``hit`` (its key is
+    the gold key). Every candidate is aggregated once, under the least n that holds it, and the partial
+    sums are added up per n. Scores are compared as they are and summed exactly (``votes.exact``), so
+    this table and the votes never disagree.
     """
-    s = sweep(df, ns, idx)
-    units = (F.col(score).cast("decimal(38,6)") * 1000000).cast("decimal(38,0)")
-    lvl1 = s.groupBy(*by, "n", key).agg(
+    s = first_sweep(df, ns, idx).groupBy(*by, "_n", key).agg(
         F.count(F.lit(1)).alias("_cnt"),
-        F.sum(units).alias("_w"),
+        F.sum(exact(df, score)).alias("_w"),
         F.min(idx).alias("_fi"),
         F.max((F.col(key) == F.col(gold)).cast("int")).alias("_hit"),
-        F.max(_packed(units, F.col(idx))).alias("_best"),
+        F.max(F.struct(F.col(score), -F.col(idx))).alias("_best"),
     )
+    lvl1 = later_ns(s, ns).groupBy(*by, "n", key).agg(
+        F.sum("_cnt").alias("_cnt"), F.sum("_w").alias("_w"), F.min("_fi").alias("_fi"), F.max("_hit").alias("_hit"), F.max("_best").alias("_best"))
     lvl2 = lvl1.groupBy(*by, "n").agg(
         F.max_by("_hit", "_best").alias("naive"),
-        F.max_by("_hit", _packed(F.col("_w"), F.col("_fi"))).alias("weighted"),
-        F.max_by("_hit", _packed(F.col("_cnt"), F.col("_fi"))).alias("maj"),
+        F.max_by("_hit", F.struct(F.col("_w"), -F.col("_fi"))).alias("weighted"),
+        F.max_by("_hit", F.struct(F.col("_cnt"), -F.col("_fi"))).alias("maj"),
         F.max("_hit").alias("covered"),
     )
     pct = lambda c: F.avg(F.col(c).cast("double")) * 100
@@ -157,20 +147,21 @@ def difficulty_level(metric: str | Column, cuts: Column) -> Column:
     return (F.when(m < cuts[0], 5).when(m < cuts[1], 4).when(m < cuts[2], 3).when(m < cuts[3], 2).otherwise(1))
 
 
-# an exact percentile keeps every distinct value in one aggregation buffer; above this many
-# distinct values the sketch-based approximate percentile is used instead
-EXACT_PERCENTILE_DISTINCT = 1_000_000
-
-
-def quintiles(df: DataFrame, metric: str, exact: bool | None = None) -> Column:
-    """Cut points at 20/40/60/80 % as a scalar subquery Column. ``exact=None`` measures the
-    distinct values first (a mergeable sketch) and uses the exact percentile only while its
-    buffer stays bounded; beyond that, ``percentile_approx`` (bounded memory, partial merges)."""
-    if exact is None:
-        exact = (df.agg(F.approx_count_distinct(metric)).first()[0] or 0) <= EXACT_PERCENTILE_DISTINCT
-    probs = F.array(*[F.lit(p) for p in (0.2, 0.4, 0.6, 0.8)])
-    agg = F.percentile(F.col(metric), probs) if exact else F.percentile_approx(F.col(metric), probs, 10000)
-    return df.select(agg.alias("q")).scalar()
+def quintiles(df: DataFrame, metric: str) -> Column:
+    """Cut points at 20/40/60/80 % (linear interpolation) as a scalar subquery Column, by one rule at
+    every size: counts per distinct value, their running sum, and the values at the ranks around each
+    cut. No group is held in a buffer."""
+    counts = df.where(F.col(metric).isNotNull()).groupBy(F.col(metric).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cum = running(counts, [], ["_v"], {"_upto": ("sum", "_n")})
+    total = counts.agg(F.sum("_n")).scalar()
+    cum = cum.withColumn("_rows", total)
+    cuts = []
+    for p in (0.2, 0.4, 0.6, 0.8):
+        at = F.lit(p) * (F.col("_rows") - 1)
+        cuts += [F.min(F.when(F.col("_upto") > F.floor(at), F.col("_v"))), F.min(F.when(F.col("_upto") > F.ceil(at), F.col("_v"))), F.max(at - F.floor(at))]
+    row = cum.agg(*[c.alias(f"_{i}") for i, c in enumerate(cuts)])
+    q = F.array(*[F.col(f"_{i}") + (F.col(f"_{i + 1}") - F.col(f"_{i}")) * F.col(f"_{i + 2}") for i in range(0, len(cuts), 3)])
+    return row.select(q.alias("q")).scalar()
 
 
 def mean_by_position(df: DataFrame, by: Sequence[str], pos: str, value: str) -> DataFrame:

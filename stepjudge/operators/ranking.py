@@ -1,17 +1,17 @@
 """Skew-safe numbering, running aggregates and top-k within groups.
 
 A plain ``row_number() OVER (PARTITION BY g ORDER BY o)`` sends every row of a group to one task.
-If one group holds a third of the table, that task holds a third of the table. The helpers here
-measure the groups first (one partial aggregation) and keep small groups on the plain window;
-hot groups are split instead:
+If one group holds a third of the table, that task holds a third of the table. Whole tables (no
+group) are always split; groups are measured first (one partial aggregation), and those beyond a
+bound are split while the rest stay on the plain window:
 
 1. range-partition on ``(g, o)`` with an explicit partition count, so a hot group is cut into many
    contiguous, ordered slices, and checkpoint the sliced table (range bounds are sampled per
    exchange, so two consumers of an unmaterialised range shuffle could disagree on slice ids);
 2. compute the running value inside each slice, partitioned by ``(slice, g)``;
 3. carry the totals of earlier slices forward. Only the first group of a slice can continue
-   from an earlier slice, so the carry table has at most one row per slice: a proven bound,
-   hence a safe broadcast.
+   from an earlier slice, so the carry table has at most one row per slice — the number of shuffle
+   partitions, not of rows: a proven bound, hence a safe broadcast.
 
 Everything is DataFrame code; no rows pass through the driver.
 """
@@ -37,9 +37,6 @@ def _cols(xs: Sequence[str | Column]) -> list[Column]:
 # numbered by one window task. Smaller groups stay on the plain window (bounded per task).
 HOT_GROUP_ROWS = 2_000_000
 
-# (largest group, hot rows) per (plan, keys, bound), measured once per session
-_LARGEST_GROUP: dict[tuple, tuple[int, int]] = {}
-
 # buckets per group for the two-level top-k
 TOP_K_SALTS = 1024
 
@@ -122,49 +119,39 @@ def running(
     """Add inclusive running aggregates per group in ``order`` (a total order is expected).
 
     ``aggs`` maps an output name to ``(op, column)`` with op in ``count``, ``sum``, ``max``, ``min``.
-    One aggregate job measures the groups first. Groups of at most ``hot_rows`` rows use the plain
-    window; larger ("hot") groups — at most total / ``hot_rows`` keys, so the key list is a bounded
-    broadcast — are cut into range slices with carried totals. The two parts are disjoint and are
-    unioned.
+    Without keys the table is always cut into range slices with carried totals. With keys one aggregate
+    job measures the groups first: groups of at most ``hot_rows`` rows use the plain window, larger
+    ("hot") ones, a group of null keys included, are cut into slices. The two parts are disjoint and
+    are unioned.
     """
     keys = list(keys)
     order_cols = _cols(order)
     n = slices or shuffle_partitions(df.sparkSession)
     limit = HOT_GROUP_ROWS if hot_rows is None else hot_rows
     if not keys:
-        total = df.count()
-        if total <= limit:
-            return _window_running(df, keys, order_cols, aggs)
-        return _sliced_running(df, keys, order_cols, aggs, max(n, -(-total // limit)))
+        return _sliced_running(df, keys, order_cols, aggs, n)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sj_n"))
-    biggest, hot_rows = _measure(df, keys, sizes, limit)
+    r = sizes.agg(F.max("_sj_n"), F.sum(F.when(F.col("_sj_n") > limit, F.col("_sj_n")).otherwise(0))).first()
+    biggest, hot_rows = int(r[0] or 0), int(r[1] or 0)
     if biggest <= limit:
         return _window_running(df, keys, order_cols, aggs)
-    hot = F.broadcast(sizes.filter(F.col("_sj_n") > limit).select(*keys))
-    cold = df.join(hot, keys, "left_anti")
-    warm = df.join(hot, keys, "left_semi")
+    hot = sizes.filter(F.col("_sj_n") > limit).select(*[F.col(k).alias(f"_sj_h_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_sj_h_{k}")) for k in keys])
+    cold = df.join(hot, same, "left_anti")
+    warm = df.join(hot, same, "left_semi")
     # enough slices that each holds about `limit` rows of the hot groups
     slices_needed = max(n, -(-hot_rows // limit))
     return _window_running(cold, keys, order_cols, aggs).unionByName(
         _sliced_running(warm, keys, order_cols, aggs, slices_needed))
 
 
-def _measure(df: DataFrame, keys: Sequence[str], sizes: DataFrame, limit: int) -> tuple[int, int]:
-    """(largest group, rows in groups above ``limit``), one small aggregate job per plan."""
-    memo = (df.semanticHash(), tuple(keys), limit)
-    if memo not in _LARGEST_GROUP:
-        r = sizes.agg(F.max("_sj_n"), F.sum(F.when(F.col("_sj_n") > limit, F.col("_sj_n")).otherwise(0))).first()
-        _LARGEST_GROUP[memo] = (int(r[0] or 0), int(r[1] or 0))
-    return _LARGEST_GROUP[memo]
-
-
 def number_within(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rn", base: int = 1,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Row number per group (``base``-based) in a total ``order``; skew-safe (see ``running``).
 
-    ``keys=[]`` numbers the whole table; above ``hot_rows`` rows without a single-partition window.
+    ``keys=[]`` numbers the whole table, never with a single-partition window.
     """
     out = running(df, keys, order, {name: ("count", None)}, hot_rows=hot_rows)
     if base != 1:

@@ -90,7 +90,8 @@ def best_paths(tree: DataFrame, keep: int, n: int, rounds: int, by: Sequence[str
     Round 0 starts at the roots. Each round expands every active path to its children (path text
     grows, score = the child's score), keeps the ``keep`` best new paths per problem (score, then
     lower node id), and retires a path when its node stops (``stop`` = EOS) or has no children.
-    Returns the ``n`` best retired paths per problem (``rank`` 1..n).
+    Returns the ``n`` best paths per problem (``rank`` 1..n): retired ones first, then those still
+    active after the last round, with ``completed`` telling them apart.
     """
     by = list(by)
     spark = tree.sparkSession
@@ -116,11 +117,11 @@ def best_paths(tree: DataFrame, keep: int, n: int, rounds: int, by: Sequence[str
         frontier = new.filter(~F.col("_done"))
         if frontier.isEmpty():
             break
-    finished = finished_parts[0]
-    for part in finished_parts[1:]:
-        finished = finished.unionByName(part)
-    out = top_k_within(finished.select(*cols), by, [F.col(score).desc(), F.col(node)], n, "rank", salt_cols=[*by, node])
-    return out.drop("_done")
+    found = frontier
+    for part in finished_parts:
+        found = found.unionByName(part)
+    out = top_k_within(found.select(*cols), by, [F.col("_done").desc(), F.col(score).desc(), F.col(node)], n, "rank", salt_cols=[*by, node])
+    return out.withColumnRenamed("_done", "completed")
 
 
 STOP_REASONS = ("EOS", "length")
@@ -139,7 +140,7 @@ def beam_round(beams: DataFrame, expansions: DataFrame, n: int, width: int, by:
     by = list(by)
     j = beams.join(expansions, [*by, "beam_id"]).withColumn("text", F.concat("text", "next_text")).withColumn(
         "completed", F.coalesce(F.col("stop_reason").isin(*STOP_REASONS), F.lit(False)) | (F.col("next_text") == ""))
-    j = j.withColumn("_order", F.col("beam_id") * F.lit(1 << 20) + F.col("exp_idx"))
+    j = j.withColumn("_order", F.struct("beam_id", "exp_idx"))
     if dedup:
         j = dedup_first(j, by, "text", "_order")
     done = j.filter("completed")

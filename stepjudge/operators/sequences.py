@@ -90,7 +90,9 @@ def pad_batches(df: DataFrame, order_by: Sequence[str], size: int, cols: dict[st
     """Pad array columns to the longest in each batch of ``size`` rows (W11 numbering). The
     pad value is a number, or ``"last"`` to repeat the last element. Batch maxima are an
     aggregate joined back."""
-    b = number_within(df, [], list(order_by), "_rn", base=0).withColumn("batch_id", F.floor(F.col("_rn") / size)).drop("_rn")
+    # only the order columns are numbered; the arrays meet their batch in a join (order_by is a key)
+    keys = number_within(df.select(*order_by), [], list(order_by), "_rn", base=0)
+    b = df.join(keys.withColumn("batch_id", F.floor(F.col("_rn") / size)).drop("_rn"), list(order_by))
     mx = b.groupBy("batch_id").agg(*[F.max(F.size(c)).alias(f"_mx_{c}") for c in cols])
     j = b.join(mx, "batch_id")
     for c, pad in cols.items():

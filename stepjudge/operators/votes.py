@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STEP_AGGREGATES = ("min", "prod", "last")
-_IDX_BITS = 1 << 40  # candidates per problem stay below 2^40
 
 
 def _c(x: str | Column) -> Column:
@@ -39,9 +38,13 @@ def aggregate_steps_long(df: DataFrame, by: Sequence[str], step: str, score: str
     """D1 on a long step table: ``min``, product or the score at the largest step index."""
     if how not in STEP_AGGREGATES:
         raise ValueError(f"unknown step aggregate {how!r}; expected one of {STEP_AGGREGATES}")
+    return df.groupBy(*by).agg(step_aggregate(step, score, how).alias(name))
+
+
+def step_aggregate(step: str, score: str, how: str) -> Column:
+    """D1 as an aggregate over a long step table."""
     s = F.col(score).cast("double")
-    agg = {"min": F.min(s), "prod": F.product(s), "last": F.max_by(s, F.col(step))}[how]
-    return df.groupBy(*by).agg(agg.alias(name))
+    return {"min": F.min(s), "prod": F.product(s), "last": F.max_by(s, F.col(step))}[how]
 
 
 def boxed(col: str | Column) -> Column:
@@ -65,6 +68,25 @@ def sweep(df: DataFrame, ns: Sequence[int], idx: str = "idx") -> DataFrame:
     return df.withColumn("n", F.explode(F.filter(arr, lambda n: _c(idx) < n)))
 
 
+def exact(df: DataFrame, score: str) -> Column:
+    """A score that sums without rounding, whatever the order: decimals and integers as they are, doubles
+    as DECIMAL(38,18). A sum that doesn't fit is an error, not a wrong winner."""
+    if isinstance(df.schema[score].dataType, (T.DecimalType, T.IntegralType)):
+        return F.col(score)
+    return F.col(score).cast("decimal(38,18)")
+
+
+def first_sweep(df: DataFrame, ns: Sequence[int], idx: str = "idx") -> DataFrame:
+    """D2 for aggregates: every candidate once, under the least n that holds it (column ``_n``)."""
+    least = F.array_min(F.filter(F.array(*[F.lit(int(n)) for n in ns]), lambda n: _c(idx) < n))
+    return df.withColumn("_n", least).where(F.col("_n").isNotNull())
+
+
+def later_ns(df: DataFrame, ns: Sequence[int]) -> DataFrame:
+    """Each partial aggregate of ``first_sweep`` under every n from its own on (column ``n``)."""
+    return df.withColumn("n", F.explode(F.filter(F.array(*[F.lit(int(n)) for n in ns]), lambda n: n >= F.col("_n")))).drop("_n")
+
+
 def _first_group_stats(df: DataFrame, by: Sequence[str], key: str, answer: str, idx: str,
                        score: str | None) -> DataFrame:
     """Per answer group: size, first index, first answer text and (optionally) score sum.
@@ -74,7 +96,7 @@ def _first_group_stats(df: DataFrame, by: Sequence[str], key: str, answer: str,
     aggregate over distinct answers only."""
     pre = [F.count(F.lit(1)).alias("_c0"), F.min(idx).alias("_i0")]
     if score is not None:
-        pre.append(F.sum(score).alias("_w0"))
+        pre.append(F.sum(exact(df, score)).alias("_w0"))
     d = df.groupBy(*by, key, answer).agg(*pre)
     aggs = [
         F.sum("_c0").alias("_cnt"),
@@ -126,30 +148,21 @@ def vote_sweep(df: DataFrame, ns: Sequence[int], by: Sequence[str] = ("problem_i
                gold: str | None = "gold_key") -> DataFrame:
     """Naive, weighted and majority votes for every n in one plan.
 
-    Two aggregation levels: (problem, n, answer group) then (problem, n). Returns
+    Every candidate is aggregated once, per distinct (problem, least n that holds it, key, answer);
+    these partial sums are then added up for every n, by answer group and by problem. Returns
     (by..., n, pred_naive, pred_weighted, pred_maj, key_naive, key_weighted, key_maj[, gold, covered]).
     """
-    s = sweep(df, ns, idx)
-    exact = isinstance(s.schema[score].dataType, (T.DecimalType, T.IntegralType))
-    keys0 = [*by, "n", key, answer] + ([gold] if gold is not None else [])
-    if exact:
-        # one pass over every (candidate, n) with numeric buffers only (answer text and gold are
-        # grouping keys); the best candidate is a packed DECIMAL(38,0): score units, then first index
-        units = (F.col(score).cast("decimal(38,6)") * 1000000).cast("decimal(38,0)")
-        best = (units * F.lit(_IDX_BITS) + (F.lit(_IDX_BITS - 1) - F.col(idx))).cast("decimal(38,0)")
-        d = s.groupBy(*keys0).agg(F.count(F.lit(1)).alias("_c0"), F.sum(score).alias("_w0"),
-                                  F.min(idx).alias("_i0"), F.max(best).alias("_b0"))
-        best_expr = F.max_by(F.struct(F.col("_b0").alias("o"), F.col(answer)), F.col("_b0"))
-    else:
-        d = s.groupBy(*keys0).agg(F.count(F.lit(1)).alias("_c0"), F.sum(score).alias("_w0"), F.min(idx).alias("_i0"),
-                                  F.max(F.struct(F.col(score), -F.col(idx))).alias("_b0"))
-        best_expr = F.max_by(F.struct(F.col("_b0").alias("o"), F.col(answer)), F.col("_b0"))
+    keys0 = [*by, "_n", key, answer] + ([gold] if gold is not None else [])
+    d = first_sweep(df, ns, idx).groupBy(*keys0).agg(
+        F.count(F.lit(1)).alias("_c0"), F.sum(exact(df, score)).alias("_w0"), F.min(idx).alias("_i0"),
+        F.max(F.struct(F.col(score), -F.col(idx))).alias("_b0"))
+    d = later_ns(d, ns)
     lvl1 = [
         F.sum("_c0").alias("_cnt"),
         F.sum("_w0").alias("_weight"),
         F.min("_i0").alias("_first_idx"),
         F.min_by(F.col(answer), F.col("_i0")).alias("_first_answer"),
-        best_expr.alias("_best"),
+        F.max_by(F.struct(F.col("_b0").alias("o"), F.col(answer)), F.col("_b0")).alias("_best"),
     ]
     if gold is not None:
         lvl1.append(F.max(gold).alias("_gold"))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from stepjudge.operators import metrics as M
 from stepjudge.operators import votes as V
+from stepjudge.functions import answers as A
 from stepjudge.operators.ranking import number_within
+from stepjudge.operators.rows import map_distinct
 from stepjudge.plans.registry import query
 from stepjudge.sources import fixtures as X
 from stepjudge.sources.fixtures import with_views
@@ -65,6 +67,57 @@ def q_vote_sweep(spark, sf):
     return V.vote_sweep(X.cand(spark, sf), NS).select("problem_id", "n", "pred_naive", "pred_weighted", "pred_maj")
 
 
+# distinct scores 1e-9 apart, with distinct sums
+_FINE_SQL = """
+fine AS (SELECT problem_id, idx, answer, answer_key, gold_key, CAST(score AS DOUBLE) + power(2, idx) * 1e-9 AS score FROM cand),
+""" + _SWEEP_SQL.replace("FROM cand c", "FROM fine c").replace("sum(score)", "sum(CAST(score AS DECIMAL(38,12)))")
+
+
+@query("votes_fine_scores", with_views("WITH " + _FINE_SQL + """
+SELECT cv.problem_id, cv.n AS n, naive.k AS key_naive, wt.k AS key_weighted, mj.k AS key_maj, naive.k AS key_best
+FROM cv JOIN naive USING (problem_id, n) JOIN wt USING (problem_id, n) JOIN mj USING (problem_id, n) WHERE cv.n = 8""", "cand"))
+def q_votes_fine_scores(spark, sf):
+    """D3–D6 on DOUBLE scores that differ by 1e-9: the sweep's best candidate is best-of-N's."""
+    c = X.cand(spark, sf).withColumn("score", F.col("score").cast("double") + F.pow(F.lit(2.0), F.col("idx")) * F.lit(1e-9))
+    v = V.vote_sweep(c, NS).where("n = 8")
+    best = V.vote_best(c.where("idx < 8")).select("problem_id", F.col("pred_key").alias("key_best"))
+    return v.join(best, "problem_id").select("problem_id", "n", "key_naive", "key_weighted", "key_maj", "key_best")
+
+
+@query("scaling_table_fine_scores", with_views("WITH " + _FINE_SQL + """
+SELECT cv.n AS n, round(avg(CASE WHEN naive.k = cv.gold THEN 1.0 ELSE 0.0 END) * 100, 6) AS acc_naive,
+  round(avg(CASE WHEN wt.k = cv.gold THEN 1.0 ELSE 0.0 END) * 100, 6) AS acc_weighted
+FROM cv JOIN naive USING (problem_id, n) JOIN wt USING (problem_id, n) GROUP BY cv.n""", "cand"))
+def q_scaling_table_fine_scores(spark, sf):
+    """D12 on the same scores."""
+    c = X.cand(spark, sf).withColumn("score", F.col("score").cast("double") + F.pow(F.lit(2.0), F.col("idx")) * F.lit(1e-9))
+    return M.scaling_table(c, NS).select("n", r6("acc_naive").alias("acc_naive"), r6("acc_weighted").alias("acc_weighted"))
+
+
+@query("vote_from_texts", with_views("""
+WITH x AS (SELECT problem_id, idx, score, gold_key, CASE WHEN idx % 4 = 3 AND contains(answer, '/') THEN split_part(answer, '/', 2) ELSE answer END AS a FROM cand),
+v AS (SELECT *, CAST(round(100 * CASE WHEN contains(a, '/') THEN CAST(split_part(a, '/', 1) AS DOUBLE) / CAST(split_part(a, '/', 2) AS DOUBLE) ELSE CAST(a AS DOUBLE) END) AS BIGINT) AS h FROM x),
+k AS (SELECT *, 'n:' || CAST(h // gcd(h, 100) AS VARCHAR) || '/' || CAST(100 // gcd(h, 100) AS VARCHAR) AS k FROM v),
+g AS (SELECT problem_id, k, sum(score) AS w, count(*) AS c, min(idx) AS fi, max(CASE gold_key WHEN '1/2' THEN 'n:1/2' ELSE 'n:' || gold_key || '/1' END) AS gold FROM k GROUP BY problem_id, k),
+wt AS (SELECT problem_id, k, gold FROM g QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY w DESC, fi) = 1),
+mj AS (SELECT problem_id, k FROM g QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY c DESC, fi) = 1),
+nv AS (SELECT problem_id, k FROM k QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, idx) = 1)
+SELECT wt.problem_id, nv.k AS key_naive, wt.k AS key_weighted, mj.k AS key_maj, wt.k = wt.gold AS correct
+FROM wt JOIN mj USING (problem_id) JOIN nv USING (problem_id)""", "cand"))
+def q_vote_from_texts(spark, sf):
+    """H11 → H12 → H24 → D3–D6 → C8: votes over solution texts in four layouts; nothing but the text,
+    its score and the gold answer goes in."""
+    c = X.cand(spark, sf)
+    layouts = [("The answer is ", "."), ("So we get \\boxed{", "}."), ("Hence the final answer is $", "$. I hope it is correct."), ("Adding up gives ", "")]
+    text = F.lit(None).cast("string")
+    for i, (a, b) in enumerate(layouts):
+        text = F.when(F.col("idx") % 4 == i, F.concat(F.lit(a), F.col("answer"), F.lit(b))).otherwise(text)
+    t = A.extract_answers(c.select("problem_id", "idx", "score", "gold_key", text.alias("text")), "text", "pred")
+    t = map_distinct(t, "pred", A.answer_key, "key").withColumn("gold", A.answer_key(A.normalize_answer("gold_key")))
+    w = V.vote_sweep(t.select("problem_id", "idx", "score", "pred", "key", "gold"), [1 << 30], key="key", answer="pred", gold="gold")
+    return w.select("problem_id", "key_naive", "key_weighted", "key_maj", (F.col("key_weighted") == F.col("gold")).alias("correct"))
+
+
 @query("vote_weighted", with_views("""
 WITH g AS (SELECT problem_id, answer_key, sum(score) AS w, min(idx) AS fi FROM cand GROUP BY problem_id, answer_key),
 r AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY w DESC, fi) AS r FROM g)
@@ -100,8 +153,7 @@ SELECT problem_id,
 FROM steps GROUP BY problem_id""", "steps"))
 def q_aggregate_steps(spark, sf):
     s = X.steps(spark, sf)
-    parts = [V.aggregate_steps_long(s, ["problem_id"], "step_idx", "score", h, f"agg_{h}") for h in ("min", "prod", "last")]
-    out = parts[0].join(parts[1], "problem_id").join(parts[2], "problem_id")
+    out = s.groupBy("problem_id").agg(*[V.step_aggregate("step_idx", "score", h).alias(f"agg_{h}") for h in V.STEP_AGGREGATES])
     # products of one-decimal scores often end exactly on a rounding tie; nudge both sides past it
     return out.select("problem_id", r6("agg_min").alias("agg_min"), r6(F.col("agg_prod") + 1e-12).alias("agg_prod"),
                       r6("agg_last").alias("agg_last"))

@@ -69,21 +69,33 @@ t AS (SELECT tree.*, COALESCE(ch.nchild, 0) AS nchild, (COALESCE(stop_reason = '
 """
 
 
-@query("best_paths", with_views("WITH RECURSIVE " + _TREE_KIDS + """,
+_PATHS_SQL = "WITH RECURSIVE " + _TREE_KIDS + """,
 b AS (SELECT problem_id, node_id, text AS path, score, done, 0 AS depth FROM t WHERE parent_id IS NULL
       UNION ALL
       SELECT problem_id, node_id, path, score, done, depth FROM (
         SELECT t.problem_id, t.node_id, b.path || t.text AS path, t.score, t.done, b.depth + 1 AS depth,
                row_number() OVER (PARTITION BY t.problem_id ORDER BY t.score DESC, t.node_id) AS rk
         FROM b JOIN t ON t.problem_id = b.problem_id AND t.parent_id = b.node_id
-        WHERE NOT b.done AND b.depth < 5) WHERE rk <= 2)
-SELECT problem_id, rank, node_id, path, round(CAST(score AS DOUBLE), 6) AS score, CAST(depth AS BIGINT) AS depth FROM
- (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, node_id) AS rank FROM b WHERE done) WHERE rank <= 2""",
-                                "tree"))
+        WHERE NOT b.done AND b.depth < {rounds}) WHERE rk <= 2)
+SELECT problem_id, rank, node_id, path, round(CAST(score AS DOUBLE), 6) AS score, CAST(depth AS BIGINT) AS depth, done AS completed FROM
+ (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY done DESC, score DESC, node_id) AS rank FROM b WHERE done OR depth = {rounds}) WHERE rank <= 2"""
+
+
+def _best_paths(spark, sf, rounds):
+    b = SE.best_paths(X.tree(spark, sf), keep=2, n=2, rounds=rounds)
+    return b.select("problem_id", "rank", "node_id", "path", r6("score").alias("score"), F.col("depth").cast("bigint").alias("depth"), "completed")
+
+
+@query("best_paths", with_views(_PATHS_SQL.replace("{rounds}", "5"), "tree"))
 def q_best_paths(spark, sf):
-    """Beam search (keep 2, up to 5 rounds) over the logged tree; 2 best finished paths."""
-    b = SE.best_paths(X.tree(spark, sf), keep=2, n=2, rounds=5)
-    return b.select("problem_id", "rank", "node_id", "path", r6("score").alias("score"), F.col("depth").cast("bigint").alias("depth"))
+    """Beam search (keep 2, up to 5 rounds) over the logged tree; 2 best paths."""
+    return _best_paths(spark, sf, 5)
+
+
+@query("best_paths_unfinished", with_views(_PATHS_SQL.replace("{rounds}", "1"), "tree"))
+def q_best_paths_unfinished(spark, sf):
+    """K13 with one round: paths still active after it are returned and marked."""
+    return _best_paths(spark, sf, 1)
 
 
 @query("lookahead_text", with_views("WITH " + """

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stepjudge.functions import answers as A
 from stepjudge.functions import prompts as P
 from stepjudge.plans.registry import query
-from stepjudge.operators.ranking import number_within
+from stepjudge.operators.ranking import top_k_within
 from stepjudge.sources import fixtures as X
 
 _DOC_PRED_SQL = """
@@ -47,7 +47,7 @@ def q_count_empty(spark, sf):
 
 
 @query("last_number", """
-SELECT doc_id, COALESCE(regexp_extract_all(replace(text, ',', ''), '-?[0-9]*\\.?[0-9]+')[-1], '') AS last_number FROM documents""")
+SELECT doc_id, COALESCE(regexp_extract_all(replace(text, ',', ''), '-?[0-9]+\\.?[0-9]*')[-1], '') AS last_number FROM documents""")
 def q_last_number(spark, sf):
     d = X.table(spark, sf, "documents")
     return d.select("doc_id", A.last_number("text").alias("last_number"))
@@ -140,10 +140,10 @@ def q_few_shot_prompt(spark, sf):
     items of the same benchmark (the gold after ``####`` as the demo answer)."""
     # the table holds one benchmark; its name is a column so demos attach by an equi-join
     b = X.table(spark, sf, "benchmark").withColumn("bench", F.when(F.col("item_id").isNotNull(), F.lit("benchmark")))
-    demos = b.select(F.col("bench"), F.col("item_id").alias("idx"), F.col("text").alias("input"),
-                     A.retrieve_gold("text").alias("output"))
-    # demo positions: the item order inside the benchmark (skew-safe numbering)
-    ranked = number_within(demos, ["bench"], ["idx"], "idx_pos", base=0).drop("idx").withColumnRenamed("idx_pos", "idx")
+    demos = b.select(F.col("bench"), F.col("item_id"), F.col("text").alias("input"), A.retrieve_gold("text").alias("output"))
+    # only the first two items are demonstrations: a two-level top-k, never a whole benchmark in one window
+    ranked = top_k_within(demos, ["bench"], ["item_id"], 2, "_pos", salt_cols=["item_id"])
+    ranked = ranked.select("bench", "input", "output", (F.col("_pos") - 1).alias("idx"))
     with_demos = P.attach_demos(b, ranked, "bench", 2)
     p = P.few_shot_prompt(F.col("text"), F.col("demos"), "cot")
     return with_demos.select("item_id", F.length(p).cast("bigint").alias("n_chars"), F.md5(p).alias("digest"))
@@ -172,3 +172,48 @@ def q_answer_only_labels(spark, sf):
     lab = answer_only_labels("p", "a", 512)
     return d.select("doc_id", F.size(lab).cast("bigint").alias("n_labels"),
                     F.size(F.filter(lab, lambda x: x == IGNORE_INDEX)).cast("bigint").alias("n_ignored"))
+
+
+@query("answers_equal", r"""
+WITH p AS (SELECT l_orderkey, l_linenumber, l_linenumber % 6 AS form, l_partkey % 7 AS a, l_suppkey % 7 AS b FROM lineitem)
+SELECT form, a, b, a = b AS equal, count(*) AS n FROM p GROUP BY ALL""")
+def q_answers_equal(spark, sf):
+    """Pairs of answers that are equal exactly when two digits of the row are, one form per branch:
+    tuple with a fraction, matrix, ``v = x``, brackets of another kind, fractions, decimals."""
+    li = X.table(spark, sf, "lineitem")
+    p = li.select((F.col("l_linenumber") % 6).alias("form"), (F.col("l_partkey") % 7).alias("a"), (F.col("l_suppkey") % 7).alias("b"))
+    a, b = F.col("a").cast("string"), F.col("b").cast("string")
+    up = lambda c: (F.col(c) + 1).cast("string")
+    forms = [
+        (F.concat(F.lit("(1/2,"), a, F.lit(")")), F.concat(F.lit("(0.5,"), b, F.lit(")"))),
+        (F.concat(F.lit("\\begin{pmatrix}"), a, F.lit(" & 1\\\\2 & 3\\end{pmatrix}")), F.concat(F.lit("\\begin{pmatrix}"), b, F.lit("&1\\\\ 2&3\\end{pmatrix}"))),
+        (F.concat(F.lit("x = "), a), b),
+        (F.concat(F.lit("["), a, F.lit(",2]")), F.concat(F.lit("("), b, F.lit(", 2.0)"))),
+        (F.concat(F.lit("\\frac{"), up("a"), F.lit("}{16}")), F.concat(up("b"), F.lit("/16"))),
+        (a, F.concat(b, F.lit(".0"))),
+    ]
+    left, right = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (x, y) in enumerate(forms):
+        left, right = F.when(F.col("form") == i, x).otherwise(left), F.when(F.col("form") == i, y).otherwise(right)
+    pairs = p.groupBy("form", "a", "b").agg(F.count(F.lit(1)).alias("n"))  # every distinct pair of answers is judged once
+    pairs = pairs.withColumn("equal", A.answers_equal(left, right))
+    return pairs.select(F.col("form").cast("bigint").alias("form"), F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), "equal", "n")
+
+
+@query("trace_programs", """
+WITH t AS (SELECT o_orderkey, o_orderstatus = 'F' AS fail1, o_orderpriority LIKE '1%' AS fail2, CAST(o_custkey AS VARCHAR) AS c FROM orders),
+p AS (SELECT *, 'import a' || chr(10) || 'x = ' || c || chr(10) AS p1, 'from b import c' || chr(10) || 'y = 2' || chr(10) AS p2 FROM t)
+SELECT o_orderkey, CAST(6 AS BIGINT) AS n_segments,
+  CASE WHEN fail1 AND fail2 THEN 'import a' || chr(10) || 'from b import c' || chr(10)
+       WHEN fail1 THEN 'import a' || chr(10) || p2 || 'print(y)' || chr(10)
+       WHEN fail2 THEN 'from b import c' || chr(10) || p1 || 'print(x)' || chr(10)
+       ELSE p1 || chr(10) || p2 || 'print(y)' || chr(10) END AS program,
+  CASE WHEN fail2 THEN 'some ERROR here' ELSE 'two' END AS last_output FROM p""")
+def q_trace_programs(spark, sf):
+    """Two programs per order, each of which may have failed; what is kept of them."""
+    o = X.table(spark, sf, "orders")
+    out1 = F.when(F.col("o_orderstatus") == "F", "ValueError: x").otherwise("1")
+    out2 = F.when(F.col("o_orderpriority").startswith("1"), "some ERROR here").otherwise("two")
+    t = F.concat(F.lit("Plan\n```python\nimport a\nx = "), F.col("o_custkey").cast("string"), F.lit("\nprint(x)\n```\n```output\n"), out1,
+                 F.lit("\n```\nthen\n```python\nfrom b import c\ny = 2\nprint(y)\n```\n```output\n"), out2, F.lit("\n```\n"))
+    return o.select("o_orderkey", F.size(A.segment_trace(t)).cast("bigint").alias("n_segments"), A.programs(t).alias("program"), A.outputs(t).alias("last_output"))

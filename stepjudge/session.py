@@ -39,15 +39,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
     The cluster names it in ``spark.checkpoint.dir``; it is read from the session and used as is.
-    Only when it is unset (tests, local runs) a scratch folder is taken for this context.
+    Only when it is unset in a local session (tests) a scratch folder is taken; on a cluster that is an
+    error, since executors don't share such a folder. Every call gives the same folder.
     """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="stepjudge-ckpt-")
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(d)
-    return d
+        if not d and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(d or tempfile.mkdtemp(prefix="stepjudge-ckpt-"))
+    return d or sc.getCheckpointDir()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -170,7 +170,7 @@ def _materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFra
     stamp = _stamp(spark, sf_dir) if MATERIALIZE else None
     if stamp is None:
         return build()
-    root = f"{checkpoint_dir(spark).rstrip('/')}/stepjudge-fixtures/{NAMESPACE}/{stamp}/{name}"
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stepjudge-fixtures/{NAMESPACE or spark.sparkContext.applicationId}/{stamp}/{name}"
     fs, done = _fs(spark, f"{root}/_SUCCESS")
     if not fs.exists(done):
         build().write.mode("overwrite").parquet(root)
@@ -180,8 +180,8 @@ def _materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFra
 MATERIALIZE = True
 # bump when a fixture builder changes, so no earlier table is read back
 FIXTURE_VERSION = "fixtures-v1"
-# runs that must start cold (a benchmark) set their own namespace
-NAMESPACE = "shared"
+# a run reads back only what it wrote itself: the default is the application id; a benchmark sets its own
+NAMESPACE: str | None = None
 
 
 def cand(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,15 +49,16 @@ def read_generation_dirs(spark: SparkSession, dirs: Sequence[str], name_like: st
             .option("pathGlobFilter", name_like).json(list(dirs)))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_benchmark(spark: SparkSession, name: str, split: str, root: str, fmt: str | None = None) -> DataFrame:
     """A3: a benchmark split from ``root/name/split.{parquet,jsonl}`` (parquet preferred)."""
     base = f"{root.rstrip('/')}/{name}/{split}"
-    if fmt in (None, "parquet"):
-        try:
-            return spark.read.parquet(f"{base}.parquet")
-        except Exception:  # noqa: BLE001 - fall back to JSON lines
-            if fmt == "parquet":
-                raise
+    if fmt == "parquet" or (fmt is None and _exists(spark, f"{base}.parquet")):
+        return spark.read.parquet(f"{base}.parquet")
     return spark.read.option("mode", "FAILFAST").json(f"{base}.jsonl")
 
 
@@ -106,20 +107,17 @@ def run_version(options: Mapping[str, object]) -> str:
 
 def write_if_absent(df: DataFrame, path: str, version: str) -> bool:
     """Write under ``path/run_version=<version>`` unless that version exists; True if written."""
-    spark = df.sparkSession
     target = f"{path.rstrip('/')}/run_version={version}"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(target)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(hpath):
+    if _exists(df.sparkSession, f"{target}/_SUCCESS"):  # a write that broke off has no such marker
         return False
-    df.write.mode("ignore").parquet(target)
+    df.write.mode("overwrite").parquet(target)
     return True
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
     """Cache a normalised table on disk after the first load, then read it back."""
-    df.write.mode("ignore").parquet(path)
+    if not _exists(df.sparkSession, f"{path.rstrip('/')}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

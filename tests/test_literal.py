@@ -46,7 +46,10 @@ def test_parse_number(spark):
 
 
 EQUAL = [("0.5", "50", True), ("(1,2)", "[1,2]", True), ("(A)", "A", True), ("3", "4", False),
-         ("1/2", "0.5", True), ("\\frac{1}{2}", "0.5", True), (None, "1", False), ("", "0", False)]
+         ("1/2", "0.5", True), ("\\frac{1}{2}", "0.5", True), (None, "1", False), ("", "0", False),
+         ("x=5", "5", True), ("7", "y = 7.0", True), ("length=5", "5", False), ("(1/2,3)", "(0.5,3)", True), ("(1/2,3)", "(0.5,4)", False),
+         ("\\begin{pmatrix}1 & 2\\\\3 & 1/2\\end{pmatrix}", "\\begin{pmatrix}1&2\\\\ 3&0.5\\end{pmatrix}", True),
+         ("\\begin{pmatrix}1 & 2\\end{pmatrix}", "\\begin{pmatrix}1 & 3\\end{pmatrix}", False), ("(1,2)", "(1,2,3)", False)]
 
 
 def test_answers_equal(spark):
@@ -125,7 +128,7 @@ def test_trace_round_trip(spark):
     trace = "Let me compute.\n```python\nx = 1\nprint(x)\n```\n```output\n1\n```\nSo the answer is 1."
     df = spark.createDataFrame([(trace,)], "t string")
     r = df.select(A.segment_trace("t").alias("s")).select(F.col("s"), A.join_trace("s").alias("j")).first()
-    assert [x.role for x in r.s] == ["rationale", "program", "rationale", "output", "rationale"]
+    assert [x.role for x in r.s] == ["rationale", "program", "output", "rationale"]
     assert r.j == trace
 
 
@@ -171,7 +174,7 @@ def test_programs_and_lines_after(spark):
              "b\n```python\nx = 2\nprint(x)\n```\n```output\n2\n```")
     df = spark.createDataFrame([(trace, "[action] go\nnext\n[action] stop\nlast")], "t string, a string")
     r = df.select(A.programs("t").alias("p"), A.lines_after("a").alias("l")).first()
-    assert r.p == "import math\nx = 2\nprint(x)\n"
+    assert r.p == "import math\n\nx = 2\nprint(x)\n"  # that output names no error word
     assert r.l == ["next", "last"]
 
 
@@ -255,3 +258,69 @@ def test_confidence_extremes(spark):
                                "gen_id long, pos long, yes double, no double, top string")
     got = SC.scores_from_logprobs(lp, "gen_id", "pos", "yes", "no", "top").orderBy("pos").collect()
     assert [g.pos for g in got] == [0, 1] and got[0].confidence > 0.9 and got[1].confidence < 0.1
+
+
+def _one(spark, col):
+    return spark.range(1).select(col.alias("v")).first().v
+
+
+def test_answer_keys_are_exact(spark):
+    key = lambda t: _one(spark, A.answer_key(F.lit(t)))
+    same = [("1/2", "0.5"), ("\\frac{-2}{4}", "-0.50"), ("50%", "1/2"), ("1,000", "1e3"), ("0", "-0.0"), ("007", "7"), ("-1/-2", "2/4")]
+    assert all(key(a) == key(b) for a, b in same)
+    apart = [("9007199254740993", "9007199254740992"), ("0.00000000001", "0"), ("1/3", "0.3333333333"), ("x", "y"), ("1" * 50, "1" * 49 + "2"), ("1/0", "1")]
+    assert all(key(a) != key(b) for a, b in apart)
+    assert key("3/6") == "n:1/2" and key("x+1") == "t:x+1" and key("1/0") == "t:1/0"
+
+
+def test_judge_solved_percent_and_last_number(spark):
+    judge = lambda a, b: _one(spark, A.judge_answer(F.lit(a), F.lit(b)))
+    assert judge("007", "7") and judge("-0", "0") and judge("1.50", "1.5") and judge("a", "a")
+    assert not judge("9" * 33, "9" * 32 + "8") and not judge("a", "b") and not judge(None, "1")
+    solved = lambda a, b: _one(spark, A.is_solved(F.lit(a), F.lit(b)))
+    assert solved("so ... The answer is $1,072", "x #### 1,072") and not solved("no phrase 72", "#### 72")
+    pct = lambda t: _one(spark, A.percent_to_fraction(F.lit(t)))
+    assert pct("12.5% of 50%") == "0.125 of 0.5" and pct("5 % and 0.02%") == "5 % and 0.0002"
+    last = lambda t: _one(spark, A.last_number(F.lit(t)))
+    assert [last(t) for t in ("about .5", "1,234.", "-3 to -4.50", "none")] == ["5", "1234.", "-4.50", ""]
+
+
+def test_traces_and_failed_programs(spark):
+    prog = lambda *lines: "```python\n" + "\n".join(lines) + "\n```\n"
+    out = lambda t: "```output\n" + t + "\n```\n"
+    ok, bad = prog("import a", "print(1)") + out("1"), prog("import b", "x = 1") + out("NameError")
+    run = lambda t, last=False: _one(spark, A.programs(F.lit(t), last))
+    assert run(ok + bad, True) == "import b\nimport a\nprint(1)\n" and run(bad + ok) == "import b\nimport a\nprint(1)\n"
+    assert run(bad) == "import b\n" and run("text only") == "" and run(ok + "so\n" + prog("y = 2")[:-1]) == "import a\n\ny = 2\n"
+    assert run("```python\n```\n") == A.INVALID_TRACE and run(prog("x")[:-4] + "```python\n") == A.INVALID_TRACE
+    outs = lambda t, last=True: _one(spark, A.outputs(F.lit(t), last))
+    assert outs(ok + bad) == "NameError" and outs("none") == "" and outs(ok + bad, False) == ["1", "NameError"]
+    assert [_one(spark, A.run_succeeded(F.lit(t))) for t in ("cannot solve", "NaN", "Traceback", "...", "fine")] == [False, False, True, False, True]
+
+
+def test_template_fields_are_not_filled_twice(spark):
+    from stepjudge.functions import prompts as P
+    assert _one(spark, P.render_template("{a}/{b}/{c}", {"a": F.lit("{b}"), "b": F.lit("x")})) == "{b}/x/{c}"
+
+
+def test_votes_agree_on_close_scores(spark):
+    rows = [(0, 0, "a", "a", 0.9999991, "b"), (0, 1, "b", "b", 0.9999994, "b")]
+    df = spark.createDataFrame(rows, "problem_id long, idx long, answer string, answer_key string, score double, gold_key string")
+    assert M.scaling_table(df, [2]).first().acc_naive == 100.0
+    assert V.vote_best(df).first().pred == "b" and V.vote_sweep(df, [2]).first().key_naive == "b"
+
+
+def test_unfinished_paths_are_returned(spark):
+    from stepjudge.operators import search as SE
+    tree = spark.createDataFrame([(1, i, None if i == 0 else i - 1, str(i), 0.5, None) for i in range(4)],
+                                 "problem_id long, node_id long, parent_id long, text string, score double, stop_reason string")
+    got = SE.best_paths(tree, keep=2, n=2, rounds=2).collect()
+    assert [(r.path, r.completed) for r in got] == [("012", False)]
+    assert [(r.path, r.completed) for r in SE.best_paths(tree, keep=2, n=2, rounds=5).collect()] == [("0123", True)]
+
+
+def test_null_group_is_split_when_hot(spark):
+    from stepjudge.operators import ranking as RK
+    df = spark.range(3000).withColumn("g", F.when(F.col("id") < 2500, F.lit(None)).otherwise(F.col("id") % 3))
+    got = {r.id: r.rn for r in RK.number_within(df, ["g"], ["id"], "rn", hot_rows=1000).collect()}
+    assert len(got) == 3000 and all(got[i] == i + 1 for i in range(2500))
