@@ -21,9 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage: written to the shared folder of ``spark.checkpoint.dir``."""
+    """Cut the lineage: written to the shared folder of ``spark.checkpoint.dir``.
+
+    Spark removes the shuffle files of a lineage when the driver collects what stood for it, which a
+    driver with little to do may not do for hours; so it is asked to here.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -14,6 +14,14 @@ def _least(both: DataFrame) -> DataFrame:
     return both.join(least, "a")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every vertex points at one other, which points at none: a star per component."""
+    out = edges.groupBy("a").agg(F.count("*").alias("n"))
+    roots = edges.select(F.col("b").alias("a")).distinct().withColumn("root", F.lit(1))
+    found = out.join(roots, "a", "left").agg(F.max("n").alias("n"), F.count("root").alias("inner")).first()
+    return (found["n"] or 1) == 1 and not found["inner"]
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(v, root): each vertex of an edge table (a, b) with the least vertex of its component.
 
@@ -21,19 +29,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     of a round is written to the checkpoint folder, so a lost executor costs one round at most.
     """
     now = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
     for _ in range(max_rounds):
+        if _settled(now):
+            break
         # large star: neighbours that are larger than a vertex point at the least around it
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: a vertex and its smaller neighbours point at the least of those
         found = _least(large)
         small = found.select(F.col("b").alias("a"), F.col("m").alias("b")).union(found.select("a", F.col("m").alias("b")))
         now = checkpoint(small.where("a <> b").distinct())
-        after = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if after == state:
-            break
-        state = after
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("v"), F.col("b").alias("root")).union(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
