@@ -114,24 +114,40 @@ def _by_length(words: list[str], whole: bool):
             yield np.array([i for i, _ in rows[a : a + step]]), np.stack([r for _, r in rows[a : a + step]])
 
 
-def kernel_weights(words: list[str]) -> np.ndarray:
-    """Normalised subsequence weights (rows: subsequences) of few words (columns, their first window)."""
-    out = np.zeros((CODES**ORDER, len(words)), dtype=np.float32)
-    for at, x in _by_length(words, False):
-        code, weight = subsequences(x)
-        np.add.at(out, (code, at[:, None]), np.broadcast_to(weight, code.shape))
-    return out / np.maximum(np.linalg.norm(out, axis=0, keepdims=True), 1e-12)
-
-
-def kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
-    """Normalised kernel of each word (its first window) to the landmarks given by their weights."""
-    out = np.zeros((len(words), landmarks.shape[1]), dtype=np.float32)
+@dataclass
+class Landmarks:
+    """Normalised subsequence weights of a few words: a row for each subsequence that occurs in them."""
+
+    row: np.ndarray  # of each subsequence; 0: in none of them
+    weight: np.ndarray  # rows x words; row 0 is zero
+
+    @staticmethod
+    def of(words: list[str]) -> Landmarks:
+        parts = [(at, *subsequences(x)) for at, x in _by_length(words, False)]
+        seen = np.unique(np.concatenate([code.ravel() for _, code, _ in parts]))
+        row = np.zeros(CODES**ORDER, dtype=np.int32)
+        row[seen] = np.arange(1, len(seen) + 1)
+        out = np.zeros((len(seen) + 1, len(words)), dtype=np.float32)
+        for at, code, weight in parts:
+            np.add.at(out, (row[code], at[:, None]), np.broadcast_to(weight, code.shape))
+        out /= np.maximum(np.linalg.norm(out, axis=0, keepdims=True), 1e-12)
+        return Landmarks(row, out)
+
+    def combined(self, factor: np.ndarray) -> np.ndarray:
+        """One weight per subsequence: the landmarks' weights, each times its factor."""
+        return (self.weight @ factor).astype(np.float32)[self.row]
+
+
+def kernel(words: list[str], landmarks: Landmarks) -> np.ndarray:
+    """Normalised kernel of each word (its first window) to the landmarks."""
+    out = np.zeros((len(words), landmarks.weight.shape[1]), dtype=np.float32)
     for at, x in _by_length(words, False):
         code, weight = subsequences(x)
+        row = landmarks.row[code]
         norm = np.sqrt(np.maximum(self_kernel(x), 1e-12))
-        step = max(1, 4_000_000 // max(1, code.shape[1] * landmarks.shape[1]))
+        step = max(1, 4_000_000 // max(1, code.shape[1] * out.shape[1]))
         for a in range(0, len(x), step):
-            out[at[a : a + step]] = np.einsum("wsl,s->wl", landmarks[code[a : a + step]], weight) / norm[a : a + step, None]
+            out[at[a : a + step]] = np.einsum("wsl,s->wl", landmarks.weight[row[a : a + step]], weight) / norm[a : a + step, None]
     return out
 
 
@@ -295,8 +311,8 @@ def spoiled(words: list[str], seed: int = 7) -> list[str]:
 def _words_machine(pos: pd.DataFrame, common: pd.DataFrame, pool: pd.DataFrame) -> Machine:
     half = LANDMARKS // 2
     landmarks = pos["word"].tolist()[:half] + common["word"].tolist()[:: max(1, len(common) // half)][:half]
-    base = kernel_weights(landmarks)
-    values, vectors = np.linalg.eigh((base.T @ base).astype(np.float64))
+    base = Landmarks.of(landmarks)
+    values, vectors = np.linalg.eigh((base.weight.T @ base.weight).astype(np.float64))
     kept = values > 1e-6 * values.max()
     whiten = vectors[:, kept] / np.sqrt(values[kept])
     negative = pd.concat([common, pool.iloc[:6000]]).drop_duplicates("word")
@@ -310,7 +326,7 @@ def _words_machine(pos: pd.DataFrame, common: pd.DataFrame, pool: pd.DataFrame)
         y = np.array([1.0] * len(pos) + [-1.0] * len(negative))
         weight = np.sqrt(np.concatenate([pos["n1"].to_numpy(), negative["n0"].to_numpy()]).astype(float))
         w, bias = _fit_machine(kernel(words, base) @ whiten, y, weight)
-        machine = Machine((base @ (whiten @ w)).astype(np.float32), float(bias), np.zeros(FEATURES + 1))
+        machine = Machine(base.combined(whiten @ w), float(bias), np.zeros(FEATURES + 1))
         if not last:  # the pool's words that come out highest are the hard negatives
             hard = pool.iloc[np.argsort(-machine.values(pool["word"].tolist()), kind="stable")[:3000]]
             negative = pd.concat([negative, hard]).drop_duplicates("word")

@@ -38,7 +38,7 @@ def slow_kernel(a, b):
 
 def test_string_kernel_against_the_definition():
     words = ["idiot", "idxiot", "aaaa", "a", "clown", "réeuxê"]
-    got = toxicity.kernel(words, toxicity.kernel_weights(["idiot", "clown", "aab"]))
+    got = toxicity.kernel(words, toxicity.Landmarks.of(["idiot", "clown", "aab"]))
     for i, w in enumerate(words):
         for j, mark in enumerate(["idiot", "clown", "aab"]):
             assert got[i, j] == pytest.approx(slow_kernel(w, mark)[0], abs=1e-4)
