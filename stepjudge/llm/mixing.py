@@ -28,6 +28,7 @@ from stepjudge.llm.common import checkpoint, free_name
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mixture-1"
+SMALL_ROWS = 100_000  # a source table of so many rows is broadcast; a larger one is joined by shuffle
 
 
 def words(text: str | Column) -> Column:
@@ -84,8 +85,10 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     inside = with_goal.join(first, same(F.col("source"), F.col("src")) & (F.col("hi") == F.col("hi_at"))).drop("src")
     second = reached(inside, "b", ["source"], F.col("hi_before"))
     cut = checkpoint(second)  # one row per source
+    sources = goal.count()
     goal = goal.join(cut, same(F.col("source"), F.col("src")), "left").drop("src").withColumnRenamed("source", "g_source")
-    joined = rows.join(goal, same(F.col("source"), F.col("g_source")))
+    # the source table goes to the documents while it is small, so that a hot source isn't dealt to one task
+    joined = rows.join(F.broadcast(goal) if sources <= SMALL_ROWS else goal, same(F.col("source"), F.col("g_source")))
     # the documents of the group at which the words are reached, one by one
     near = joined.where("b = b_at").groupBy("source", "d", "rest", "b_before").agg(F.sum("size").alias("s"))
     before = F.col("b_before") + F.sum("s").over(Window.partitionBy("source").orderBy("d")) - F.col("s")
