@@ -178,3 +178,15 @@ def tree_round(beams: DataFrame, expansions: DataFrame, width: int, last: bool =
     best = j.groupBy(*by, "beam_id").agg(F.max_by(F.struct("text", "score", "stopped", "exp_idx"),
                                                    F.struct(F.col("score"), -F.col("exp_idx"))).alias("_b"))
     return best.select(*by, "beam_id", "_b.text", "_b.score", "_b.stopped", "_b.exp_idx")
+
+
+def tree_finish(expanded: DataFrame, by: Sequence[str] = ("problem_id",)) -> DataFrame:
+    """The end of diverse verifier tree search over the last round's rows (``tree_round`` with
+    ``last``): per problem all completions and scores, subtree by subtree, best first inside each, and
+    the prediction: the text of the best score, the first on ties. One output row per problem."""
+    by = list(by)
+    place = F.struct("beam_id", "rank")
+    return expanded.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("beam_id", "rank", "text", "score"))).alias("_b"),
+        F.min_by(F.col("text"), F.struct((-F.col("score")).alias("s"), place.alias("p"))).alias("pred"),
+    ).select(*by, F.transform("_b", lambda x: x["text"]).alias("completions"), F.transform("_b", lambda x: x["score"]).alias("scores"), "pred")

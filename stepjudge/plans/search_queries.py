@@ -221,3 +221,42 @@ def q_tree_round(spark, sf):
     roots, exp = _root_expansions(spark, sf)
     t = SE.tree_round(roots, exp, width=2)
     return t.select("problem_id", "beam_id", "text", r6("score").alias("score"), "exp_idx", "stopped")
+
+
+def _two_beams(spark, sf):
+    """The two subtrees of every root as beams with one text, and their scored continuations."""
+    t = X.tree(spark, sf)
+    beams = t.filter(F.col("parent_id") == 0).select("problem_id", F.col("node_id").alias("beam_id"), F.lit("path ").alias("text"))
+    exp = t.filter(F.col("parent_id").isin(1, 2)).select("problem_id", F.col("parent_id").alias("beam_id"), F.col("node_id").alias("exp_idx"),
+                                                         F.col("text").alias("next_text"), "stop_reason", F.col("score").cast("double").alias("score"))
+    return beams, exp
+
+
+_TWO_SQL = """
+e AS (SELECT problem_id, parent_id AS beam_id, node_id AS exp_idx, 'path ' || text AS text, CAST(score AS DOUBLE) AS score, stop_reason
+      FROM tree WHERE parent_id IN (1, 2))
+"""
+
+
+@query("beam_round_two_beams", with_views("WITH " + _TWO_SQL + """,
+d AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY problem_id, text ORDER BY beam_id, exp_idx) = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, beam_id DESC, exp_idx DESC) AS rank FROM d
+      WHERE NOT COALESCE(stop_reason IN ('EOS', 'length'), FALSE) QUALIFY rank <= 2),
+c AS (SELECT problem_id, count(*) AS cnt FROM k GROUP BY problem_id),
+s AS (SELECT c.problem_id, g.slot, g.slot % c.cnt + 1 AS rank FROM c, (SELECT unnest([0, 1, 2, 3]) AS slot) g)
+SELECT s.problem_id, CAST(s.slot AS BIGINT) AS beam_id, k.text, round(k.score, 6) AS score FROM s JOIN k USING (problem_id, rank)""", "tree"))
+def q_beam_round_two_beams(spark, sf):
+    """K10 with two beams per problem: continuations are told apart, pruned and refilled across beams."""
+    beams, exp = _two_beams(spark, sf)
+    active, _ = SE.beam_round(beams, exp, n=4, width=2)
+    return active.select("problem_id", "beam_id", "text", r6("score").alias("score"))
+
+
+@query("tree_finish", with_views("WITH " + _TWO_SQL + """
+SELECT problem_id, string_agg(text, '|' ORDER BY beam_id, score DESC, exp_idx) AS completions, count(*) AS n,
+  first(text ORDER BY score DESC, beam_id, exp_idx) AS pred FROM e GROUP BY problem_id""", "tree"))
+def q_tree_finish(spark, sf):
+    """The last round fans every subtree out to its two best continuations; completions and prediction."""
+    beams, exp = _two_beams(spark, sf)
+    done = SE.tree_finish(SE.tree_round(beams, exp, width=2, last=True))
+    return done.select("problem_id", F.array_join("completions", "|").alias("completions"), F.size("completions").cast("bigint").alias("n"), "pred")
