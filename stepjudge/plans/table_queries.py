@@ -192,3 +192,54 @@ def q_question_text(spark, sf):
     """The question text of every benchmark item (plain layout)."""
     b = X.table(spark, sf, "benchmark").withColumnRenamed("text", "question")
     return question_text(b, "math").select("item_id", "question")
+
+
+@query("check_rules", with_views("""
+SELECT 'exact_n' AS rule, problem_id AS id, count(*) AS n FROM cand GROUP BY problem_id HAVING count(*) <> 4
+UNION ALL SELECT 'at_least_n', problem_id, count(*) FROM cand GROUP BY problem_id HAVING count(*) < 3
+UNION ALL SELECT 'unique', problem_id, count(*) FROM cand GROUP BY problem_id HAVING count(*) > 1
+UNION ALL SELECT 'non_empty', doc_id, 0 FROM documents WHERE text IS NULL OR text = ''""", "cand"))
+def q_check_rules(spark, sf):
+    """The groups and rows that break a rule."""
+    c = X.cand(spark, sf)
+    out = R.check(X.table(spark, sf, "documents"), "non_empty", cols=["text"]).select(F.lit("non_empty").alias("rule"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("n"))
+    for rule, n in (("exact_n", 4), ("at_least_n", 3), ("unique", None)):
+        out = out.union(R.check(c, rule, by=["problem_id"], n=n).select(F.lit(rule), "problem_id", "n"))
+    return out
+
+
+@query("drop_rows", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 'a' ELSE '7' END AS answer FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0""")
+def q_drop_rows(spark, sf):
+    """B6 + B10: rows with several answers, an empty answer or none are left out."""
+    k = F.col("o_orderkey")
+    answer = F.when(k % 5 == 0, F.when(k % 2 == 0, "").otherwise(F.lit(None))).when(k % 3 == 0, "a;b").when(k % 3 == 1, "a").otherwise("7")
+    o = X.table(spark, sf, "orders").select("o_orderkey", answer.alias("answer"))
+    return R.drop_multi_answer(R.drop_empty(o, "answer"), "answer")
+
+
+@query("distinct_generations", with_views("SELECT problem_id, answer, min(idx) AS idx FROM cand GROUP BY problem_id, answer", "cand"))
+def q_distinct_generations(spark, sf):
+    """S3: every distinct answer of a problem with its first place."""
+    return R.distinct_generations(X.cand(spark, sf), ["problem_id"], "answer", "idx")
+
+
+@query("pair_by_rank", with_views("""
+WITH r AS (SELECT *, answer_key = gold_key AS ok FROM cand),
+n AS (SELECT problem_id, idx, ok, row_number() OVER (PARTITION BY problem_id, ok ORDER BY score DESC, idx) AS rank FROM r)
+SELECT a.problem_id, a.rank, a.idx AS chosen_idx, b.idx AS rejected_idx FROM n a JOIN n b ON a.problem_id = b.problem_id AND a.rank = b.rank
+WHERE a.ok AND NOT b.ok AND a.rank <= 2""", "cand"))
+def q_pair_by_rank(spark, sf):
+    """C4 + L13: the i-th best right candidate of a problem beside its i-th best wrong one, i <= 2."""
+    c = X.cand(spark, sf).withColumn("ok", F.col("answer_key") == F.col("gold_key"))
+    side = lambda ok, name: R.rank_rejected(c.where(F.col("ok") == ok), ["problem_id"], "score", "idx").select("problem_id", "rank", F.col("idx").alias(name))
+    return R.pair_by_rank(side(True, "chosen_idx"), side(False, "rejected_idx"), ["problem_id"], 2)
+
+
+@query("same_multiset", with_views("""
+SELECT problem_id, idx, answer = answer_key AS same, TRUE AS swapped FROM cand""", "cand"))
+def q_same_multiset(spark, sf):
+    """(answer, answer) against (answer, key), and against its own swap."""
+    c = X.cand(spark, sf)
+    return c.select("problem_id", "idx", R.same_multiset(F.array("answer", "answer"), F.array("answer", "answer_key")).alias("same"),
+                    R.same_multiset(F.array("answer_key", "answer"), F.array("answer", "answer_key")).alias("swapped"))
