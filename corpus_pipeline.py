@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepjudge.llm import jaccard, mixing, private, sentencepiece_table, toxicity
-from stepjudge.llm.common import free_name, learnable, table, with_struct
+from stepjudge.llm.common import free_name, learnable, table
 from stepjudge.session import checkpoint_dir
 
 ORACLE_SQL = None
@@ -52,7 +52,7 @@ def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """The documents' columns, the ids and the decoded text."""
     from stepjudge.llm.queries import piece_model
 
-    return with_struct(docs, ["ids", "decoded"], sentencepiece_table.encode("text", piece_model()), docs.columns)
+    return sentencepiece_table.encoded(docs, piece_model())
 
 
 STAGES = [

@@ -63,7 +63,11 @@ def learnable(key: str, n: int, rest: int) -> Column:
 
 def slices(texts: pd.Series, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges of a batch, each of about ``limit`` characters (one text at least)."""
-    size = texts.str.len().fillna(0).to_numpy(dtype="int64")
+    return slices_of(texts.str.len().fillna(0).to_numpy(dtype="int64"), limit)
+
+
+def slices_of(size, limit: int) -> Iterator[tuple[int, int]]:
+    """The same from the texts' sizes."""
     start, held = 0, 0
     for i, n in enumerate(size):
         if held and held + n > limit:

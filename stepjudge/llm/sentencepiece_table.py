@@ -16,18 +16,19 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from stepjudge.llm.common import slices
+from stepjudge.llm.common import slices, slices_of
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 #: Distinct marked words held by a task; the table starts anew beyond it.
-TABLE_WORDS = 400_000
+TABLE_WORDS = 200_000
+ENCODE_WORDS, ENCODE_CHARS = 60_000, 1_000_000
 
 DIGEST_TYPE = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
-ENCODED_TYPE = "struct<ids:array<int>,decoded:string>"
 
 
 def crossing_pieces(processor) -> list[str]:
@@ -72,7 +73,7 @@ class ChunkTable:
 
 
 def _rows(texts: pd.Series, table: ChunkTable) -> Iterator[list[str]]:
-    for a, b in slices(texts):
+    for a, b in slices(texts, 2_000_000):
         rows = [table.words(t) for t in texts.iloc[a:b]]
         table.learn(set().union(*rows))
         yield from rows
@@ -95,14 +96,30 @@ def digests(text: str | Column, model_file: str) -> Column:
     return run(text)
 
 
-def encode(text: str | Column, model_file: str) -> Column:
-    """Struct of the ids and of the decoded text."""
-
-    @F.pandas_udf(ENCODED_TYPE)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table = ChunkTable(model_file)
-        for texts in batches:
-            out = [([i for w in row for i in table.ids[w]], table.decoded(row)) for row in _rows(texts, table)]
-            yield pd.DataFrame(out, columns=["ids", "decoded"], dtype=object)
-
-    return run(text)
+def encoded(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
+    """The documents with ``ids`` and ``decoded`` (which replace columns of these names).
+
+    Rows leave a task in slices of ``ENCODE_CHARS`` characters and its table is small, so that a task
+    holds little more than the batch it was given.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
+    rows = docs.select(*kept)
+    at = kept.index(next(c for c in kept if c.lower() == text.lower()))
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute
+
+        table = ChunkTable(model_file, ENCODE_WORDS)
+        for batch in batches:
+            size = pd.Series(pa.compute.fill_null(pa.compute.utf8_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+            for a, b in slices_of(size.to_numpy(dtype="int64"), ENCODE_CHARS):
+                part = batch.slice(a, b - a)
+                words = [table.words(t) for t in part.column(at).to_pylist()]
+                table.learn(set().union(*words))
+                ids = pa.array([[i for w in row for i in table.ids[w]] for row in words], type=pa.list_(pa.int32()))
+                decoded = pa.array([table.decoded(row) for row in words], type=pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, decoded], names=[*part.schema.names, "ids", "decoded"])
+
+    schema = StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+    return rows.mapInArrow(run, schema)

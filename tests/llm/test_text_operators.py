@@ -31,6 +31,14 @@ def test_sentencepiece_equals_the_library(make, library):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
 
 
+def test_encoded_documents_equal_the_library(odd, library):
+    got = sentencepiece_table.encoded(odd, queries.piece_model())
+    assert got.columns == [c for c in odd.columns if c != "ids"] + ["ids", "decoded"]
+    for r in got.collect():
+        ids = library.encode(r["text"] or "")
+        assert r["ids"] == ids and r["decoded"] == library.decode(ids)
+
+
 def test_sentencepiece_table_starts_anew_when_full(library):
     table = sentencepiece_table.ChunkTable(queries.piece_model(), limit=3)
     for text in ["a b c", "d e f", "a d g"]:
@@ -192,4 +200,4 @@ def test_odd_rows_and_empty_tables(odd, empty):
         mixing.mixed(docs).collect()
         assert {r["doc_id"] for r in substrings.repeated_runs(docs).collect()} <= {4, 5}
         assert substrings.remove_runs(docs, substrings.repeated_runs(docs)).count() == n
-        assert with_struct(docs, ["ids", "decoded"], sentencepiece_table.encode("text", queries.piece_model()), docs.columns).count() == n
+        assert sentencepiece_table.encoded(docs, queries.piece_model()).count() == n
