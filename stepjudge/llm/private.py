@@ -2,15 +2,19 @@
 
 Generators with high recall propose spans, which may overlap: addresses with or without a dotted domain
 or with a spelled-out at sign, and the pieces of every run of digits and separators that may be an IP
-address, a card or a phone number. Strict rules mark the base spans, which always stay.
+address, a card or a phone number: the plain patterns' matches, and every sequence of neighbouring groups
+of digits whose separators and count of digits fit a kind. A sequence has ``DIGITS`` digits at most, so
+these are linear in the run. Strict rules mark the base spans among the plain matches, which always stay.
 
 Every candidate has a few small integer features of its format and context. Boosted trees of depth two
-learn from all candidates of the corpus which of them lie in base spans, without seeing what the rules
-decide by (check digits, value ranges, the plus sign), so candidates that look like base spans in the
-rest score high. Learning needs the candidates' counts per feature vector only; every split is chosen
+learn from all candidates of the corpus which of them are base spans (or the local part that a base phone
+number ends in), without seeing what the rules decide by (check digits, value ranges, the plus sign), so
+candidates that look like base spans in the rest score high. Learning needs the candidates' counts per feature vector only; every split is chosen
 from one aggregation over these. The threshold of a kind is the lowest at which ``PRECISION`` of what
-scores as much lies in base spans. Other candidates above it are added, unless they overlap a base span or
-an added span before them.
+scores as much is so. Other candidates above it are added unless they overlap a base span, best first, each
+unless it overlaps one really added. Best is the highest margin (a number that passes its check sum or
+value ranges gets ``log(10)`` more, as one in ten passes a check sum by chance), then the longest, then
+the first.
 
 Positions are code points, ends exclusive. A null text counts as empty and has no spans. Rows are found
 independently; repeated rows and null ids get their own results. An empty table gives no rows. Columns
@@ -31,6 +35,7 @@ KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.8
 TREES, RATE, RIDGE = 10, 0.4, 1.0
 LEAST = 8  # candidates that a threshold rests on, at least
+DIGITS = 19  # of the longest number of any kind
 
 # Possessive quantifiers and the look-behinds only keep these patterns linear on long runs; what they match is
 # the leftmost, non-overlapping matches of the plain patterns.
@@ -59,6 +64,40 @@ def located(rows: DataFrame, keys: list[str], text: str, pattern: str, keep: lis
     return out.withColumn("start", start.cast("int")).drop("_i", "_n")
 
 
+#: What a whole sequence of groups has to match, and its least and largest count of digits, by form.
+_SEQUENCES = (
+    (1, r"^[0-9]+(?:\.[0-9]+){3}$", 4, DIGITS),
+    (2, r"^[0-9]+(?:[ -][0-9]+)*$", 12, DIGITS),
+    (3, r"^\+[0-9][ ().0-9-]+[0-9]$", 9, 15),
+    (4, r"^[0-9]+(?:(?:\) ?|[ .-])\(?[0-9]+)+$", 7, 15),
+)
+
+
+def sequences(runs: DataFrame) -> DataFrame:
+    """(r, start, m, before, after) of every sequence of neighbouring groups of digits of a run, ``DIGITS`` digits at most.
+
+    A plus sign before the first group belongs to m.
+    """
+    keys = ["r", "t_hash", "at"]
+    rows = runs.where(F.col("run").rlike("[0-9][^0-9]+[0-9]") & (F.length(digits(F.col("run"))) > 4))
+    rows = rows.select(*keys, "a", "b", F.split("run", "[0-9]++", -1).alias("_s"), F.regexp_extract_all("run", F.lit("[0-9]++"), F.lit(0)).alias("_d"))
+    each = F.transform(F.sequence(F.lit(0), F.size("_d") - 1), lambda i: F.struct(i.alias("i"), F.get("_s", i).alias("s"), F.get("_d", i).alias("d"), F.left(F.get("_s", i + 1), F.lit(1)).alias("next")))
+    rows = rows.select(*keys, "a", "b", F.explode(each).alias("_g"))
+    order = Window.partitionBy(*keys).orderBy("_g.i")
+    end = F.sum(F.length("_g.s") + F.length("_g.d")).over(order)
+    rows = rows.withColumn("start", F.col("at") + end - F.length("_g.d")).withColumn("_w", F.collect_list("_g").over(order.rowsBetween(0, DIGITS - 1)))
+    count = lambda n: F.aggregate(F.slice("_w", F.lit(1), n), F.lit(0), lambda x, g: x + F.length(g["d"]))
+    sizes = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda n: count(n) <= DIGITS)
+    rows = rows.select("r", "a", "b", "start", "_w", F.explode(sizes).alias("_n"))
+    m = F.array_join(F.transform(F.slice("_w", F.lit(1), F.col("_n")), lambda g, i: F.when(i == 0, g["d"]).otherwise(F.concat(g["s"], g["d"]))), "")
+    gap, after = F.get("_w", F.lit(0))["s"], F.get("_w", F.col("_n") - 1)["next"]
+    plus = gap.endswith("+")
+    return rows.select(
+        "r", (F.col("start") - plus.cast("int")).cast("int").alias("start"), F.when(plus, F.concat(F.lit("+"), m)).otherwise(m).alias("m"),
+        F.concat("b", F.right(F.when(plus, F.left(gap, F.length(gap) - 1)).otherwise(gap), F.lit(24))).alias("before"), F.when(after == "", F.col("a")).otherwise(after).alias("after"),
+    )
+
+
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
@@ -99,9 +138,10 @@ def row_hash(key: Column, text: Column) -> Column:
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(r, kind, start, end, base, inside, f) of every proposed span; kind is a position in ``KINDS``.
+    """(r, kind, start, end, base, strict, inside, f) of every proposed span; kind is a position in ``KINDS``.
 
-    ``inside`` tells whether the span lies in a base span (itself included).
+    ``strict`` tells whether an address or a card passes its rule, ``inside`` whether the span is right by the base
+    spans of its kind: it is one, ends a phone number or lies in an address of mail.
     """
     rows = texts(docs, key, text)
     keys = ["r", "t_hash"]
@@ -110,31 +150,41 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     out = None
     for pattern, some, base in ((EMAIL, has("@"), True), (UNDOTTED, has("@"), False), (SPELLED, has("[", "("), False)):
         part = located(rows.where(some), keys, "t", pattern, keys)
-        part = part.select("r", F.lit(0).alias("kind"), "start", "m", "before", "after", F.lit(base).alias("base"), F.lit(0).alias("form"))
+        part = part.select("r", F.lit(0).alias("kind"), "start", "m", "before", "after", F.lit(base).alias("base"), F.lit(False).alias("strict"), F.lit(0).alias("form"))
         out = part if out is None else out.union(part)
     runs = located(rows, keys, "t", RUN, keys)
     runs = runs.where(F.length(digits(F.col("m"))) >= 4)
     runs = checkpoint(runs.select("r", "t_hash", F.col("start").alias("at"), F.col("m").alias("run"), F.col("before").alias("b"), F.col("after").alias("a")))
     number = F.length(digits(F.col("m")))
+    octets = F.forall(F.split("m", r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(F.concat(F.lit("0"), p), F.lit(4)).cast("int") <= 255))
+    strict = {1: octets, 2: luhn(digits(F.col("m")))}
     for form, pattern in ((1, IP), (2, CARD), (3, PHONE), (4, LOCAL_PHONE)):
         part = located(runs, ["r", "t_hash", "at"], "run", pattern, ["r", "t_hash", "at", "b", "a", "run"])
         part = part.withColumn("after", F.when(F.col("start") + F.length("m") < F.length("run"), F.col("after")).otherwise(F.col("a")))
         part = part.withColumn("before", F.concat("b", "before")).withColumn("start", F.col("start") + F.col("at"))
         if form == 1:
-            good, base = F.lit(True), F.forall(F.split("m", r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(F.concat(F.lit("0"), p), F.lit(4)).cast("int") <= 255))
+            good, base = F.lit(True), strict[form]
         elif form == 2:
-            good, base = number.between(12, 19), luhn(digits(F.col("m")))
+            good, base = number.between(12, 19), strict[form]
         elif form == 3:
             good, base = number.between(9, 15), F.lit(True)
         else:
             good, base = number.between(7, 15), F.lit(False)
         kind = F.lit(min(form, 3))
-        out = out.union(part.where(good).select("r", kind.alias("kind"), "start", "m", "before", "after", base.alias("base"), kind.alias("form")))
+        out = out.union(part.where(good).select("r", kind.alias("kind"), "start", "m", "before", "after", base.alias("base"), strict.get(form, F.lit(False)).alias("strict"), kind.alias("form")))
+    part = sequences(runs)
+    fits = lambda pattern, least, most: F.col("m").rlike(pattern) & number.between(least, most)
+    forms = F.array_compact(F.array(*[F.when(fits(*rule), F.lit(form)) for form, *rule in _SEQUENCES]))
+    part = part.withColumn("form", F.explode(forms)).withColumn("kind", F.least("form", F.lit(3)))
+    part = part.withColumn("strict", F.when(F.col("form") == 1, strict[1]).when(F.col("form") == 2, strict[2]).otherwise(False))
+    out = out.union(part.select("r", "kind", "start", "m", "before", "after", F.lit(False), "strict", F.col("kind").alias("form")))
     features = _features(F.col("m"), F.col("before"), F.col("after"), F.col("form"))
-    out = out.select("r", "kind", "start", (F.col("start") + F.length("m")).cast("int").alias("end"), F.coalesce("base", F.lit(False)).alias("base"), features.alias("f")).distinct()
-    begun = Window.partitionBy("r").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = F.coalesce(F.max(F.when(F.col("base"), F.col("end"))).over(begun) >= F.col("end"), F.lit(False))
-    return out.withColumn("inside", inside)
+    found = F.struct(F.coalesce("base", F.lit(False)).alias("base"), F.coalesce("strict", F.lit(False)).alias("strict"), features.alias("f"))
+    out = out.groupBy("r", "kind", "start", (F.col("start") + F.length("m")).cast("int").alias("end")).agg(F.max(found).alias("_x")).select("r", "kind", "start", "end", "_x.*")
+    begun = Window.partitionBy("r", "kind").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.max(F.when(F.col("base"), F.col("end"))).over(begun)
+    inside = F.when(F.col("kind") == 0, last >= F.col("end")).when(F.col("kind") == 3, last == F.col("end")).otherwise(F.col("base"))
+    return out.withColumn("inside", F.coalesce(inside, F.lit(False)))
 
 
 @dataclass
@@ -219,12 +269,23 @@ def spans(found: DataFrame, model: Trees) -> DataFrame:
     for kind, t in model.thresholds.items():
         limit = F.when(F.col("kind") == kind, F.lit(t)).otherwise(limit)
     rows = found.withColumn("more", ~F.col("base") & (model.probability() >= limit)).where("base or more")
+    rows = rows.withColumn("rank", model.margin() + F.when(F.col("strict"), F.lit(math.log(10))).otherwise(0.0))
     order = Window.partitionBy("r").orderBy("start", F.desc("end"), "kind")
     past, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("b_end", F.max(F.when(F.col("base"), F.col("end"))).over(past)).withColumn("m_end", F.max(F.when(F.col("more"), F.col("end"))).over(past))
+    rows = rows.withColumn("b_end", F.max(F.when(F.col("base"), F.col("end"))).over(past))
     rows = rows.withColumn("b_start", F.min(F.when(F.col("base"), F.col("start"))).over(rest))
-    alone = (F.coalesce("b_end", F.lit(0)) <= F.col("start")) & (F.coalesce("m_end", F.lit(0)) <= F.col("start")) & (F.coalesce("b_start", F.col("end")) >= F.col("end"))
-    return rows.where(F.col("base") | alone).select("r", "kind", "start", "end", "base")
+    free = (F.coalesce("b_end", F.lit(0)) <= F.col("start")) & (F.coalesce("b_start", F.col("end")) >= F.col("end"))
+    rows = rows.where(F.col("base") | free).select("r", "kind", "start", "end", "base", "rank")
+    # Only spans of one chain of overlaps can keep each other out, so each chain is chosen from on its own.
+    more = rows.where(~F.col("base"))
+    begins = F.coalesce(F.col("start") >= F.max("end").over(past), F.lit(True)).cast("int")
+    more = more.withColumn("begins", begins).withColumn("chain", F.sum("begins").over(order))
+    best = F.struct((-F.col("rank")).alias("rank"), (F.col("start") - F.col("end")).alias("size"), "start", "end", "kind")
+    chains = more.groupBy("r", "chain").agg(F.sort_array(F.collect_list(best)).alias("all"))
+    overlaps = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
+    chosen = F.aggregate("all", F.slice("all", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda y: overlaps(x, y)), kept).otherwise(F.array_append(kept, x)))
+    added = chains.select("r", F.explode(chosen).alias("_x")).select("r", "_x.kind", "_x.start", "_x.end", F.lit(False).alias("base"))
+    return rows.where("base").select("r", "kind", "start", "end", "base").union(added)
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -129,6 +129,37 @@ def test_candidates_like_base_spans_are_added_and_redacted(make):
     assert private.redact(docs).columns == docs.columns
 
 
+def test_numbers_behind_other_numbers_are_added(make):
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881"]
+    rows = [(i, f"call now +1 (0{i % 90 + 10}) 555-77{i % 90 + 10}, card {cards[i % 3]}, host 10.0.{i}.1 since 2024{i % 9 + 101:04d} and room {i}") for i in range(60)]
+    rows += [(100, "card 20240131 4111 1111 1111 1111, host"), (101, "call 10.0.0.1 555-7713, card"), (102, "card 4111 1111 1111 1111 017 555-7713, host")]
+    got = {r["doc_id"]: r for r in private.find(make(rows)).collect()}
+    at = lambda k, kind, m: f"{kind}:{dict(rows)[k].index(m)}:{dict(rows)[k].index(m) + len(m)}"
+    assert got[100]["spans"] == at(100, "card", cards[0])
+    assert got[101]["spans"] == at(101, "ip", "10.0.0.1") + "," + at(101, "phone", "555-7713") and got[101]["n_added"] == 1
+    assert got[102]["spans"] == at(102, "card", cards[0]) + "," + at(102, "phone", "017 555-7713")
+    assert all(got[i]["n_added"] == 0 and got[i]["n_card"] == got[i]["n_ip"] == got[i]["n_phone"] == 1 for i in range(60))
+
+
+def test_every_sequence_of_groups_is_proposed(make):
+    text = "x +12 (34) 567.8-90 1234 5678 9012 3456-7 1.2.3.4.5"
+    want = set()
+    groups = [m.span() for m in re.finditer("[0-9]+", text)]
+    for i, (a, _) in enumerate(groups):
+        for _, b in groups[i:]:
+            m, n = text[a:b], len(re.sub("[^0-9]", "", text[a:b]))
+            if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", m):
+                want.add((1, a, b))
+            if re.fullmatch("[0-9]+([ -][0-9]+)*", m) and 12 <= n <= 19:
+                want.add((2, a, b))
+            if text[a - 1] == "+" and 9 <= n <= 15:
+                want.add((3, a - 1, b))
+            if text[a - 1] != "+" and re.fullmatch(r"[0-9]+((\) ?|[ .-])\(?[0-9]+)+", m) and 7 <= n <= 15:
+                want.add((3, a, b))
+    got = private.candidates(make([(1, text)])).collect()
+    assert {(r["kind"], r["start"], r["end"]) for r in got} >= want and len(want) > 20
+
+
 def test_private_on_odd_rows(odd, empty):
     check_private([(r[0], r[1]) for r in ODD], private.find(odd).collect())
     assert private.redact(odd).count() == len(ODD) and private.find(empty).count() == 0 and private.redact(empty).count() == 0
