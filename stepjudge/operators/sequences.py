@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from stepjudge.functions.verdicts import step_label
 from stepjudge.operators.ranking import number_within
 from stepjudge.operators.scoring import hash_tokenize
+from stepjudge.session import checkpoint_dir
 
 IGNORE_INDEX = -100
 
@@ -89,10 +90,14 @@ def evaluation_rows(df: DataFrame, steps: str = "steps", labels: str = "labels")
 def pad_batches(df: DataFrame, order_by: Sequence[str], size: int, cols: dict[str, int | str]) -> DataFrame:
     """Pad array columns to the longest in each batch of ``size`` rows (W11 numbering). The
     pad value is a number, or ``"last"`` to repeat the last element. Batch maxima are an
-    aggregate joined back."""
-    # only the order columns are numbered; the arrays meet their batch in a join (order_by is a key)
-    keys = number_within(df.select(*order_by), [], list(order_by), "_rn", base=0)
-    b = df.join(keys.withColumn("batch_id", F.floor(F.col("_rn") / size)).drop("_rn"), list(order_by))
+    aggregate joined back. Every row is kept once: rows of equal or null order keys are told apart by
+    a row id (in no promised order)."""
+    # only the order columns and the row id are numbered; the arrays meet their batch in a join on the
+    # row id, which both sides read from the checkpoint
+    checkpoint_dir(df.sparkSession)
+    df = df.withColumn("_rid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    keys = number_within(df.select(*order_by, "_rid"), [], [*order_by, "_rid"], "_rn", base=0)
+    b = df.join(keys.select("_rid", F.floor(F.col("_rn") / size).alias("batch_id")), "_rid").drop("_rid")
     mx = b.groupBy("batch_id").agg(*[F.max(F.size(c)).alias(f"_mx_{c}") for c in cols])
     j = b.join(mx, "batch_id")
     for c, pad in cols.items():

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from stepjudge.operators import metrics as M
 from stepjudge.operators import ranking as RK
 from stepjudge.operators import rows as R
+from stepjudge.operators import sequences as SQ
 from stepjudge.operators import steps as ST
 from stepjudge.operators import votes as V
 from stepjudge.sources import fixtures as X
@@ -91,6 +92,18 @@ def test_top_k_with_hot_group(spark):
     assert hot == [9999, 9998, 9997]
 
 
+def test_padding_keeps_rows_of_equal_and_null_keys(spark):
+    rows = [(1, "a", [1]), (1, "b", [1, 2]), (None, "c", [1, 2, 3]), (None, "d", []), (2, "e", [5, 6]), (2, "e", [5, 6])]
+    df = spark.createDataFrame(rows, "doc_id long, name string, ids array<int>")
+    got = SQ.pad_batches(df, ["doc_id"], 2, {"ids": 0}).collect()
+    assert sorted(r.name for r in got) == [r[1] for r in rows]
+    batches = {}
+    for r in got:
+        batches.setdefault(r.batch_id, []).append(r)
+    assert [sorted(r.name for r in batches[k]) for k in range(3)] == [["c", "d"], ["a", "b"], ["e", "e"]]
+    assert [{len(r.ids) for r in batches[k]} for k in range(3)] == [{3}, {2}, {2}]
+
+
 def test_balance_equal_classes(spark):
     df = spark.range(1000).withColumn("y", F.col("id") % 4 == 0)
     b = R.balance(df, "y", 3, ["id"])
