@@ -145,6 +145,19 @@ def test_substring_runs_are_found_and_removed(make):
         assert after[k] == text[k][: got[k]["start"]] + text[k][got[k]["end"] :]
 
 
+def test_rows_of_one_id_with_different_texts(make):
+    rng = np.random.default_rng(3)
+    own = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    a, b = own(80), own(80)
+    rows = [(1, a), (2, b), (3, f"{own(7)} {a}"), (3, f"{own(9)} {b}"), (3, own(120))]
+    docs, apart = make(rows), make([(i + 1, t) for i, (_, t) in enumerate(rows)])  # apart: an id for each text
+    spans = lambda runs: sorted((r["start"], r["end"], r["n_words"], r["first_doc"], r["removable"]) for r in runs.where("doc_id > 2").collect())
+    runs, want = substrings.repeated_runs(docs), substrings.repeated_runs(apart)
+    assert spans(runs) == spans(want) and [r[3] for r in sorted(spans(want), key=lambda r: r[3])] == [1, 2]
+    cut = lambda docs, runs: sorted(r["text"] for r in substrings.remove_runs(docs, runs).where("doc_id > 2").collect())
+    assert cut(docs, runs) == cut(apart, want) and max(map(len, cut(docs, runs))) == len(rows[-1][1])
+
+
 def clamp(sizes, weights, times=3.0):
     """Water-filling step by step."""
     total, free, out = sum(sizes), set(range(len(sizes))), {}
