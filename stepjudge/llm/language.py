@@ -24,7 +24,6 @@ from stepjudge.llm.common import slices
 BUCKETS = 1 << 15
 SEGMENT = 48  # trigrams that share a language
 STEPS = 12  # of expectation-maximisation
-MAX_SET = 4  # languages in a set, at most
 PENALTY = 4.0  # of the logarithm of a document's segments, for each further language
 UNDETERMINED = "und"
 
@@ -114,14 +113,22 @@ def infer(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     order = np.argsort(-theta, axis=1, kind="stable")
     segments = np.bincount(row, minlength=n)
     best, chosen = np.full(n, -np.inf), np.zeros((n, langs), dtype=bool)
-    for k in range(1, min(MAX_SET, langs) + 1):
-        allowed = np.zeros((n, langs))
-        np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-        _, like = _mixture(ll, row, n, allowed)
-        value = like - PENALTY * (k - 1) * np.log(segments + 1.0)
-        better = value > best
-        best = np.where(better, value, best)
-        chosen[better] = allowed[better] > 0
+    most = np.bincount(row, weights=ll.max(axis=1), minlength=n)  # no set's likelihood is higher
+    for k in range(1, langs + 1):
+        penalty = PENALTY * (k - 1) * np.log(segments + 1.0)
+        some = np.flatnonzero(most - penalty > best)  # of the others, no set of k or more can be better
+        if not len(some):
+            break
+        at = np.full(n, -1)
+        at[some] = np.arange(len(some))
+        mine = at[row] >= 0
+        allowed = np.zeros((len(some), langs))
+        np.put_along_axis(allowed, order[some, :k], 1.0, axis=1)
+        _, like = _mixture(ll[mine], at[row[mine]], len(some), allowed)
+        value = like - penalty[some]
+        better = value > best[some]
+        best[some] = np.where(better, value, best[some])
+        chosen[some[better]] = allowed[better] > 0
     return theta, chosen, size
 
 

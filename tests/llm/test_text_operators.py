@@ -145,6 +145,16 @@ def test_substring_runs_are_found_and_removed(make):
         assert after[k] == text[k][: got[k]["start"]] + text[k][got[k]["end"] :]
 
 
+def test_a_text_in_many_languages_keeps_them_all(make):
+    rng = np.random.default_rng(6)
+    letters = ["abcde", "fghij", "klmno", "pqrst", "uvwxy", "zéèüö"]
+    own = lambda x, n: " ".join("".join(rng.choice(list(x), 6)) for _ in range(n))
+    names, logp = language.weights(language.learn(make([(i, own(x, 200), f"l{i}", "a") for i, x in enumerate(letters)])))
+    docs = make([(10, " ".join(own(x, 60) for x in letters)), (11, " ".join(own(x, 60) for x in letters[:5])), (12, own(letters[2], 60))])
+    got = {r["doc_id"]: r["langs"] for r in with_struct(docs, ["lang_pred", "score", "langs"], language.predict("text", names, logp), ["doc_id"]).collect()}
+    assert sorted(got[10]) == [f"l{i}" for i in range(6)] and sorted(got[11]) == [f"l{i}" for i in range(5)] and got[12] == ["l2"]
+
+
 def test_rows_of_one_id_with_different_texts(make):
     rng = np.random.default_rng(3)
     own = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
