@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepjudge.llm import fingerprint, hamming, jaccard, language, maxent, mixing, private, sentencepiece_table, substrings, toxicity
+from stepjudge.llm import audit, fingerprint, hamming, jaccard, language, maxent, mixing, periodic, private, sentencepiece_table, substrings, toxicity
 from stepjudge.llm.common import held_out, learnable, table, with_struct
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_struct(out, fields, language.predict("text", names, logp), ["doc_id", "held_out"])
 
 
+@query("op11_filter_audit", audit.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in every order of applying them, per source."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of every document, the greatest one, and what is left without the repeats."""
+    return periodic.report(table(spark, sf_dir, "documents"), change=periodic.planted)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of the corpus pipeline, with the digests of what they end in."""
