@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepjudge.llm import audit, fingerprint, hamming, jaccard, language, maxent, mixing, periodic, private, sentencepiece_table, substrings, toxicity
+from stepjudge.llm import audit, fingerprint, hamming, jaccard, language, maxent, mixing, periodic, private, sentencepiece_table, substrings, suffixes, toxicity
 from stepjudge.llm.common import held_out, learnable, table, with_struct
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +107,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op12_suffix_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of earlier ones."""
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 @query("op13_periodic_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of repeated words of every document, the greatest one, and what is left without the repeats."""
