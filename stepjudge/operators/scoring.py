@@ -9,6 +9,7 @@ reach it in batches of ``batch_size`` over Arrow; nothing passes through the dri
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from stepjudge.functions.answers import split_steps
 from stepjudge.functions.verdicts import step_label_from_score
+from stepjudge.operators.ranking import number_within
+from stepjudge.session import checkpoint_dir
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -35,6 +38,57 @@ def apply_batched(df: DataFrame, factory: Callable[[], Scorer], schema: str, bat
     return df.mapInPandas(run, schema)
 
 
+#: Lengths of one class differ by this factor at most, so padding to the class costs an eleventh.
+CLASS_RATIO = 1.1
+
+
+def length_class(length: Column) -> Column:
+    """The class of a length: 0 for none, then lengths within a factor of ``CLASS_RATIO``."""
+    return F.when(length <= 0, 0).otherwise(1 + F.floor(F.log(length.cast("double")) / math.log(CLASS_RATIO) + 1e-9)).cast("int")
+
+
+def batch_by_length(df: DataFrame, length: str, budget: int) -> DataFrame:
+    """``batch_id`` and ``batch_size`` such that a batch's rows are of similar length and take at most ``budget``
+    tokens once padded (a row longer than that is a batch of its own).
+
+    Rows are numbered within their class of lengths, which any number of tasks share (``number_within``), and
+    every class has batches of as many rows as fit: no row moves for the sake of another class."""
+    checkpoint_dir(df.sparkSession)
+    d = df.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_class", length_class(F.col(length))).checkpoint(eager=True)
+    longest = F.ceil(F.pow(F.lit(CLASS_RATIO), F.col("_class")))
+    rows = F.greatest(F.floor(F.lit(int(budget)) / F.greatest(longest, F.lit(1))), F.lit(1))
+    n = number_within(d.select("_rid", "_class"), ["_class"], ["_rid"], "_rn", base=0).drop("_class")
+    place = F.floor(F.col("_rn") / rows)
+    return d.join(n, "_rid").withColumn("batch_id", F.struct(F.col("_class").alias("length_class"), place.alias("place"))).withColumn("batch_size", rows.cast("bigint")).drop("_rid", "_class", "_rn")
+
+
+def apply_by_length(df: DataFrame, factory: Callable[[], Scorer], schema: str, length: str, budget: int) -> DataFrame:
+    """U1 with batches by length: the function sees each batch of ``batch_by_length`` as a whole, wherever Arrow's batches
+    end. Rows come back in no order; their keys tell them apart."""
+    cols = df.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fn, held = factory(), None
+        for b in batches:
+            held = b if held is None else pd.concat([held, b], ignore_index=True)
+            mark = held["_b"].to_numpy()
+            cuts = [0, *(i + 1 for i in range(len(mark) - 1) if mark[i] != mark[i + 1])]
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                yield fn(held.iloc[start:stop][cols].reset_index(drop=True))
+            held = held.iloc[cuts[-1]:]
+        if held is not None and len(held):
+            yield fn(held[cols].reset_index(drop=True))
+
+    batched = batch_by_length(df, length, budget).withColumn("_b", F.concat_ws("-", "batch_id.length_class", "batch_id.place"))
+    return batched.select(*cols, "_b").repartition("_b").sortWithinPartitions("_b").mapInPandas(run, schema)
+
+
+def padding_share(df: DataFrame, length: str, batch: str = "batch_id") -> DataFrame:
+    """The share of tokens that are padding when every batch is padded to its longest row."""
+    of_batch = df.groupBy(batch).agg(F.max(length).alias("m"), F.count(F.lit(1)).alias("n"), F.sum(length).alias("s"))
+    return of_batch.agg((1 - F.sum("s") / F.sum(F.col("m") * F.col("n"))).alias("share"), F.max(F.col("m") * F.col("n")).alias("largest"))
+
+
 def length_scorer() -> Scorer:
     """A deterministic test scorer: step score = (characters % 100) / 100."""
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -80,13 +134,39 @@ def softmax(arr: str | Column, temperature: float = 1.0) -> Column:
     return F.transform(e, lambda x: x / s)
 
 
+def pivot_options(df: DataFrame, key: str, pos: str, token: str, rank: str, logprob: str,
+                  pos_token: str = "Yes", neg_token: str = "No") -> DataFrame:
+    """(key, pos, top, yes, no): a table with one row per listed token (key, pos, token, rank, logprob)
+    turned into one row per position: its top-ranked token and the log-probabilities of both options,
+    NULL for an option that isn't listed. Spaces around tokens are ignored; of an option listed twice
+    the larger counts."""
+    t, lp = F.trim(F.col(token)), F.col(logprob)
+    of = lambda option: F.max(F.when(t == option, lp))
+    return df.groupBy(key, pos).agg(F.min(F.when(F.col(rank) == 1, F.col(token))).alias("top"), of(pos_token).alias("yes"), of(neg_token).alias("no"))
+
+
 def scores_from_logprobs(df: DataFrame, key: str, pos_col: str, yes: str, no: str, top: str,
-                         pos_token: str = "Yes", neg_token: str = "No", temperature: float = 1.0) -> DataFrame:
-    """K7: decision positions are those whose top-ranked token is the yes or the no token
-    (surrounding spaces ignored); each gives a confidence; steps are numbered in position order."""
+                         pos_token: str = "Yes", neg_token: str = "No", temperature: float = 1.0,
+                         steps: DataFrame | None = None, n_steps: str = "n_steps") -> DataFrame:
+    """K7: (key, step_idx, pos, confidence), one row per decision.
+
+    Decision positions are those whose top-ranked token is the yes or the no token (surrounding spaces
+    ignored). A position that lacks either option (NULL log-probability) is skipped; the others give a
+    confidence each and are numbered from 0 in position order (``step_idx``). With ``steps`` (key,
+    ``n_steps``: one row per verified prefix), a key without any decision gives NULL for each of its
+    steps; a key whose decisions are all skipped has no rows.
+    """
     t = F.trim(F.col(top))
-    d = df.filter(t.isin(pos_token, neg_token)).withColumn("confidence", confidence(yes, no, temperature))
-    return d.select(key, pos_col, "confidence")
+    decisions = df.filter(t.isin(pos_token, neg_token))
+    d = decisions.withColumn("confidence", confidence(yes, no, temperature)).filter(F.col(yes).isNotNull() & F.col(no).isNotNull())
+    d = number_within(d.select(key, pos_col, "confidence"), [key], [pos_col], "step_idx", base=0)
+    out = d.select(key, "step_idx", pos_col, "confidence")
+    if steps is None:
+        return out
+    missing = steps.select(key, n_steps).join(decisions.select(key), key, "left_anti").filter(F.col(n_steps) > 0)
+    none = missing.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n_steps).cast("bigint") - 1)).alias("step_idx"))
+    none = none.withColumn(pos_col, F.lit(None).cast(df.schema[pos_col].dataType)).withColumn("confidence", F.lit(None).cast("double"))
+    return out.unionByName(none)
 
 
 def combine_verifications(df: DataFrame, by: Sequence[str], round_col: str, decision: str, text: str | None = None,

@@ -8,9 +8,9 @@ checkpointed every round to cut lineage. The loop stops when no path is active.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepjudge.operators.ranking import top_k_within
@@ -60,21 +60,60 @@ def refill(survivors: DataFrame, by: Sequence[str], n: int, rank: str = "rank")
     return slots.join(survivors, [*by, rank]).drop("_cnt")
 
 
+def follow(start: DataFrame, step: DataFrame, by: Sequence[str], moves: int, combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """Follow pointers up to ``moves`` times by doubling: ``start`` (by…, _at, _acc, …) stands on nodes,
+    ``step`` (by…, _from, _to, _v) has at most one pointer per node.
+
+    Tables of 1, 2, 4, … moves are joined from each other, and those of the binary digits of ``moves``
+    are applied: at most 2 log2(moves) + 1 joins instead of one per move. ``combine`` (associative)
+    merges what is met on the way; a node without a pointer ends the way, and stays where it is.
+    """
+    by, moves = list(by), int(moves)
+    if moves > 1:  # each table is read by the next one, twice, and by those who stand on it: written once
+        checkpoint_dir(step.sparkSession)
+        step = step.checkpoint(eager=True)
+    while moves > 0:
+        if moves & 1:
+            s = step.select(*by, F.col("_from").alias("_at"), F.col("_to").alias("_next"), F.col("_v").alias("_add"))
+            hit = F.col("_next").isNotNull()
+            start = start.join(s, [*by, "_at"], "left").withColumn("_at", F.coalesce("_next", "_at")).withColumn(
+                "_acc", F.when(hit, combine(F.col("_acc"), F.col("_add"))).otherwise(F.col("_acc"))).drop("_next", "_add")
+        moves >>= 1
+        if moves:
+            s = step.select(*by, F.col("_from").alias("_to"), F.col("_to").alias("_next"), F.col("_v").alias("_add"))
+            hit = F.col("_next").isNotNull()
+            step = step.join(s, [*by, "_to"], "left").select(
+                *by, "_from", F.coalesce("_next", "_to").alias("_to"),
+                F.when(hit, combine(F.col("_v"), F.col("_add"))).otherwise(F.col("_v")).alias("_v")).checkpoint(eager=True)
+    return start
+
+
+def _greedy(tree: DataFrame, by: Sequence[str], node: str, parent: str, score: str, value: str | Column) -> DataFrame:
+    """(by…, _from, _to, _v): each node's best child (highest score, lowest id on ties) and a value of it."""
+    best = tree.filter(F.col(parent).isNotNull()).groupBy(*by, F.col(parent).alias("_from")).agg(
+        F.max_by(F.struct(F.col(node).alias("_to"), (F.col(value) if isinstance(value, str) else value).alias("_v")),
+                 F.struct(F.col(score), -F.col(node))).alias("_b"))
+    return best.select(*by, "_from", "_b._to", "_b._v")
+
+
 def lookahead_text(tree: DataFrame, depth: int, by: Sequence[str] = ("problem_id",), node: str = "node_id",
                    parent: str = "parent_id", text: str = "text", score: str = "score") -> DataFrame:
     """Each node's text followed by its greedy continuation — the best child (highest score,
-    lowest id on ties) taken ``depth`` times. ``depth`` equi-joins on a best-child table."""
+    lowest id on ties) taken ``depth`` times, by pointer doubling (``follow``)."""
     by = list(by)
-    best = tree.filter(F.col(parent).isNotNull()).groupBy(*by, F.col(parent).alias("_from")).agg(
-        F.max_by(F.struct(F.col(node).alias("_to"), F.col(text).alias("_t")), F.struct(F.col(score), -F.col(node))).alias("_b"))
-    best = best.select(*by, "_from", "_b._to", "_b._t")
-    cur = tree.select(*by, node, F.col(node).alias("_at"), F.col(text).alias("lookahead"))
-    for _ in range(depth):
-        step = best.withColumnRenamed("_from", "_at")
-        cur = cur.join(step, [*by, "_at"], "left").select(
-            *by, node, F.coalesce(F.col("_to"), F.lit(None).cast("bigint")).alias("_at"),
-            F.concat(F.col("lookahead"), F.coalesce(F.col("_t"), F.lit(""))).alias("lookahead"))
-    return cur.drop("_at")
+    step = _greedy(tree, by, node, parent, score, F.coalesce(F.col(text), F.lit("")))
+    start = tree.select(*by, node, F.col(node).alias("_at"), F.col(text).alias("_acc"))
+    out = follow(start, step, by, depth, lambda a, b: F.concat(a, b))
+    return out.select(*by, node, F.col("_acc").alias("lookahead"))
+
+
+def lookahead_score(tree: DataFrame, depth: int, by: Sequence[str] = ("problem_id",), node: str = "node_id",
+                    parent: str = "parent_id", score: str = "score") -> DataFrame:
+    """(by…, node, look): the score at the end of each node's greedy continuation of ``depth`` steps."""
+    by = list(by)
+    start = tree.select(*by, node, F.col(node).alias("_at"), F.col(score).alias("_acc"))
+    out = follow(start, _greedy(tree, by, node, parent, score, score), by, depth, lambda a, b: b)
+    return out.select(*by, node, F.col("_acc").alias("look"))
 
 
 def _children(tree: DataFrame, by: Sequence[str], node: str, parent: str) -> DataFrame:
@@ -82,18 +121,42 @@ def _children(tree: DataFrame, by: Sequence[str], node: str, parent: str) -> Dat
     return tree.join(n, [*by, node], "left").fillna(0, subset=["_nchild"])
 
 
+STRATEGIES = ("best_of_n", "beam_search", "dvts")
+
+
 def best_paths(tree: DataFrame, keep: int, n: int, rounds: int, by: Sequence[str] = ("problem_id",),
                node: str = "node_id", parent: str = "parent_id", text: str = "text", score: str = "score",
-               stop: str = "stop_reason", checkpoint_every: int = 1) -> DataFrame:
-    """Beam search over a logged tree, all problems at once.
+               stop: str = "stop_reason", checkpoint_every: int = 1, strategy: str = "beam_search", lookahead: int = 0) -> DataFrame:
+    """The best paths of a logged tree, all problems at once, by a named strategy.
 
-    Round 0 starts at the roots. Each round expands every active path to its children (path text
-    grows, score = the child's score), keeps the ``keep`` best new paths per problem (score, then
-    lower node id), and retires a path when its node stops (``stop`` = EOS) or has no children.
+    ``beam_search``: round 0 starts at the roots. Each round expands every active path to its children
+    (path text grows, score = the child's score), keeps the ``keep`` best new paths per problem (score,
+    then lower node id), and retires a path when its node stops (``stop`` = EOS) or has no children.
     Returns the ``n`` best paths per problem (``rank`` 1..n): retired ones first, then those still
     active after the last round, with ``completed`` telling them apart.
+
+    ``best_of_n``: every finished path of at most ``rounds`` steps is a candidate; the ``n`` best by the
+    score of their last node are returned.
+
+    ``dvts`` (diverse verifier tree search): the root's first ⌊n / keep⌋ children begin a subtree each,
+    told apart by the column ``subtree``. Every round each active subtree expands its path to the node's
+    first ``keep`` children and goes on with the best by look-ahead score (``lookahead`` greedy steps
+    further; lowest id on ties); it ends on EOS, an empty step, a boxed answer, a leaf or after
+    ``rounds``. Its last expansion is returned, ``keep`` rows best first (scores of the last round have
+    no look-ahead); a subtree that never expanded returns its own node.
     """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown search strategy {strategy!r}; expected one of {STRATEGIES}")
     by = list(by)
+    if strategy == "dvts":
+        return _subtree_paths(tree, keep, n, rounds, by, node, parent, text, score, stop, lookahead)
+    if strategy == "best_of_n":
+        return _finished_paths(tree, n, rounds, by, node, parent, text, score, stop)
+    return _beam_paths(tree, keep, n, rounds, by, node, parent, text, score, stop, checkpoint_every)
+
+
+def _beam_paths(tree: DataFrame, keep: int, n: int, rounds: int, by: list[str], node: str, parent: str, text: str,
+                score: str, stop: str, checkpoint_every: int) -> DataFrame:
     spark = tree.sparkSession
     checkpoint_dir(spark)
     t = _children(tree, by, node, parent)
@@ -124,6 +187,73 @@ def best_paths(tree: DataFrame, keep: int, n: int, rounds: int, by: Sequence[str
     return out.withColumnRenamed("_done", "completed")
 
 
+def _finished_paths(tree: DataFrame, n: int, rounds: int, by: list[str], node: str, parent: str, text: str, score: str, stop: str) -> DataFrame:
+    """All paths from a root to a node that stops or has no children, not past an earlier stop; the n best."""
+    t = _children(tree, by, node, parent)
+    stops = F.coalesce(F.col(stop) == "EOS", F.lit(False))
+    up = t.select(*by, F.col(node).alias("_to"), F.struct(F.col(text).alias("text"), stops.alias("blocked"), F.lit(1).alias("depth")).alias("_v"))
+    step = t.filter(F.col(parent).isNotNull()).select(*by, F.col(node).alias("_from"), F.col(parent).alias("_to")).join(up, [*by, "_to"])
+    ends = t.filter(stops | (F.col("_nchild") == 0)).select(
+        *by, node, F.col(score).alias("_score"), F.col(node).alias("_at"),
+        F.struct(F.col(text).alias("text"), F.lit(False).alias("blocked"), F.lit(0).alias("depth")).alias("_acc"))
+
+    def above(a: Column, b: Column) -> Column:
+        return F.struct(F.concat(b["text"], a["text"]).alias("text"), (a["blocked"] | b["blocked"]).alias("blocked"), (a["depth"] + b["depth"]).alias("depth"))
+
+    roots = t.filter(F.col(parent).isNull()).select(*by, F.col(node).alias("_at"))
+    found = follow(ends, step, by, rounds, above).join(roots, [*by, "_at"], "left_semi").filter(~F.col("_acc.blocked"))
+    found = found.select(*by, node, F.col("_acc.text").alias("path"), F.col("_score").alias(score), F.col("_acc.depth").alias("depth"), F.lit(True).alias("completed"))
+    return top_k_within(found, by, [F.col(score).desc(), F.col(node)], n, "rank", salt_cols=[*by, node])
+
+
+def _subtree_paths(tree: DataFrame, width: int, n: int, rounds: int, by: list[str], node: str, parent: str, text: str, score: str,
+                   stop: str, lookahead: int, write_every: int = 4) -> DataFrame:
+    """Diverse verifier tree search; the state is one row per (problem, subtree) and nothing else moves between rounds."""
+    spark = tree.sparkSession
+    checkpoint_dir(spark)
+    ended = F.coalesce(F.col(stop) == "EOS", F.lit(False)) | (F.col(text) == "")
+    kids = tree.filter(F.col(parent).isNotNull())
+    if lookahead:
+        kids = kids.join(lookahead_score(tree, lookahead, by, node, parent, score), [*by, node])
+    else:
+        kids = kids.withColumn("look", F.col(score))
+    kids = top_k_within(kids, [*by, parent], [F.col(node)], max(width, n // width), "_place", salt_cols=[*by, node])
+    kids = kids.select(*by, parent, node, F.col(text).alias("_text"), F.col(score).alias("_own"), "look", "_place", ended.alias("_ended"))
+    # read by every round and by the last fan-out: partitioned by problem and written once
+    kids = kids.repartition(shuffle_partitions(spark), *by).checkpoint(eager=True)
+    some = kids.filter(F.col("_place") <= width)
+    choice = some.groupBy(*by, F.col(parent).alias("_at")).agg(
+        F.max_by(F.struct(F.col(node).alias("to"), F.col("_text").alias("text"), F.col("_ended").alias("ended")), F.struct(F.col("look"), -F.col(node))).alias("_c"))
+    choice = choice.checkpoint(eager=True)
+    roots = tree.filter(F.col(parent).isNull()).select(*by, F.col(node).alias(parent), F.col(text).alias("_root"))
+    first = kids.filter(F.col("_place") <= max(n // width, 1)).join(roots, [*by, parent])
+    boxed = lambda c: F.coalesce(F.contains(c, F.lit("boxed{")), F.lit(False))
+    path = F.concat("_root", "_text")
+    state = first.select(*by, F.col(node).alias("subtree"), F.col(node).alias("_at"), path.alias("_path"), (~F.col("_ended") & ~boxed(path)).alias("_active"),
+                         F.col("_own"), F.lit(None).cast("bigint").alias("_from"), F.lit(None).cast("string").alias("_before"), F.lit(0).alias("_round"))
+    for r in range(1, rounds + 1):
+        j = state.join(choice, [*by, "_at"], "left")
+        goes = F.col("_active") & F.col("_c").isNotNull()
+        longer = F.concat("_path", "_c.text")
+        pick = lambda yes, no: F.when(goes, yes).otherwise(F.col(no)).alias(no)
+        state = j.select(*by, "subtree", pick(F.col("_c.to"), "_at"), pick(longer, "_path"), (goes & ~F.col("_c.ended") & ~boxed(longer)).alias("_active"),
+                         "_own", pick(F.col("_at"), "_from"), pick(F.col("_path"), "_before"), pick(F.lit(r), "_round"))
+        if r % write_every == 0 or r == rounds:
+            state = state.checkpoint(eager=True)
+            if r < rounds and state.filter("_active").isEmpty():
+                break
+    children = _children(tree, by, node, parent).select(*by, node, (F.col("_nchild") == 0).alias("_leaf"))
+    fan = state.filter(F.col("_from").isNotNull()).select(*by, "subtree", F.col("_from").alias(parent), "_before", "_round").join(some, [*by, parent])
+    fan = fan.select(*by, "subtree", node, F.concat("_before", "_text").alias("path"), F.when(F.col("_round") == rounds, F.col("_own")).otherwise(F.col("look")).alias(score),
+                     (F.col("_round") + 1).alias("depth"), "_ended")
+    alone = state.filter(F.col("_from").isNull()).select(*by, "subtree", F.col("subtree").alias(node), F.col("_path").alias("path"), F.col("_own").alias(score),
+                                                         F.lit(1).alias("depth"), (~F.col("_active")).alias("_ended"))
+    out = fan.unionByName(alone).join(children, [*by, node])
+    done = F.col("_ended") | F.col("_leaf") | boxed(F.col("path"))
+    rank = F.row_number().over(Window.partitionBy(*by, "subtree").orderBy(F.col(score).desc(), F.col(node)))  # of width rows
+    return out.select(*by, "subtree", node, "path", score, "depth", done.alias("completed"), rank.cast("bigint").alias("rank"))
+
+
 STOP_REASONS = ("EOS", "length")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stepjudge.functions import answers as A
 from stepjudge.functions.verdicts import boxed_verdicts
 from stepjudge.operators import scoring as SC
 from stepjudge.operators import search as SE
@@ -260,3 +261,104 @@ def q_tree_finish(spark, sf):
     beams, exp = _two_beams(spark, sf)
     done = SE.tree_finish(SE.tree_round(beams, exp, width=2, last=True))
     return done.select("problem_id", F.array_join("completions", "|").alias("completions"), F.size("completions").cast("bigint").alias("n"), "pred")
+
+
+_DEEP_ROUNDS, _DEEP_AHEAD = 24, 3
+
+_GREEDY = """
+g AS (SELECT problem_id, parent_id, node_id, text, score FROM deep WHERE parent_id IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY problem_id, parent_id ORDER BY score DESC, node_id) = 1)
+"""
+
+
+@query("lookahead_text_deep", with_views("WITH RECURSIVE " + _GREEDY + """,
+a AS (SELECT problem_id, node_id, node_id AS at, text, 0 AS k FROM deep
+      UNION ALL
+      SELECT a.problem_id, a.node_id, g.node_id, a.text || g.text, a.k + 1 FROM a JOIN g ON g.problem_id = a.problem_id AND g.parent_id = a.at WHERE a.k < 16)
+SELECT problem_id, node_id, arg_max(text, k) AS lookahead FROM a GROUP BY problem_id, node_id""", "deep"))
+def q_lookahead_text_deep(spark, sf):
+    """K14 sixteen steps ahead: five joins by pointer doubling."""
+    return SE.lookahead_text(X.deep(spark, sf), depth=16).select("problem_id", "node_id", "lookahead")
+
+
+@query("best_paths_dvts", with_views("WITH RECURSIVE " + _GREEDY + f""",
+a AS (SELECT problem_id, node_id, node_id AS at, score, 0 AS k FROM deep
+      UNION ALL
+      SELECT a.problem_id, a.node_id, g.node_id, g.score, a.k + 1 FROM a JOIN g ON g.problem_id = a.problem_id AND g.parent_id = a.at WHERE a.k < {_DEEP_AHEAD}),
+l AS (SELECT problem_id, node_id, arg_max(score, k) AS look FROM a GROUP BY problem_id, node_id),
+kid AS (SELECT t.problem_id, t.node_id, t.parent_id, t.text, t.score, l.look, COALESCE(t.stop_reason = 'EOS', FALSE) OR t.text = '' AS ended,
+          row_number() OVER (PARTITION BY t.problem_id, t.parent_id ORDER BY t.node_id) AS place
+        FROM deep t JOIN l USING (problem_id, node_id) WHERE t.parent_id IS NOT NULL),
+ch AS (SELECT * FROM kid WHERE place <= 2 QUALIFY row_number() OVER (PARTITION BY problem_id, parent_id ORDER BY look DESC, node_id) = 1),
+b AS (SELECT k.problem_id, k.node_id AS subtree, k.node_id AS at, r.text || k.text AS path, k.ended OR contains(r.text || k.text, 'boxed{{') AS stopped, k.score AS own, 0 AS made
+      FROM kid k JOIN deep r ON r.problem_id = k.problem_id AND r.node_id = k.parent_id AND r.parent_id IS NULL WHERE k.place <= 4
+      UNION ALL
+      SELECT b.problem_id, b.subtree, ch.node_id, b.path || ch.text, ch.ended OR contains(b.path || ch.text, 'boxed{{'), b.own, b.made + 1
+      FROM b JOIN ch ON ch.problem_id = b.problem_id AND ch.parent_id = b.at WHERE NOT b.stopped AND b.made < {_DEEP_ROUNDS}),
+e AS (SELECT problem_id, subtree, max(made) AS made FROM b GROUP BY problem_id, subtree),
+leaf AS (SELECT problem_id, node_id FROM deep ANTI JOIN (SELECT problem_id, parent_id AS node_id FROM deep WHERE parent_id IS NOT NULL) USING (problem_id, node_id)),
+o AS (SELECT b.problem_id, b.subtree, k.node_id, b.path || k.text AS path, CASE WHEN e.made = {_DEEP_ROUNDS} THEN k.score ELSE k.look END AS score, e.made + 1 AS depth, k.ended
+      FROM e JOIN b ON b.problem_id = e.problem_id AND b.subtree = e.subtree AND b.made = e.made - 1
+      JOIN kid k ON k.problem_id = b.problem_id AND k.parent_id = b.at AND k.place <= 2
+      UNION ALL
+      SELECT b.problem_id, b.subtree, b.at, b.path, b.own, 1, b.stopped FROM e JOIN b USING (problem_id, subtree) WHERE e.made = 0)
+SELECT problem_id, subtree, node_id, path, round(CAST(score AS DOUBLE), 6) AS score, CAST(depth AS BIGINT) AS depth,
+  ended OR contains(path, 'boxed{{') OR EXISTS (SELECT 1 FROM leaf WHERE leaf.problem_id = o.problem_id AND leaf.node_id = o.node_id) AS completed,
+  row_number() OVER (PARTITION BY problem_id, subtree ORDER BY score DESC, node_id) AS rank
+FROM o""", "deep"))
+def q_best_paths_dvts(spark, sf):
+    """K13 by diverse verifier tree search: four subtrees per problem, two continuations, three steps of look-ahead."""
+    b = SE.best_paths(X.deep(spark, sf), keep=2, n=8, rounds=_DEEP_ROUNDS, strategy="dvts", lookahead=_DEEP_AHEAD)
+    return b.select("problem_id", "subtree", "node_id", "path", r6("score").alias("score"), F.col("depth").cast("bigint").alias("depth"), "completed", "rank")
+
+
+@query("best_paths_best_of_n", with_views("""WITH RECURSIVE c AS (SELECT problem_id, parent_id AS node_id, count(*) AS n FROM deep WHERE parent_id IS NOT NULL GROUP BY ALL),
+t AS (SELECT deep.*, COALESCE(stop_reason = 'EOS', FALSE) AS stops, c.n IS NULL AS leaf FROM deep LEFT JOIN c USING (problem_id, node_id)),
+b AS (SELECT problem_id, node_id, text AS path, score, stops OR leaf AS done, 0 AS depth FROM t WHERE parent_id IS NULL
+      UNION ALL
+      SELECT t.problem_id, t.node_id, b.path || t.text, t.score, t.stops OR t.leaf, b.depth + 1 FROM b JOIN t ON t.problem_id = b.problem_id AND t.parent_id = b.node_id
+      WHERE NOT b.done AND b.depth < 32)
+SELECT problem_id, node_id, path, round(CAST(score AS DOUBLE), 6) AS score, CAST(depth AS BIGINT) AS depth, done AS completed, rank FROM
+ (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, node_id) AS rank FROM b WHERE done) WHERE rank <= 4""", "deep"))
+def q_best_paths_best_of_n(spark, sf):
+    """K13 by best-of-N: the four best finished paths of each deep tree."""
+    b = SE.best_paths(X.deep(spark, sf), keep=1, n=4, rounds=32, strategy="best_of_n")
+    return b.select("problem_id", "node_id", "path", r6("score").alias("score"), F.col("depth").cast("bigint").alias("depth"), "completed", "rank")
+
+
+@query("step_scores_from_tokens", with_views("""
+WITH o AS (SELECT gen_id, pos, yes_logprob AS y, no_logprob AS n, trim(top_token) = 'Yes' AS is_yes, gen_id % 7 = 0 OR (gen_id + 3 * pos) % 5 = 4 AS undecided,
+             (gen_id + 3 * pos) % 5 = 3 AS lacks FROM logp),
+d AS (SELECT gen_id, pos, round(1.0 / (1.0 + exp(CAST(n AS DOUBLE) - CAST(y AS DOUBLE))), 6) AS confidence,
+        row_number() OVER (PARTITION BY gen_id ORDER BY pos) - 1 AS step_idx FROM o WHERE NOT undecided AND NOT lacks),
+k AS (SELECT gen_id, count(*) AS n FROM o GROUP BY gen_id HAVING bool_and(undecided))
+SELECT gen_id, step_idx, pos, confidence FROM d
+UNION ALL SELECT gen_id, unnest(range(n)), NULL, NULL FROM k""", "logp"))
+def q_step_scores_from_tokens(spark, sf):
+    """K7 from a table of listed tokens: positions without an option, keys without a decision, numbered steps."""
+    lp = X.logp(spark, sf)
+    wide = SC.pivot_options(X.tokens(spark, sf), "gen_id", "pos", "token", "rank", "logprob")
+    steps = lp.groupBy("gen_id").agg(F.count(F.lit(1)).alias("n_steps"))
+    s = SC.scores_from_logprobs(wide, "gen_id", "pos", "yes", "no", "top", steps=steps)
+    return s.select("gen_id", "step_idx", "pos", r6("confidence").alias("confidence"))
+
+
+@query("score_candidates_by_length", """
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS st FROM documents)
+SELECT doc_id, CAST(len(st) AS BIGINT) AS n_steps, CASE WHEN len(st) = 0 THEN NULL ELSE round((length(st[-1]) % 100) / 100.0, 6) END AS score FROM s""")
+def q_score_candidates_by_length(spark, sf):
+    """U1 with batches of similar length: the scores don't depend on the batches."""
+    d = X.table(spark, sf, "documents").select("doc_id", A.split_steps(F.col("text")).alias("steps"), F.length("text").alias("length"))
+    s = SC.apply_by_length(d, SC.length_scorer, "doc_id bigint, length int, step_scores array<double>", "length", budget=20_000)
+    return s.select("doc_id", F.size("step_scores").cast("bigint").alias("n_steps"), r6(F.try_element_at("step_scores", F.lit(-1))).alias("score"))
+
+
+@query("length_batches", """
+SELECT count(*) AS n_rows, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')))::BIGINT AS n_tokens, TRUE AS fits, TRUE AS little_padding FROM documents""")
+def q_length_batches(spark, sf):
+    """P13 by length: batches keep to the token budget once padded, and less than a tenth of it is padding."""
+    d = X.table(spark, sf, "documents").select("doc_id", F.size(SC.hash_tokenize(F.col("text"))).alias("n"))
+    b = SC.batch_by_length(d, "n", budget=8192)
+    of_batch = b.groupBy("batch_id").agg(F.max("n").alias("m"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("s"))
+    return of_batch.agg(F.sum("rows").alias("n_rows"), F.sum("s").alias("n_tokens"), F.bool_and((F.col("m") * F.col("rows") <= 8192) | (F.col("rows") == 1)).alias("fits"),
+                        (F.sum("s") > F.sum(F.col("m") * F.col("rows")) * 0.9).alias("little_padding"))

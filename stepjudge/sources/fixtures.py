@@ -142,6 +142,38 @@ def _build_logp(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _build_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DEEP(problem_id, node_id, parent_id, text, score, stop_reason): one tree per supplier over its lines,
+    with paths of a hundred nodes and more."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", *[c for c in LINE_ORDER if c != "l_suppkey"], "l_discount", "l_quantity")
+    li = number_within(li, ["l_suppkey"], ["l_orderkey", *[c for c in LINE_ORDER if c != "l_suppkey"]], "idx", base=0)
+    back = F.col("idx") - 1 - F.pmod(F.col("idx") * 7 + F.col("l_partkey"), F.lit(4))
+    text = F.when(F.pmod("l_partkey", F.lit(41)) == 0, F.concat(F.lit("boxed{"), F.col("l_partkey").cast("string"), F.lit("} "))).otherwise(
+        F.concat(F.lit("s"), F.pmod("l_partkey", F.lit(97)).cast("string"), F.lit(" ")))
+    return li.select(
+        F.col("l_suppkey").alias("problem_id"),
+        F.col("idx").alias("node_id"),
+        F.when(F.col("idx") == 0, F.lit(None).cast("bigint")).otherwise(F.greatest(back, F.lit(0))).cast("bigint").alias("parent_id"),
+        text.alias("text"),
+        F.round(F.col("l_discount") * 10 + F.pmod(F.col("idx"), F.lit(3)), 1).cast("decimal(18,6)").alias("score"),
+        F.when(F.pmod(F.col("l_partkey"), F.lit(29)) == 0, F.lit("EOS")).otherwise(F.lit(None).cast("string")).alias("stop_reason"),
+    )
+
+
+def _build_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOKENS(gen_id, pos, token, rank, logprob): the listed tokens of every position; some lack an option, some keys decide nothing."""
+    lp = logp(spark, sf_dir)
+    yes = F.struct(F.lit(" Yes").alias("token"), F.col("yes_logprob").cast("double").alias("logprob"))
+    no = F.struct(F.lit("No").alias("token"), F.col("no_logprob").cast("double").alias("logprob"))
+    first = F.when(F.trim("top_token") == "Yes", yes).otherwise(no)
+    second = F.when(F.trim("top_token") == "Yes", no).otherwise(yes)
+    other = F.struct(F.lit("The").alias("token"), F.lit(-0.05).alias("logprob"))
+    kind = F.pmod(F.col("gen_id") + 3 * F.col("pos"), F.lit(5))
+    listed = F.when((kind == 4) | (F.pmod(F.col("gen_id"), F.lit(7)) == 0), F.array(other, first, second)).when(kind == 3, F.array(first, other)).otherwise(F.array(first, second))
+    return lp.select("gen_id", "pos", F.posexplode(listed).alias("r", "t")).select(
+        "gen_id", "pos", F.col("t.token").alias("token"), (F.col("r") + 1).alias("rank"), F.col("t.logprob").alias("logprob"))
+
+
 # ---------------------------------------------------------------- materialised fixture tables
 
 def _fs(spark: SparkSession, path: str):
@@ -220,6 +252,16 @@ def logp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _materialized(spark, sf_dir, "logp", lambda: _build_logp(spark, sf_dir))
 
 
+def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DEEP(problem_id, node_id, parent_id, text, score, stop_reason): a deep tree per supplier."""
+    return _materialized(spark, sf_dir, "deep", lambda: _build_deep(spark, sf_dir))
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOKENS(gen_id, pos, token, rank, logprob)."""
+    return _build_tokens(spark, sf_dir)
+
+
 # ---------------------------------------------------------------- DuckDB definitions (oracle side)
 
 _LINE_RN = (
@@ -272,6 +314,13 @@ SELECT l_orderkey AS gen_id, {_LINE_RN} AS pos,
   -10 * l_tax - 0.1 AS yes_logprob, -10 * l_discount - 0.1 AS no_logprob,
   CASE WHEN l_tax <= l_discount THEN ' Yes' ELSE ' No' END AS top_token
 FROM lineitem""",
+    "deep": """
+SELECT problem_id, idx AS node_id, CASE WHEN idx = 0 THEN NULL ELSE greatest(idx - 1 - (idx * 7 + pk) % 4, 0) END AS parent_id,
+  CASE WHEN pk % 41 = 0 THEN 'boxed{' || pk || '} ' ELSE 's' || (pk % 97) || ' ' END AS text,
+  CAST(round(disc * 10 + idx % 3, 1) AS DECIMAL(18,6)) AS score, CASE WHEN pk % 29 = 0 THEN 'EOS' END AS stop_reason
+FROM (SELECT l_suppkey AS problem_id, l_partkey AS pk, l_discount AS disc,
+        row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) - 1 AS idx
+      FROM lineitem)""",
 }
 
 _DEPS = {"verd": ["steps"], "gen": ["steps", "verd"], "tree": ["cand"]}
