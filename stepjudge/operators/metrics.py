@@ -76,7 +76,7 @@ def coverage(df: DataFrame, ns: Sequence[int], by: Sequence[str] = ("problem_id"
 
 def accuracy(df: DataFrame, correct: str = "is_correct", score: str | None = "score",
              status: str | None = None) -> DataFrame:
-    """Accuracy ×100, number of samples, of scored samples and of failed comparisons."""
+    """Accuracy ×100, number of samples, of scored samples, and of failed comparisons with their share ×100."""
     aggs = [
         (F.avg(F.coalesce(F.col(correct), F.lit(False)).cast("double")) * 100).alias("acc"),
         F.count(F.lit(1)).alias("num_samples"),
@@ -84,7 +84,8 @@ def accuracy(df: DataFrame, correct: str = "is_correct", score: str | None = "sc
     if score is not None:
         aggs.append(F.count(score).alias("num_scores"))
     if status is not None:
-        aggs.append(F.count_if(F.col(status) == "error").alias("timeout_samples"))
+        failed = F.coalesce(F.col(status) == "error", F.lit(False))
+        aggs += [F.count_if(failed).alias("timeout_samples"), (F.avg(failed.cast("double")) * 100).alias("timeout_share")]
     return df.agg(*aggs)
 
 

@@ -165,20 +165,24 @@ def top_k_within(
 ) -> DataFrame:
     """Keep the first ``k`` rows of every group in ``order`` and number them 1..k.
 
-    Two levels: the top ``k`` inside ``(group, salt)`` buckets (at least ``TOP_K_SALTS`` of them, so
-    a hot group is spread over that many tasks), then the exact top ``k`` over the survivors — at
-    most ``k * salts`` rows per group however large the group is.
+    A rank filter over a window: Spark then keeps ``k`` rows per group in every task before the shuffle
+    (``WindowGroupLimit``), so a hot group sends ``k`` rows per input partition however large it is. Spark
+    does so up to ``spark.sql.optimizer.windowGroupLimitThreshold``; a larger ``k`` takes two levels, the
+    top ``k`` inside ``(group, salt)`` buckets (at least ``TOP_K_SALTS`` of them), then the exact top ``k``
+    over the survivors.
     """
     keys = list(keys)
     order_cols = _cols(order)
-    # no measuring job: a fixed, generous number of buckets spreads any hot group over at least
-    # TOP_K_SALTS tasks, and costs small groups only a second, tiny window
-    s = salts or max(shuffle_partitions(df.sparkSession), TOP_K_SALTS)
+    spark = df.sparkSession
+    w2 = Window.partitionBy(*keys).orderBy(*order_cols)
+    if salts is None and k <= int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        out = df.withColumn(name, F.row_number().over(w2)).filter(F.col(name) <= k)
+        return out.withColumn(name, F.col(name).cast("bigint"))
+    s = salts or max(shuffle_partitions(spark), TOP_K_SALTS)
     salt_src = [F.col(c) for c in (salt_cols or df.columns)]
     salted = df.withColumn("_sj_salt", F.pmod(F.xxhash64(*salt_src), F.lit(s)))
     w1 = Window.partitionBy(*keys, "_sj_salt").orderBy(*order_cols)
     pre = salted.withColumn("_sj_r1", F.row_number().over(w1)).filter(F.col("_sj_r1") <= k)
-    w2 = Window.partitionBy(*keys).orderBy(*order_cols)
     return (
         pre.withColumn(name, F.row_number().over(w2).cast("bigint"))
         .filter(F.col(name) <= k)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepjudge.operators.ranking import number_within, top_k_within
+from stepjudge.operators.selection import EXACT, first_n
 from stepjudge.session import checkpoint_dir
 
 
@@ -107,7 +108,8 @@ def check(df: DataFrame, rule: str, cols: Sequence[str] = (), by: Sequence[str]
         return g.filter(F.col("n") != n) if rule == "exact_n" else g.filter(F.col("n") < n)
     if rule == "same_length":
         a, b = cols
-        return df.filter(F.size(a) != F.size(b))
+        size = lambda c: F.coalesce(F.size(c), F.lit(-1))  # noqa: E731  a missing list has no length, so it equals no list
+        return df.filter(F.col(a).isNull() | F.col(b).isNull() | (size(a) != size(b)))
     (a,) = cols
     empty = F.size(a) == 0 if dict(df.dtypes)[a].startswith("array") else F.length(a) == 0
     return df.filter(F.col(a).isNull() | empty)
@@ -156,14 +158,15 @@ def slice_rows(df: DataFrame, start: int, end: int | None, order_by: Sequence[st
     return d.filter(cond)
 
 
-def head_n(df: DataFrame, n: int, order_by: Sequence[str | Column]) -> DataFrame:
-    """L2: first n rows (fewer when the table is smaller): TakeOrderedAndProject, a bounded top-n."""
-    return df.orderBy(*[_c(c) for c in order_by]).limit(int(n))
+def head_n(df: DataFrame, n: int, order_by: Sequence[str | Column], exact: int = EXACT) -> DataFrame:
+    """L2: first n rows (all, when the table is smaller), as a set: a bounded top-n while n is small, and
+    beyond ``exact`` rows a filter up to the n-th key (``selection.first_n``)."""
+    return first_n(df, n, order_by, exact)
 
 
-def sample_n(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFrame:
-    """L3: seeded shuffle, then the first n — order by a keyed hash; a bounded top-n (limit = the feature)."""
-    return df.withColumn("_u", hash_unit(seed, *key)).orderBy("_u", *key).limit(int(n)).drop("_u")
+def sample_n(df: DataFrame, n: int, seed: int, key: Sequence[str], exact: int = EXACT, written: bool = False) -> DataFrame:
+    """L3: seeded shuffle, then the first n — the first n in the order of a keyed hash (``selection.first_n``)."""
+    return first_n(df.withColumn("_u", hash_unit(seed, *key)), n, ["_u", *key], exact, written).drop("_u")
 
 
 def sample_fraction(df: DataFrame, p: float, seed: int, key: Sequence[str]) -> DataFrame:
@@ -266,11 +269,33 @@ def attach_candidates(problems: DataFrame, cached: DataFrame, on: Sequence[str]
     return problems.join(cached, list(on), "left")
 
 
+#: Words of 64 bits that a filter of done keys may have: 4 million are 64 MB as a broadcast table, whatever the table's size.
+FILTER_WORDS = 1 << 22
+
+
+def _hashed(df: DataFrame, on: Sequence[str], words: int) -> DataFrame:
+    """With ``_word``, the word of a filter that a key belongs to, and ``_bits``, the four bits (some may be equal) it sets there."""
+    keys = [F.col(c) for c in on]
+    bits = " | ".join(f"shiftleft(1L, CAST(shiftright(_g, {6 * i}) & 63 AS INT))" for i in range(4))
+    out = df.withColumn("_word", F.pmod(F.xxhash64(*keys), F.lit(words))).withColumn("_g", F.xxhash64(F.lit(77), *keys))
+    return out.withColumn("_bits", F.expr(bits)).drop("_g")
+
+
 def remaining(examples: DataFrame, done: DataFrame, on: Sequence[str] = ("idx",),
               order: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Examples not yet processed (anti join) and the processed rows de-duplicated by key,
-    the last row (largest ``order``) winning."""
-    todo = examples.join(done.select(*on).distinct(), list(on), "left_anti")
+    """Examples not yet processed and the processed rows de-duplicated by key, the last row (largest
+    ``order``) winning. A filter of the done keys passes what is surely new; only the rest, the done ones and
+    about one new row in a hundred, meets the keys in an anti join. A key with a NULL is never done."""
+    on = list(on)
+    keys = done.select(*on)
+    n = keys.agg(F.approx_count_distinct(F.struct(*on))).first()[0]
+    words = min(FILTER_WORDS, max(1024, 1 << (max(n, 1) // 5).bit_length()))
+    # a Bloom filter, a word per key, as a small table; what it doesn't know is surely new and isn't shuffled
+    known = _hashed(keys, on, words).groupBy("_word").agg(F.bit_or("_bits").alias("_known"))
+    probed = _hashed(examples, on, words).join(F.broadcast(known), "_word", "left")
+    maybe = F.coalesce(F.col("_known").bitwiseAND(F.col("_bits")) == F.col("_bits"), F.lit(False))
+    cols = examples.columns
+    todo = probed.filter(~maybe).select(*cols).unionByName(probed.filter(maybe).select(*cols).join(keys.distinct(), on, "left_anti"))
     if order is None:
         return todo, done
     last = done.groupBy(*on).agg(F.max_by(F.struct(*[F.col(c) for c in done.columns]), F.col(order)).alias("_l")).select("_l.*")

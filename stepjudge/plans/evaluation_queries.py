@@ -198,6 +198,16 @@ def q_accuracy(spark, sf):
     return a.select(r6("acc").alias("acc"), "num_samples", "num_scores")
 
 
+@query("accuracy_with_failures", with_views("""
+SELECT round(avg(CASE WHEN answer_key = gold_key THEN 1.0 ELSE 0.0 END) * 100, 6) AS acc, count(*) AS num_samples,
+  count(score) AS num_scores, count(*) FILTER (WHERE idx % 4 = 3) AS timeout_samples, round(avg(CASE WHEN idx % 4 = 3 THEN 100.0 ELSE 0.0 END), 6) AS timeout_share FROM cand""", "cand"))
+def q_accuracy_with_failures(spark, sf):
+    """Every fourth candidate's comparison failed."""
+    c = _correct(X.cand(spark, sf)).withColumn("status", F.when(F.col("idx") % 4 == 3, "error").when(F.col("idx") % 4 == 2, "ok"))
+    a = M.accuracy(c, status="status")
+    return a.select(r6("acc").alias("acc"), "num_samples", "num_scores", "timeout_samples", r6("timeout_share").alias("timeout_share"))
+
+
 @query("accuracy_by", with_views("""
 SELECT o.o_orderpriority AS priority, round(avg(CASE WHEN c.answer_key = c.gold_key THEN 1.0 ELSE 0.0 END) * 100, 1) AS acc,
   count(*) AS num_samples

@@ -3,13 +3,17 @@ sampling, set operations, look-up joins, checkpoint tracking and benchmark field
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stepjudge.functions import answers as A
 from stepjudge.operators import metrics as M
 from stepjudge.operators import rows as R
+from stepjudge.operators.memo import map_remembered
 from stepjudge.plans.benchmarks import gold_answer, question_text
 from stepjudge.plans.registry import query
+from stepjudge.session import checkpoint_dir
 from stepjudge.sources import fixtures as X
 from stepjudge.sources.fixtures import with_views
 
@@ -72,6 +76,23 @@ def q_sample_n(spark, sf):
     return R.sample_n(X.table(spark, sf, "orders").select("o_orderkey"), 100, 42, ["o_orderkey"])
 
 
+@query("head_n_third", """
+SELECT o_orderkey, o_orderdate, o_orderstatus FROM orders ORDER BY o_orderstatus DESC, o_orderdate DESC, o_orderkey LIMIT (SELECT count(*) // 3 FROM orders)""")
+def q_head_n_third(spark, sf):
+    """L2 where n is a third of the table: the n-th key by refinement, then a filter."""
+    o = X.table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    return R.head_n(o, o.count() // 3, [F.col("o_orderstatus").desc(), F.col("o_orderdate").desc(), F.col("o_orderkey")], exact=100)
+
+
+@query("sample_n_third", """
+SELECT o_orderkey FROM orders ORDER BY (CAST(('0x' || substr(md5('42|' || CAST(o_orderkey AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0), o_orderkey
+LIMIT (SELECT count(*) // 3 FROM orders)""")
+def q_sample_n_third(spark, sf):
+    """L3 where n is a third of the table."""
+    o = X.table(spark, sf, "orders").select("o_orderkey")
+    return R.sample_n(o, o.count() // 3, 42, ["o_orderkey"], exact=100)
+
+
 @query("sample_fraction", """
 SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (CAST(('0x' || substr(md5('7|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|' || CAST(l_partkey AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0) < 0.1""")
 def q_sample_fraction(spark, sf):
@@ -243,3 +264,110 @@ def q_same_multiset(spark, sf):
     c = X.cand(spark, sf)
     return c.select("problem_id", "idx", R.same_multiset(F.array("answer", "answer"), F.array("answer", "answer_key")).alias("same"),
                     R.same_multiset(F.array("answer_key", "answer"), F.array("answer", "answer_key")).alias("swapped"))
+
+
+@query("resume_both_sides", """
+SELECT 'todo' AS side, o_orderkey AS k, NULL AS line FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')
+UNION ALL
+SELECT 'done', l_orderkey, l_linenumber FROM
+ (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'F' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) = 1)""")
+def q_resume_both_sides(spark, sf):
+    """The orders still to process, and the processed ones with their last row."""
+    o = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    li = X.table(spark, sf, "lineitem").filter(F.col("l_linestatus") == "F").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_shipdate")
+    todo, last = R.remaining(o, li.withColumn("_ord", F.struct("l_shipdate", "l_linenumber")), ["k"], "_ord")
+    return todo.select(F.lit("todo").alias("side"), "k", F.lit(None).cast("int").alias("line")).unionByName(
+        last.select(F.lit("done").alias("side"), "k", F.col("l_linenumber").cast("int").alias("line")))
+
+
+def _layouts(spark, sf):
+    """(layout, id, rows): every benchmark layout filled from the orders, with its own columns."""
+    o = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("st"), F.col("o_custkey").alias("c"))
+    n, c = F.col("id").cast("string"), F.col("c").cast("string")
+    q = F.concat(F.lit("How many in "), n, F.lit("?"))
+    even = F.pmod("id", F.lit(2)) == 0
+    four = F.array(n, c, F.concat(c, F.lit(" ")), F.lit("x"))
+    return {
+        "asdiv": o.select("id", F.concat(F.lit(" Body "), n).alias("body"), q.alias("question"), F.concat(c, F.lit(" (apples)")).alias("answer")),
+        "svamp": o.select("id", F.when(even, F.concat(n, F.lit("."))).otherwise(n).alias("Body"), F.concat(q, F.lit(" ")).alias("Question"), F.col("c").alias("Answer")),
+        "tabmwp": o.select("id", F.when(even, F.lit("Sales")).otherwise("").alias("table_title"), F.concat(n, F.lit(" | "), c).alias("table"), q.alias("question"),
+                           F.when(F.pmod("id", F.lit(3)) == 0, F.array(n, F.lit("it's"))).alias("choices"),
+                           F.when(F.pmod("id", F.lit(4)) == 0, F.lit("3/4")).when(F.pmod("id", F.lit(4)) == 1, F.lit("1,250.5")).when(F.pmod("id", F.lit(4)) == 2, F.lit("50%")).otherwise("7.25").alias("answer"),
+                           F.when(F.pmod("id", F.lit(5)) == 0, F.lit("text")).otherwise("decimal_number").alias("ans_type")),
+        "carp_en": o.select("id", q.alias("content"), F.concat(F.lit("a \\neq "), c).alias("answer")),
+        "mmlu_stem": o.select("id", q.alias("question"), four.alias("choices"), F.pmod("id", F.lit(4)).cast("int").alias("answer")),
+        "sat_math": o.select("id", q.alias("question"), F.concat(F.lit("A) "), n, F.lit(" B) "), c, F.lit(" C) x D) y")).alias("options"), F.lit("B").alias("Answer")),
+        "aqua": o.select("id", q.alias("question"), F.array(F.concat(F.lit("A)"), n), F.concat(F.lit("B)"), c)).alias("options"), F.lit("A").alias("correct")),
+        "gaokao_math_qa": o.select("id", q.alias("question"), F.create_map(F.lit("A"), n, F.lit("B"), c).alias("options"), F.lit("C").alias("label")),
+        "gaokao2024_mix": o.select("id", q.alias("question"), F.when(even, F.lit("D")).otherwise("").alias("choice_answer"), c.alias("answer")),
+        "olympiadbench": o.select("id", q.alias("question"), F.array(F.concat(F.lit("$"), c, F.lit("$")), F.lit("z")).alias("final_answer")),
+        "college_math": o.select("id", q.alias("question"), F.concat(F.lit("$"), c, F.lit("$ ")).alias("answer")),
+        "mawps": o.select("id", q.alias("input"), F.col("c").alias("target")),
+        "math": o.select("id", q.alias("problem"), F.concat(F.lit("So it is \\boxed{"), c, F.lit("}.")).alias("solution")),
+        "minerva_math": o.select("id", q.alias("problem"), F.concat(F.lit("So it is $\\boxed{"), c, F.lit("}$.")).alias("solution")),
+        "gsm8k": o.select("id", q.alias("question"), F.concat(F.lit("It is.\n#### "), c).alias("answer")),
+        "amc23": o.select("id", q.alias("question"), F.when(even, F.lit("Yes")).otherwise("false").alias("answer")),
+    }
+
+
+_LAYOUTS_SQL = r"""
+WITH o AS (SELECT o_orderkey AS id, CAST(o_orderkey AS VARCHAR) AS n, CAST(o_custkey AS VARCHAR) AS c, 'How many in ' || o_orderkey || '?' AS q, o_orderkey % 2 = 0 AS even FROM orders)
+SELECT 'asdiv' AS layout, id, 'Body ' || n || ' ' || q AS question, c AS gold FROM o
+UNION ALL SELECT 'svamp', id, n || '. ' || q, c FROM o
+UNION ALL SELECT 'tabmwp', id, 'Read the following table ' || CASE WHEN even THEN 'regarding "Sales" ' ELSE '' END || 'and answer a question:' || chr(10) || n || ' | ' || c || chr(10) || q
+  || CASE WHEN id % 3 = 0 THEN ' Please select from the following options: [''' || n || ''', "it''s"]' ELSE '' END,
+  CASE WHEN id % 5 = 0 THEN CASE id % 4 WHEN 0 THEN '\frac{3}{4}' WHEN 1 THEN '1,250.5' WHEN 2 THEN '50' ELSE '7.25' END
+       ELSE CASE id % 4 WHEN 0 THEN '0.75' WHEN 1 THEN '1250.5' WHEN 2 THEN '0.5' ELSE '7.25' END END FROM o
+UNION ALL SELECT 'carp_en', id, q, 'a \ne ' || c FROM o
+UNION ALL SELECT 'mmlu_stem', id, q || chr(10) || 'Answer Choices: (A) ' || n || ' (B) ' || c || ' (C) ' || c || ' (D) x', substr('ABCD', CAST(id % 4 + 1 AS INT), 1) FROM o
+UNION ALL SELECT 'sat_math', id, q || chr(10) || 'Answer Choices: (A) ' || n || ' (B) ' || c || ' (C) x (D) y', 'B' FROM o
+UNION ALL SELECT 'aqua', id, q || chr(10) || 'Answer Choices: (A) ' || n || ' (B) ' || c, 'A' FROM o
+UNION ALL SELECT 'gaokao_math_qa', id, q || chr(10) || '选项: (A) ' || n || ' (B) ' || c, 'C' FROM o
+UNION ALL SELECT 'gaokao2024_mix', id, q, CASE WHEN even THEN 'D' ELSE c END FROM o
+UNION ALL SELECT 'amc23', id, q || CASE WHEN even THEN ' (Yes or No)' ELSE ' (True or False)' END, CASE WHEN even THEN 'Yes' ELSE 'false' END FROM o
+UNION ALL SELECT unnest(['olympiadbench', 'college_math', 'mawps', 'math', 'minerva_math', 'gsm8k']), id, q, c FROM o"""
+
+
+@query("benchmark_layouts", _LAYOUTS_SQL)
+def q_benchmark_layouts(spark, sf):
+    """B13 + B14 over every layout: the question with its hints and the normalised gold answer."""
+    out = None
+    for name, rows in _layouts(spark, sf).items():
+        part = question_text(gold_answer(rows, name), name, gold="gold").select(F.lit(name).alias("layout"), "id", "question", "gold")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("remembered_values", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_partkey * l_partkey + 1 AS result FROM lineitem""")
+def q_remembered_values(spark, sf):
+    """C6 with a memory: a first run over the finished lines, a second one over all, a third that may not compute."""
+    li = X.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("bigint").alias("l_partkey"), "l_linestatus")
+    path = f"{checkpoint_dir(spark)}/memo-{uuid.uuid4().hex}"
+    square = lambda c: c * c + 1
+    map_remembered(li.filter(F.col("l_linestatus") == "F"), "l_partkey", square, "result", path, "square-1")
+    map_remembered(li, "l_partkey", square, "result", path, "square-1")
+    out = map_remembered(li, "l_partkey", lambda c: F.raise_error(F.lit("computed again")).cast("bigint"), "result", path, "square-1")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "result")
+
+
+@query("check_rules_lists", """
+SELECT 'same_length' AS rule, CAST(o_orderkey AS BIGINT) AS id FROM orders WHERE o_orderkey % 4 IN (1, 2)
+UNION ALL SELECT 'required_columns', 2""")
+def q_check_rules_lists(spark, sf):
+    """Lists of unequal length, a missing list included; missing columns; a rule that holds passes ``require``."""
+    k = F.col("o_orderkey")
+    o = X.table(spark, sf, "orders").select("o_orderkey", F.when(k % 4 != 2, F.array(k, k)).alias("a"), F.when(k % 4 == 1, F.array(k)).otherwise(F.array(k, k)).alias("b"))
+    o = R.require(o, "unique", by=["o_orderkey"])
+    bad = R.check(o, "same_length", cols=["a", "b"]).select(F.lit("same_length").alias("rule"), F.col("o_orderkey").cast("bigint").alias("id"))
+    missing = R.check(o, "required_columns", cols=["a", "x", "y"]).agg(F.count("*").alias("id"))
+    return bad.unionByName(missing.select(F.lit("required_columns").alias("rule"), "id"))
+
+
+@query("ensure_solution", """
+SELECT o_orderkey, '\\boxed{' || o_orderstatus || '}' AS solution, 'kept' AS other FROM orders""")
+def q_ensure_solution(spark, sf):
+    """B1: a solution built from the answer; a table that has one keeps it."""
+    o = X.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("answer"))
+    has = R.ensure_solution(o.withColumn("solution", F.lit("kept"))).select("o_orderkey", F.col("solution").alias("other"))
+    return R.ensure_solution(o).select("o_orderkey", "solution").join(has, "o_orderkey")
