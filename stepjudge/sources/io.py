@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepjudge.operators.rows import check
+from stepjudge.sources.json_arrays import read_json_arrays
+from stepjudge.sources.publication import publish, read_published
 
 GENERATIONS_SCHEMA = T.StructType([
     T.StructField("problem", T.StringType()),
@@ -44,9 +46,9 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
 
 def read_generation_dirs(spark: SparkSession, dirs: Sequence[str], name_like: str = "*all_outputs*",
                          schema: T.StructType = GENERATIONS_SCHEMA) -> DataFrame:
-    """A2: every JSON-array file whose name matches ``name_like`` in the given directories, concatenated."""
-    return (spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST")
-            .option("pathGlobFilter", name_like).json(list(dirs)))
+    """A2: every JSON-array file whose name matches ``name_like`` in the given directories, concatenated.
+    A file is read by as many tasks as it has splits (``json_arrays``); a malformed file fails the read."""
+    return read_json_arrays(spark, list(dirs), schema, name_like)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -63,11 +65,13 @@ def read_benchmark(spark: SparkSession, name: str, split: str, root: str, fmt: s
 
 
 def read_cached_candidates(spark: SparkSession, path: str, n: int, schema: T.StructType = COMPLETIONS_SCHEMA) -> DataFrame:
-    """A4: cached completions; every problem must have at least n, the first n are kept."""
+    """A4: cached completions; every problem must have at least n, the first n are kept. A problem without a
+    list has none; where token counts are listed there must be as many as completions."""
     df = read_jsonl(spark, path, schema)
-    short = df.filter(F.size("completions") < n)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    short = df.filter((size("completions") < n) | (F.col("completion_tokens").isNotNull() & (F.least(size("completions"), F.lit(n)) != F.least(size("completion_tokens"), F.lit(n)))))
     if short.limit(1).count() > 0:
-        raise ValueError(f"some problems have fewer than {n} cached completions")
+        raise ValueError(f"some problems have fewer than {n} cached completions, or token counts that don't fit them")
     keep = ["completions", "completion_tokens", "scores", "agg_scores"]
     for c in keep:
         df = df.withColumn(c, F.slice(c, 1, n))
@@ -79,10 +83,18 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+#: Rows that a wide record of metrics may hold: one per n of a sweep.
+METRIC_ROWS = 10_000
+
+
 def write_metrics(df: DataFrame, path: str, by: str = "n", mode: str = "overwrite") -> None:
-    """A metrics table written wide by ``by`` — one record holding one list per metric
-    (a handful of rows by construction: one per n)."""
+    """A metrics table written wide by ``by`` — one record holding one list per metric. The record is for a table
+    with one row per n; a table that repeats an n, or of more than ``METRIC_ROWS`` rows, is refused before anything is gathered."""
     metrics = [c for c in df.columns if c != by]
+    # counted per n first, and no further than the first row too many
+    some = df.groupBy(by).agg(F.count(F.lit(1)).alias("rows")).limit(METRIC_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("rows")).first()
+    if some["n"] > METRIC_ROWS or (some["rows"] or 0) > 1:
+        raise ValueError(f"a metrics record needs one row per {by}, {METRIC_ROWS} at most; aggregate first")
     packed = df.agg(F.array_sort(F.collect_list(F.struct(by, *metrics))).alias("_m"))
     wide = packed.select(*[F.transform("_m", _getter(c)).alias(c) for c in [by, *metrics]])
     wide.coalesce(1).write.mode(mode).json(path)
@@ -106,19 +118,15 @@ def run_version(options: Mapping[str, object]) -> str:
 
 
 def write_if_absent(df: DataFrame, path: str, version: str) -> bool:
-    """Write under ``path/run_version=<version>`` unless that version exists; True if written."""
-    target = f"{path.rstrip('/')}/run_version={version}"
-    if _exists(df.sparkSession, f"{target}/_SUCCESS"):  # a write that broke off has no such marker
-        return False
-    df.write.mode("overwrite").parquet(target)
-    return True
-
-
-def materialize(df: DataFrame, path: str) -> DataFrame:
-    """Cache a normalised table on disk after the first load, then read it back."""
-    if not _exists(df.sparkSession, f"{path.rstrip('/')}/_SUCCESS"):
-        df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Publish ``df`` as ``version`` of ``path`` unless that version exists; True if this call published it.
+    Read it by ``publication.read_published``."""
+    return publish(df, path, version)
+
+
+def materialize(df: DataFrame, path: str, version: str = "table") -> DataFrame:
+    """Cache a normalised table on disk after the first load, then read it back; of several first loads one is kept."""
+    publish(df, path, version)
+    return read_published(df.sparkSession, path, version)
 
 
 def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
