@@ -15,14 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepjudge.functions import verdicts as VD
-from stepjudge.operators import ranking as RK
+from stepjudge.functions.prompts import verification_prompt
 from stepjudge.operators.ranking import top_k_within
-from stepjudge.session import shuffle_partitions
-from stepjudge.operators.rows import balance, hash_unit, random_cut, sample_fraction, to_wide
+from stepjudge.operators.rows import balance, hash_unit, random_cut, sample_fraction, sample_n, to_wide
 from stepjudge.operators.steps import solution_summary
 
 
@@ -40,22 +39,25 @@ def repaired_labels(n_steps: Column, last_plus: Column) -> Column:
                        lambda i: F.when(i <= F.coalesce(last_plus, F.lit(-1)), "+").otherwise("-"))
 
 
-def _cap(df: DataFrame, cap: int | None, order: str = "gen_idx") -> DataFrame:
+def _cap(df: DataFrame, cap: int | None, keep_rejected: bool, order: str = "gen_idx") -> DataFrame:
     """At most ``cap`` accepted chains per solution, in generation order; the rest are marked
-    ``over_cap``. Two levels, so a solution with a huge number of chains is never one task: rank
-    inside (solution, salt) buckets first — a row past ``cap`` in its own bucket is over the cap —
-    then rank the few survivors per solution."""
-    if cap is None:
-        return df
+    ``over_cap`` (dropped at once unless ``keep_rejected``). Only ids go through the top-k, so texts are shuffled
+    once, to meet the ids that stay; a solution with a huge number of chains is never one task."""
     accepted = df.filter(F.col("reject_reason").isNull())
-    s = max(shuffle_partitions(df.sparkSession), RK.TOP_K_SALTS)
-    acc = accepted.withColumn("_salt", F.pmod(F.xxhash64("problem_id", order), F.lit(s)))
-    rej = df.filter(F.col("reject_reason").isNotNull())
-    r1 = acc.withColumn("_r1", F.row_number().over(Window.partitionBy("problem_id", "_salt").orderBy(order)))
-    out_bucket = r1.filter(F.col("_r1") > cap).withColumn("reject_reason", F.lit("over_cap"))
-    head = r1.filter(F.col("_r1") <= cap).withColumn("_r2", F.row_number().over(Window.partitionBy("problem_id").orderBy(order)))
-    head = head.withColumn("reject_reason", F.when(F.col("_r2") > cap, F.lit("over_cap"))).drop("_r2")
-    return head.unionByName(out_bucket).drop("_salt", "_r1").unionByName(rej)
+    if cap is None:
+        return df if keep_rejected else accepted
+    key = ["problem_id", order]
+    top = top_k_within(accepted.select(*key), ["problem_id"], [F.col(order)], cap, "_rk", salt_cols=key).select(*key)
+    if not keep_rejected:
+        return accepted.join(top, key)
+    marked = df.join(top.withColumn("_in", F.lit(True)), key, "left")
+    return marked.withColumn("reject_reason", F.coalesce("reject_reason", F.when(F.col("_in").isNull(), F.lit("over_cap")))).drop("_in")
+
+
+def _with_texts(chains: DataFrame, steps: DataFrame) -> DataFrame:
+    """The solution's steps and text, joined to the chains that are left."""
+    wide = to_wide(steps, ["problem_id"], ["step"], idx="step_idx").withColumnRenamed("step", "solution_steps")
+    return chains.join(wide, "problem_id").withColumn("solution", F.array_join("solution_steps", "\n"))
 
 
 def curate_line_chains(steps: DataFrame, generations: DataFrame, text: str = "text",
@@ -66,21 +68,21 @@ def curate_line_chains(steps: DataFrame, generations: DataFrame, text: str = "te
     Duplicate chains of a solution are dropped first (the first ``gen_idx`` kept). A chain is
     kept when it has one verdict per step and its verdicts equal the repaired labels through the
     first error; it is then completed (steps after the error become "follows an incorrect step"),
-    optionally rewritten (H10) and labelled (W3).
+    optionally rewritten (H10) and labelled (W3). Chains are judged against the solution's scalars
+    alone; solution texts are joined to what is left.
     """
-    sol = solutions(steps)
     g = generations.groupBy("problem_id", text).agg(F.min("gen_idx").alias("gen_idx"))
-    j = g.join(sol, "problem_id").withColumn("_dec", VD.line_verdicts(text))
+    j = g.join(solution_summary(steps, ["problem_id"]), "problem_id").withColumn("_dec", VD.line_verdicts(text))
     reason = (F.when(F.size("_dec") != F.col("n_steps"), F.lit("bad_format"))
               .when(~VD.matches_through(F.col("_dec"), F.col("n_keep"), F.col("last_plus")), F.lit("bad_decisions")))
-    j = _cap(j.withColumn("reject_reason", reason), max_per_solution)
+    j = _with_texts(_cap(j.withColumn("reject_reason", reason).drop("_dec"), max_per_solution, keep_rejected), steps)
     cot_steps = VD.chain_variant(VD.pad_after_error(F.col(text), F.col("n_keep"), F.col("n_steps")), variant,
                                  F.col("is_correct"))
     out = j.select(
         "problem_id", "gen_idx", "solution", "solution_steps", cot_steps.alias("cot_steps"),
         repaired_labels(F.col("n_steps"), F.col("last_plus")).alias("labels"), "is_correct", "n_steps", "reject_reason",
     ).withColumn("cot", F.array_join("cot_steps", "\n"))
-    return out if keep_rejected else out.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    return out if keep_rejected else out.drop("reject_reason")
 
 
 def token_count(text: str | Column) -> Column:
@@ -103,28 +105,30 @@ def curate_long_chains(steps: DataFrame, generations: DataFrame, text: str = "te
     """
     if match not in ("steps", "outcome"):
         raise ValueError(f"unknown match rule {match!r}")
-    sol = solutions(steps)
-    j = generations.join(sol, "problem_id").withColumn("_dec", VD.boxed_verdicts(text))
+    j = generations.join(solution_summary(steps, ["problem_id"]), "problem_id").withColumn("_dec", VD.boxed_verdicts(text))
     n = F.size("_dec")
     fmt = (n == 0) | ((n != F.col("n_keep")) & (n != F.col("n_steps")))
     if match == "steps":
         bad = ~VD.matches_through(F.col("_dec"), F.col("n_keep"), F.col("last_plus"))
     else:
-        bad = (F.element_at("_dec", -1) != F.col("is_correct")) | ~F.col(text).contains(VD.ANSWER_PHRASE)
-    j = j.withColumn("reject_reason", F.when(fmt, F.lit("bad_format")).when(bad, F.lit("bad_decisions")))
-    j = _cap(j, max_per_solution)
+        bad = (F.try_element_at("_dec", F.lit(-1)) != F.col("is_correct")) | ~F.col(text).contains(VD.ANSWER_PHRASE)
+    j = j.withColumn("reject_reason", F.when(fmt, F.lit("bad_format")).when(bad, F.lit("bad_decisions"))).drop("_dec")
+    j = _cap(j, max_per_solution, keep_rejected)
     cleaned = VD.strip_thinking(VD.truncate_after_last_verdict(F.col(text)), legacy=legacy_think)
     j = j.withColumn("_clean", cleaned)
     if max_tokens is not None:
         j = j.withColumn("reject_reason", F.coalesce(
             F.col("reject_reason"), F.when(token_len(F.col("_clean")) > max_tokens, F.lit("too_long"))))
+        if not keep_rejected:
+            j = j.filter(F.col("reject_reason").isNull())
+    j = _with_texts(j, steps)
     body = F.concat(F.lit(VD.THINK_OPEN + "\n"), F.col("_clean"), F.lit("\n" + VD.THINK_CLOSE)) if add_think else F.col("_clean")
     cot = F.concat(body, F.lit("\n" + VD.PREDECISION + " "), F.when(F.col("is_correct"), "Yes").otherwise("No"))
     out = j.select(
         "problem_id", "gen_idx", "solution", "solution_steps", cot.alias("cot"),
         repaired_labels(F.col("n_steps"), F.col("last_plus")).alias("labels"), "is_correct", "n_steps", "reject_reason",
     ).withColumn("cot_steps", VD.lines("cot"))
-    return out if keep_rejected else out.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    return out if keep_rejected else out.drop("reject_reason")
 
 
 def add_partial_prefixes(chains: DataFrame, p: float, seed: int, min_steps: int = 4) -> DataFrame:
@@ -170,22 +174,30 @@ def preference_pairs(steps: DataFrame, generations: DataFrame, text: str = "text
     of differing verdicts. Chosen chains in generation order are paired with rejected chains
     ranked most-wrong first (ties in generation order), pair i with pair i, i <= k.
     """
-    sol = solutions(steps)
-    j = generations.join(sol, "problem_id").withColumn("_q", VD.question_lines(text))
+    j = generations.join(solution_summary(steps, ["problem_id"]), "problem_id").withColumn("_q", VD.question_lines(text))
     j = j.filter((F.size("_q") == F.col("n_steps")) & VD.all_answered(F.col("_q")))
     dec = F.transform("_q", lambda s: F.lower(s).contains(VD.YES_MARK))
-    j = j.withColumn("_dec", dec).withColumn(
-        "cot", F.array_join(VD.pad_after_error(F.col(text), F.col("n_keep"), F.col("n_steps")), "\n"))
-    j = j.withColumn("_diff", VD.mismatches_through(F.col("_dec"), F.col("n_keep"), F.col("last_plus")))
-    chosen = top_k_within(j.filter(F.col("_diff") == 0), ["problem_id"], [F.col("gen_idx")], k, "rank",
+    j = j.withColumn("_diff", VD.mismatches_through(dec, F.col("n_keep"), F.col("last_plus")))
+    # ids are ranked and paired; texts are joined to the pairs
+    ids = j.select("problem_id", "gen_idx", "_diff")
+    chosen = top_k_within(ids.filter(F.col("_diff") == 0), ["problem_id"], [F.col("gen_idx")], k, "rank",
                           salt_cols=["problem_id", "gen_idx"])
-    rejected = top_k_within(j.filter(F.col("_diff") > 0), ["problem_id"], [F.col("_diff").desc(), F.col("gen_idx")], k, "rank",
+    rejected = top_k_within(ids.filter(F.col("_diff") > 0), ["problem_id"], [F.col("_diff").desc(), F.col("gen_idx")], k, "rank",
                             salt_cols=["problem_id", "gen_idx"])
-    c = chosen.filter(F.col("rank") <= k).select("problem_id", "rank", "solution", "solution_steps",
-                                                  F.col("gen_idx").alias("chosen_gen"), F.col("cot").alias("chosen_cot"))
-    r = rejected.filter(F.col("rank") <= k).select("problem_id", "rank", F.col("gen_idx").alias("rejected_gen"),
-                                                    F.col("cot").alias("rejected_cot"), F.col("_diff").alias("n_wrong"))
-    return c.join(r, ["problem_id", "rank"])
+    pairs = chosen.select("problem_id", "rank", F.col("gen_idx").alias("chosen_gen")).join(
+        rejected.select("problem_id", "rank", F.col("gen_idx").alias("rejected_gen"), F.col("_diff").alias("n_wrong")), ["problem_id", "rank"])
+    cot = F.array_join(VD.pad_after_error(F.col(text), F.col("n_keep"), F.col("n_steps")), "\n")
+    texts = lambda side: j.select("problem_id", F.col("gen_idx").alias(f"{side}_gen"), cot.alias(f"{side}_cot"))
+    pairs = pairs.join(texts("chosen"), ["problem_id", "chosen_gen"]).join(texts("rejected"), ["problem_id", "rejected_gen"])
+    return _with_texts(pairs, steps).select("problem_id", "rank", "solution", "solution_steps", "chosen_gen", "chosen_cot", "rejected_gen", "rejected_cot", "n_wrong")
+
+
+def preference_rows(pairs: DataFrame, problems: DataFrame, problem: str = "problem") -> DataFrame:
+    """K5, as training text: (problem_id, rank, prompt, chosen, rejected). The prompt is the verification
+    request of the problem's text (``problems``: problem_id, ``problem``) and the judged solution, open for an answer."""
+    j = pairs.join(problems.select("problem_id", F.col(problem).alias("_problem")), "problem_id")
+    return j.select("problem_id", "rank", verification_prompt(F.col("_problem"), F.col("solution")).alias("prompt"),
+                    F.col("chosen_cot").alias("chosen"), F.col("rejected_cot").alias("rejected"))
 
 
 def filter_by_length(df: DataFrame, col: str, max_tokens: int,
@@ -201,7 +213,7 @@ def balanced(chains: DataFrame, seed: int = 42) -> DataFrame:
 
 def sample_chains(chains: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """L3 on curated chains: a keyed shuffle, then the first n."""
-    return chains.withColumn("_u", hash_unit(seed, "problem_id", "gen_idx")).orderBy("_u", "problem_id", "gen_idx").limit(n).drop("_u")
+    return sample_n(chains, n, seed, ["problem_id", "gen_idx"], written=True)
 
 
 def grade_candidates(df: DataFrame, text: str, gold: str, benchmark: str = "math", out: str = "is_correct") -> DataFrame:

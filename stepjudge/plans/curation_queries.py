@@ -291,3 +291,106 @@ def q_gold_line(spark, sf):
     prompt = F.concat(F.lit("Problem "), F.col("problem_id").cast("string"), F.lit("\nCorrect solution: draft\n"),
                       F.lit("Correct solution: "), F.col("flat"))
     return sol.select("problem_id", F.md5(K.gold_line(prompt)).alias("gold_digest"))
+
+
+def _long_with_answers(spark, sf):
+    """Long chains in a think block, two of three stating an answer."""
+    g = X.gen(spark, sf)
+    answer = F.when(F.pmod(F.col("problem_id") + F.col("gen_idx"), F.lit(3)) > 0, F.lit("\nThe answer is 4.</think> done")).otherwise(F.lit("\nno answer"))
+    return g.select("problem_id", "gen_idx", F.concat(F.lit("Hm. <think>"), "boxed_text", answer).alias("text"))
+
+
+_K2_OUTCOME_SQL = _SOL_SQL + """,
+e AS (SELECT problem_id, gen_idx, arg_max(verdict, pos) AS last FROM vp GROUP BY problem_id, gen_idx),
+j AS (SELECT g.problem_id, g.gen_idx, s2.is_correct, s2.n_steps, COALESCE(chk.nv, 0) AS nv, g.boxed_text,
+        CASE WHEN COALESCE(chk.nv, 0) = 0 OR (chk.nv <> s2.n_keep AND chk.nv <> s2.n_steps) THEN 'bad_format'
+             WHEN (e.last = '+') <> s2.is_correct OR (g.problem_id + g.gen_idx) % 3 = 0 THEN 'bad_decisions' END AS reason
+      FROM gen g JOIN s2 USING (problem_id) LEFT JOIN chk USING (problem_id, gen_idx) LEFT JOIN e USING (problem_id, gen_idx)),
+r AS (SELECT *, row_number() OVER (PARTITION BY problem_id, reason IS NULL ORDER BY gen_idx) AS rk FROM j),
+k AS (SELECT problem_id, gen_idx, is_correct, n_steps, boxed_text,
+        COALESCE(reason, CASE WHEN rk > 1 THEN 'over_cap' END, CASE WHEN 7 * nv > 28 THEN 'too_long' END) AS reason FROM r)
+"""
+
+
+@query("curate_long_chains_outcome", with_views("WITH " + _K2_OUTCOME_SQL + """
+SELECT problem_id, gen_idx, is_correct, CAST(n_steps AS BIGINT) AS n_steps,
+  '<think>' || chr(10) || boxed_text || chr(10) || '</think>' || chr(10) || 'Is the solution correct? ' || CASE WHEN is_correct THEN 'Yes' ELSE 'No' END AS cot
+FROM k WHERE reason IS NULL""", "gen"))
+def q_curate_long_chains_outcome(spark, sf):
+    """K2 by outcome, with its options: one chain per solution, at most 28 tokens, thinking stripped (H7) and wrapped again."""
+    c = K.curate_long_chains(X.steps(spark, sf), _long_with_answers(spark, sf), match="outcome", max_per_solution=1, max_tokens=28, add_think=True)
+    return c.select("problem_id", "gen_idx", "is_correct", F.col("n_steps").cast("bigint").alias("n_steps"), "cot")
+
+
+@query("curation_funnel_outcome", with_views("WITH " + _K2_OUTCOME_SQL + """
+SELECT COALESCE(reason, 'kept') AS stage, count(*) AS n, count(DISTINCT problem_id) AS problems FROM k GROUP BY ALL""", "gen"))
+def q_curation_funnel_outcome(spark, sf):
+    """D28 over K2 by outcome: what each rule rejects."""
+    c = K.curate_long_chains(X.steps(spark, sf), _long_with_answers(spark, sf), match="outcome", max_per_solution=1, max_tokens=28, keep_rejected=True)
+    return funnel(c)
+
+
+@query("curate_long_chains_through_think", with_views("WITH " + _K2_SQL + """
+SELECT problem_id, gen_idx, 'Hm. <think>' || chr(10) || 'Is the solution correct? ' || CASE WHEN is_correct THEN 'Yes' ELSE 'No' END AS cot FROM k2""", "gen"))
+def q_curate_long_chains_through_think(spark, sf):
+    """K2 with the published filter's own cut: the text through ``<think>`` stays (H7)."""
+    c = K.curate_long_chains(X.steps(spark, sf), _long_with_answers(spark, sf), legacy_think=True)
+    return c.select("problem_id", "gen_idx", "cot")
+
+
+@query("curate_line_chain_variants", with_views("WITH " + _K1_SQL + """,
+l AS (SELECT v.problem_id, v.gen_idx, v.pos, 'Step ' || CAST(v.pos + 1 AS VARCHAR) || ':' AS head,
+        CASE WHEN v.pos < s2.n_keep THEN ' checked. ' ELSE ' Follows an incorrect step. ' END AS why,
+        CASE WHEN v.pos < s2.n_keep AND v.verdict = '+' THEN 'Correct? Yes.' ELSE 'Correct? No.' END AS says, s2.is_correct
+      FROM vp v JOIN s2 USING (problem_id) JOIN staged k USING (problem_id, gen_idx) WHERE k.reason IS NULL)
+SELECT problem_id, gen_idx, 'incorrect_only' AS variant, string_agg(head || CASE WHEN says = 'Correct? Yes.' THEN ' ' ELSE why END || says, chr(10) ORDER BY pos) AS cot FROM l GROUP BY ALL
+UNION ALL
+SELECT problem_id, gen_idx, 'direct', string_agg(head || ' ' || says, chr(10) ORDER BY pos) FROM l GROUP BY ALL
+UNION ALL
+SELECT problem_id, gen_idx, 'single_label', string_agg(head || why, chr(10) ORDER BY pos) || chr(10) || 'Is the solution correct? ' || CASE WHEN bool_and(is_correct) THEN 'Yes' ELSE 'No' END
+FROM l GROUP BY ALL""", "gen"))
+def q_curate_line_chain_variants(spark, sf):
+    """K1 with each of the three rewritings of H10."""
+    s = X.steps(spark, sf)
+    out = None
+    for variant in ("incorrect_only", "direct", "single_label"):
+        c = K.curate_line_chains(s, _gens(spark, sf, "line_text"), max_per_solution=2, variant=variant)
+        c = c.select("problem_id", "gen_idx", F.lit(variant).alias("variant"), "cot")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@query("gold_copies", with_views("WITH " + _K2_SQL + """,
+gold AS (SELECT problem_id, string_agg(step, ' ' ORDER BY step_idx) AS gold FROM steps GROUP BY problem_id)
+SELECT problem_id, gen_idx, NULL AS gold FROM k2
+UNION ALL
+SELECT problem_id, gen_idx, gold FROM k2 JOIN gold USING (problem_id)
+WHERE CAST(('0x' || substr(md5('5|' || CAST(problem_id AS VARCHAR) || '|' || CAST(gen_idx AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0 < 0.3""", "gen"))
+def q_gold_copies(spark, sf):
+    """K4: copies of a keyed-random 30 % of the long chains with the gold solution of the prompt."""
+    s = X.steps(spark, sf)
+    flat = K.solutions(s).select("problem_id", F.concat(F.lit("Q\nCorrect solution: "), F.array_join("solution_steps", " ")).alias("prompt"))
+    gold = flat.select("problem_id", K.gold_line("prompt").alias("gold"))
+    c = K.curate_long_chains(s, _gens(spark, sf, "boxed_text")).select("problem_id", "gen_idx")
+    return K.add_gold_copies(c, gold, 0.3, 5).select("problem_id", "gen_idx", "gold")
+
+
+@query("preference_rows", with_views("WITH " + _SOL_SQL + """,
+ok AS (SELECT chk.* FROM chk JOIN s2 USING (problem_id) WHERE chk.nv = s2.n_steps),
+ch AS (SELECT problem_id, gen_idx, row_number() OVER (PARTITION BY problem_id ORDER BY gen_idx) AS rank FROM ok WHERE diff = 0),
+rj AS (SELECT problem_id, gen_idx, row_number() OVER (PARTITION BY problem_id ORDER BY diff DESC, gen_idx) AS rank FROM ok WHERE diff > 0),
+text AS (SELECT problem_id, string_agg(step, chr(10) ORDER BY step_idx) AS solution FROM steps GROUP BY problem_id)
+SELECT ch.problem_id, ch.rank, '<|user|>' || chr(10) || 'You are given a math problem and a proposed step-by-step solution:' || chr(10) || chr(10)
+  || '[Math Problem]' || chr(10) || chr(10) || 'problem ' || CAST(ch.problem_id AS VARCHAR) || chr(10) || chr(10)
+  || '[Solution]' || chr(10) || chr(10) || text.solution || chr(10) || chr(10)
+  || 'Review and critique each step in the proposed solution to determine whether each step is correct. If the solution is incomplete, only verify the provided steps.'
+  || chr(10) || 'Let''s verify step by step:' AS prompt, c1.cot AS chosen, c2.cot AS rejected
+FROM ch JOIN rj USING (problem_id, rank) JOIN text USING (problem_id)
+JOIN cot c1 ON c1.problem_id = ch.problem_id AND c1.gen_idx = ch.gen_idx
+JOIN cot c2 ON c2.problem_id = rj.problem_id AND c2.gen_idx = rj.gen_idx
+WHERE ch.rank <= 2""", "gen"))
+def q_preference_rows(spark, sf):
+    """K5 as training text: prompt, chosen and rejected chain."""
+    s = X.steps(spark, sf)
+    problems = s.select("problem_id").distinct().withColumn("problem", F.concat(F.lit("problem "), F.col("problem_id").cast("string")))
+    return K.preference_rows(K.preference_pairs(s, _gens(spark, sf, "line_text"), k=2), problems)

@@ -6,10 +6,14 @@ result with DuckDB string and regex functions.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stepjudge.functions import answers as A
 from stepjudge.functions import prompts as P
+from stepjudge.functions import tables
+from stepjudge.functions import verdicts as V
 from stepjudge.plans.registry import query
 from stepjudge.operators.ranking import top_k_within
 from stepjudge.sources import fixtures as X
@@ -217,3 +221,45 @@ def q_trace_programs(spark, sf):
     t = F.concat(F.lit("Plan\n```python\nimport a\nx = "), F.col("o_custkey").cast("string"), F.lit("\nprint(x)\n```\n```output\n"), out1,
                  F.lit("\n```\nthen\n```python\nfrom b import c\ny = 2\nprint(y)\n```\n```output\n"), out2, F.lit("\n```\n"))
     return o.select("o_orderkey", F.size(A.segment_trace(t)).cast("bigint").alias("n_segments"), A.programs(t).alias("program"), A.outputs(t).alias("last_output"))
+
+
+def _by_sql(spark, sf, table, statement):
+    """A statement over a table's own view, with the SQL table functions."""
+    tables.register(spark)
+    view = f"v_{uuid.uuid4().hex}"
+    X.table(spark, sf, table).createOrReplaceTempView(view)
+    return spark.sql(statement.replace("{view}", view))
+
+
+@query("sql_text_steps", """
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS st FROM documents)
+SELECT doc_id, unnest(range(len(st))) AS step_idx, unnest(st) AS step FROM s""")
+def q_sql_text_steps(spark, sf):
+    """The steps of every document from SQL."""
+    return _by_sql(spark, sf, "documents", "SELECT d.doc_id, s.step_idx, s.step FROM {view} d, LATERAL text_steps(d.text) s")
+
+
+@query("sql_text_segments", """
+SELECT item_id, unnest(range(len(string_split(text, '. ')))) AS segment_idx, unnest(string_split(text, '. ')) AS segment FROM benchmark""")
+def q_sql_text_segments(spark, sf):
+    """The segments of every benchmark item from SQL."""
+    return _by_sql(spark, sf, "benchmark", "SELECT b.item_id, s.segment_idx, s.segment FROM {view} b, LATERAL text_segments(b.text, '. ') s")
+
+
+@query("sql_sweep_sizes", """
+SELECT c_custkey, unnest(list_filter([1, 2, 4, 8, 16, 32], lambda x: x <= c_custkey % 40))::BIGINT AS size FROM customer""")
+def q_sql_sweep_sizes(spark, sf):
+    """The sizes of a sweep from SQL."""
+    return _by_sql(spark, sf, "customer", "SELECT c.c_custkey, s.size FROM {view} c, LATERAL sweep_sizes(c.c_custkey % 40) s")
+
+
+@query("verdict_helpers", """
+SELECT o_orderkey, o_orderkey % 10 AS max_step, o_orderkey % 3 = 0 AS decided, CASE WHEN o_orderkey % 2 = 0 THEN 'before ' ELSE 'plain' END AS kept FROM orders""")
+def q_verdict_helpers(spark, sf):
+    """H41, H39 and H7 over a table: the largest step number named, the decision of a label, the text before the think block ends."""
+    n = F.col("o_orderkey")
+    o = X.table(spark, sf, "orders").select("o_orderkey")
+    text = F.concat(F.lit("Step 0 and Step "), (n % 10).cast("string"), F.lit(" of 99"))
+    label = F.when(n % 3 == 0, F.lit("\\boxed{Correct}")).otherwise(F.lit("\\boxed{incorrect}"))
+    think = F.when(n % 2 == 0, F.lit("before </think> after")).otherwise(F.lit("plain"))
+    return o.select("o_orderkey", V.max_step_number(text).cast("bigint").alias("max_step"), V.decision(label).alias("decided"), V.strip_thinking(think).alias("kept"))
