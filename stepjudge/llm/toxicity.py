@@ -41,6 +41,7 @@ DECAY = 0.6
 ORDER = 3  # characters of a subsequence
 WIDTH = 24  # longer words are seen through windows of this width
 CODES = 64
+PART = 4000  # words that the driver handles at once
 RATIO = 12.0  # log-likelihood ratio from which a word teaches label 1
 TABLE_WORDS = 300_000  # distinct words a task remembers
 TOXIC = 0.7
@@ -222,12 +223,12 @@ def score(text: str | Column, machine: Machine) -> Column:
 
 def _fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 1000, cost: float = 20_000.0) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
     weight = weight / weight.sum()
     for side in (1, -1):
         weight[y == side] *= 0.5 / max(weight[y == side].sum(), 1e-12)
     keep = np.append(np.ones(x.shape[1] - 1), 0.0) / cost
-    size = 2 * np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2 + keep.max()
+    size = 2 * np.linalg.eigvalsh(x.T @ (x * weight[:, None]))[-1] + keep.max()
     w, look, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * (x @ look))
@@ -284,9 +285,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     ratio = 2 * (F.col("n1") * F.log(share1 / both) + F.col("n0") * F.log(share0 / both))
     toxic = (share1 > 4 * share0) & (F.col("n1") >= 2) & (ratio >= RATIO)
     counts = counts.withColumn("ratio", ratio).withColumn("toxic", toxic)
-    pos = counts.where("toxic").orderBy(F.desc("ratio"), "word").limit(MAX_POSITIVE).toPandas()
-    pool = counts.where("not toxic and n0 > 0").orderBy(F.xxhash64("word"), "word").limit(MAX_POOL).toPandas()
-    common = counts.where("not toxic and n0 > 0").orderBy(F.desc("n0"), "word").limit(4000).toPandas()
+    pos = counts.where("toxic").orderBy(F.desc("ratio"), "word").limit(MAX_POSITIVE).select("word", "n1", "ratio").toPandas()
+    pool = counts.where("not toxic and n0 > 0").orderBy(F.xxhash64("word"), "word").limit(MAX_POOL).select("word", "n0").toPandas()
+    common = counts.where("not toxic and n0 > 0").orderBy(F.desc("n0"), "word").limit(4000).select("word", "n0").toPandas()
     if not len(pos) or not len(common):
         machine = Machine(np.zeros(CODES**ORDER, dtype=np.float32), -1.0, np.zeros(FEATURES + 1))
     else:
@@ -325,9 +326,11 @@ def _words_machine(pos: pd.DataFrame, common: pd.DataFrame, pool: pd.DataFrame)
         words = pos["word"].tolist() + negative["word"].tolist()
         y = np.array([1.0] * len(pos) + [-1.0] * len(negative))
         weight = np.sqrt(np.concatenate([pos["n1"].to_numpy(), negative["n0"].to_numpy()]).astype(float))
-        w, bias = _fit_machine(kernel(words, base) @ whiten, y, weight)
+        seen = np.concatenate([kernel(words[a : a + PART], base) @ whiten for a in range(0, len(words), PART)])
+        w, bias = _fit_machine(seen, y, weight)
         machine = Machine(base.combined(whiten @ w), float(bias), np.zeros(FEATURES + 1))
         if not last:  # the pool's words that come out highest are the hard negatives
-            hard = pool.iloc[np.argsort(-machine.values(pool["word"].tolist()), kind="stable")[:3000]]
+            value = np.concatenate([machine.values(pool["word"].iloc[a : a + PART].tolist()) for a in range(0, len(pool), PART)])
+            hard = pool.iloc[np.argsort(-value, kind="stable")[:3000]]
             negative = pd.concat([negative, hard]).drop_duplicates("word")
     return machine
