@@ -195,12 +195,17 @@ class Trees:
     trees: list = field(default_factory=list)  # (split, (split, value, value), (split, value, value))
     thresholds: dict = field(default_factory=dict)
 
-    def margin(self, f: str = "f") -> Column:
+    def value(self, i: int, f: str = "f") -> Column:
+        """What tree i gives."""
+        root, yes, no = self.trees[i]
         ask = lambda s: F.get(f, F.lit(s[0])) <= F.lit(s[1])
+        side = lambda s: F.when(ask(s[0]), F.lit(s[1])).otherwise(F.lit(s[2])) if s[0] else F.lit(s[1])
+        return F.when(ask(root), side(yes)).otherwise(side(no))
+
+    def margin(self, f: str = "f") -> Column:
         total = F.lit(self.start)
-        for root, yes, no in self.trees:
-            side = lambda s: F.when(ask(s[0]), F.lit(s[1])).otherwise(F.lit(s[2])) if s[0] else F.lit(s[1])
-            total = total + F.when(ask(root), side(yes)).otherwise(side(no))
+        for i in range(len(self.trees)):
+            total = total + self.value(i, f)
         return total
 
     def probability(self, f: str = "f") -> Column:
@@ -241,8 +246,9 @@ def learn(found: DataFrame) -> Trees:
         return model
     p = (sums["y"] + 1) / (sums["n"] + 2)
     model.start = math.log(p / (1 - p))
+    table = table.withColumn("margin", F.lit(model.start))
     for _ in range(TREES):
-        p = model.probability()
+        p = 1 / (1 + F.exp(-F.col("margin")))
         now = table.select("f", (F.col("y") - F.col("n") * p).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
 
         def sums_of(rows: DataFrame, *by: str) -> list:
@@ -253,7 +259,9 @@ def learn(found: DataFrame) -> Trees:
             break
         sides = sums_of(now.withColumn("left", F.get("f", F.lit(root[0])) <= F.lit(root[1])), "left")
         model.trees.append((root, _best([r for r in sides if r["left"]]), _best([r for r in sides if not r["left"]])))
-    marks = table.groupBy("kind", F.floor(model.probability() * 200).alias("bin")).agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()
+        # the margin so far is a column, so every round has one plan of the same size
+        table = checkpoint(table.withColumn("margin", F.col("margin") + model.value(-1)))
+    marks = table.groupBy("kind", F.floor(200 / (1 + F.exp(-F.col("margin")))).alias("bin")).agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()
     for kind in range(len(KINDS)):
         n = y = 0.0
         for r in sorted((r for r in marks if r["kind"] == kind), key=lambda r: -r["bin"]):
