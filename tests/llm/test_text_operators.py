@@ -214,6 +214,26 @@ def test_mixture_equals_its_sql_and_reaches_targets(make):
     assert out.select(F.sum(mixing.words("text"))).first()[0] == sum(r["taken"] for r in mixing.mixture(docs.where("doc_id >= 0 and doc_id < 900")).collect())
 
 
+def test_mixture_cuts_within_one_id_and_text(make):
+    """A third of a source without ids, another third copies of one row: the cut falls among them."""
+    rows = [(None, "w " * (1 + i % 5), "en", "a") for i in range(60)] + [(7, "same words here", "en", "a")] * 60 + [(i, "w " * 4, "en", "a") for i in range(100, 140)]
+    rows += [(None, "x " * 9, "en", "b")] * 300 + [(None, None, None, None)] * 5 + [(i, "y " * 50, "en", "c") for i in range(200, 240)]
+    docs = make(rows)
+    got = mixing.mixture(docs).collect()
+    assert len(got) == len(rows)
+    for source in ("a", "b", "c"):
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine) / 2
+    partly = {r["copies"] for r in got if r["doc_id"] is None and r["source"] == "b"}
+    assert len(partly) == 2
+    again = mixing.mixture(docs.repartition(5)).collect()
+    count = lambda rows: sorted((str(r["doc_id"]), r["source"] or "", r["size"], r["copies"]) for r in rows)
+    assert count(got) == count(again)
+    out = mixing.mixed(docs)
+    words = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(mixing.words("text")).alias("n")).collect()}
+    assert {s: n for s, n in words.items() if n} == {s: sum(r["taken"] for r in got if r["source"] == s) for s in ("a", "b", "c")}
+
+
 def test_odd_rows_and_empty_tables(odd, empty):
     for docs, n in ((odd, len(ODD)), (empty, 0)):
         names, logp = language.weights(language.learn(docs))
