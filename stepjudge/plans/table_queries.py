@@ -296,9 +296,9 @@ def _layouts(spark, sf):
                            F.when(F.pmod("id", F.lit(5)) == 0, F.lit("text")).otherwise("decimal_number").alias("ans_type")),
         "carp_en": o.select("id", q.alias("content"), F.concat(F.lit("a \\neq "), c).alias("answer")),
         "mmlu_stem": o.select("id", q.alias("question"), four.alias("choices"), F.pmod("id", F.lit(4)).cast("int").alias("answer")),
-        "sat_math": o.select("id", q.alias("question"), F.concat(F.lit("A) "), n, F.lit(" B) "), c, F.lit(" C) x D) y")).alias("options"), F.when(F.col("id") > 0, "B").alias("Answer")),
-        "aqua": o.select("id", q.alias("question"), F.array(F.concat(F.lit("A)"), n), F.concat(F.lit("B)"), c)).alias("options"), F.when(F.col("id") > 0, "A").alias("correct")),
-        "gaokao_math_qa": o.select("id", q.alias("question"), F.create_map(F.lit("A"), n, F.lit("B"), c).alias("options"), F.when(F.col("id") > 0, "C").alias("label")),
+        "sat_math": o.select("id", q.alias("question"), F.concat(F.lit("A) "), n, F.lit(" B) "), c, F.lit(" C) x D) y")).alias("options"), F.when(F.col("id") >= 0, "B").alias("Answer")),
+        "aqua": o.select("id", q.alias("question"), F.array(F.concat(F.lit("A)"), n), F.concat(F.lit("B)"), c)).alias("options"), F.when(F.col("id") >= 0, "A").alias("correct")),
+        "gaokao_math_qa": o.select("id", q.alias("question"), F.create_map(F.lit("A"), n, F.lit("B"), c).alias("options"), F.when(F.col("id") >= 0, "C").alias("label")),
         "gaokao2024_mix": o.select("id", q.alias("question"), F.when(even, F.lit("D")).otherwise("").alias("choice_answer"), c.alias("answer")),
         "olympiadbench": o.select("id", q.alias("question"), F.array(F.concat(F.lit("$"), c, F.lit("$")), F.lit("z")).alias("final_answer")),
         "college_math": o.select("id", q.alias("question"), F.concat(F.lit("$"), c, F.lit("$ ")).alias("answer")),

@@ -263,3 +263,25 @@ def q_verdict_helpers(spark, sf):
     label = F.when(n % 3 == 0, F.lit("\\boxed{Correct}")).otherwise(F.lit("\\boxed{incorrect}"))
     think = F.when(n % 2 == 0, F.lit("before </think> after")).otherwise(F.lit("plain"))
     return o.select("o_orderkey", V.max_step_number(text).cast("bigint").alias("max_step"), V.decision(label).alias("decided"), V.strip_thinking(think).alias("kept"))
+
+
+@query("number_words", """
+WITH o AS (SELECT o_orderkey, o_orderkey % 100 AS n, (o_orderkey // 100) % 10 AS h, o_orderkey % 7 AS k, o_orderkey % 9 AS d FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN CAST(n AS VARCHAR) WHEN 1 THEN CAST((CASE WHEN h = 0 THEN 1 ELSE h END) * 100 + n AS VARCHAR) WHEN 2 THEN CAST(1000 * n + 100 AS VARCHAR)
+  WHEN 3 THEN CASE WHEN d = 0 THEN CAST(n AS VARCHAR) ELSE n || '.' || d END WHEN 4 THEN CAST((h * 10 + d) * 100000 AS VARCHAR) WHEN 5 THEN CAST(n * 1000 AS VARCHAR) ELSE 'about ' || n END AS number FROM o""")
+def q_number_words(spark, sf):
+    """H13 over generated words: tens and units, hundreds, "a hundred", decimals, scales of decimals, digits beside words, and a text that isn't a number."""
+    o = X.table(spark, sf, "orders").select("o_orderkey")
+    key = F.col("o_orderkey")
+    n, h, k, d = key % 100, F.floor(key / 100) % 10, key % 7, key % 9
+    small = F.array(*[F.lit(w) for w in A.SMALL_NUMBERS])
+    tens = F.array(*[F.lit(w) for w in A.TENS])
+    unit = lambda c: F.get(small, c.cast("int"))
+    words = F.when(n < 20, unit(n)).when(n % 10 == 0, F.get(tens, (n / 10 - 2).cast("int"))).otherwise(
+        F.concat(F.get(tens, F.floor(n / 10 - 2).cast("int")), F.lit("-"), unit(n % 10)))
+    text = (
+        F.when(k == 0, F.initcap(words)).when(k == 1, F.concat(F.when(h == 0, F.lit("a")).otherwise(unit(h)), F.lit(" hundred and "), words))
+        .when(k == 2, F.when(n == 0, F.lit("a hundred")).otherwise(F.concat(words, F.lit(" thousand one hundred")))).when(k == 3, F.concat(words, F.lit(" point "), unit(d)))
+        .when(k == 4, F.when(h * 10 + d == 0, F.lit("zero")).otherwise(F.concat(unit(h), F.lit(" point "), unit(d), F.lit(" million"))))
+        .when(k == 5, F.when(n == 0, F.lit("zero")).otherwise(F.concat(n.cast("string"), F.lit(" thousand")))).otherwise(F.concat(F.lit("about "), n.cast("string"))))
+    return o.select("o_orderkey", A.words_to_number(text).alias("number"))
