@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -32,6 +33,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of tables that nothing holds any more.
+
+    What Python let go reaches the JVM a moment later, and what the first collection frees can hold more.
+    """
+    for _ in range(2):
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this subpackage's own once nothing reads it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that the table doesn't have."""
     taken = {c.lower() for c in df.columns}
