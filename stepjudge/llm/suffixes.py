@@ -33,10 +33,11 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stepjudge.llm.common import checkpoint, free, remove, slices
+from stepjudge.llm.common import free, remove, slices_of
 from stepjudge.session import checkpoint_dir
 
 SPAN = 50
@@ -44,7 +45,9 @@ BATCHES = 4
 ROUNDS = 2
 HOT = 50_000  # distinct surroundings of one gram that a task compares in memory
 BUCKET_BYTES = 16_000_000  # bytes of text for each bucket of the index tables
-PACK = 1_000_000  # suffixes that a task packs at once
+PART = 50_000  # suffixes of one row of those known to be shared
+SLICE_OUT = 4_000_000  # characters given out at once
+PACK = 500_000  # suffixes that a task packs at once
 WHOLE = -1  # stands for the places of a text that is a copy as a whole
 SLICE = 64_000  # characters handled at once: what numpy works on then stays in a core's cache
 MIX = 0xD6E8FEB86659FD93
@@ -135,21 +138,26 @@ def suffixes(docs: DataFrame, buckets: int, span: int = SPAN) -> DataFrame:
         order = np.lexsort((doc, gram))
         gram, doc = gram[order], doc[order]
         first = _firsts(gram)
+        kept_gram, kept_doc = gram, doc
         size = np.diff(np.concatenate([first, [len(gram)]]))
         known = np.repeat(doc[first] < doc[first + size - 1], size)  # several documents here: shared for sure
         at = (gram[first].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         each, begin = np.unique(at[order], return_index=True)
         cut = [first[order[i:j]] for i, j in zip(begin.tolist(), [*begin.tolist()[1:], len(order)], strict=True)]
-        place = -1 - int(each[len(each) // 2])  # any: what is known needs no bucket
-        return _packed_rows(np.concatenate([each, [place]]).astype(np.int32), [*[gram[c] for c in cut], gram[known]], [*[doc[c] for c in cut], doc[known]])
+        # what is known needs no bucket: it is dealt out in small parts
+        gram, doc = gram[known], doc[known]
+        parts = [slice(i, i + PART) for i in range(0, len(gram), PART)]
+        spread = [-1 - int(gram[c][0].view(np.uint64) % np.uint64(buckets)) for c in parts]
+        rows = [(kept_gram[c], kept_doc[c]) for c in cut] + [(gram[c], doc[c]) for c in parts]
+        return _packed_rows(np.array([*each.tolist(), *spread], dtype=np.int32), [g for g, _ in rows], [d for _, d in rows])
 
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            texts, ids = batch.column("t").to_pandas(), batch.column("doc_id").to_numpy()
-            for a, b in slices(texts, SLICE):
-                text, _, gram, _, _ = sampled([t.encode() for t in texts.iloc[a:b]], span)
+            texts, ids = batch.column("t"), batch.column("doc_id").to_numpy()
+            for a, b in slices_of(pc.utf8_length(texts).to_numpy(), SLICE):
+                text, _, gram, _, _ = sampled([t.encode() for t in texts.slice(a, b - a).to_pylist()], span)
                 order = np.lexsort((gram, text))
                 text, gram = text[order], gram[order]
                 new = np.ones(len(gram), dtype=bool)
@@ -319,7 +327,7 @@ def surroundings(docs: DataFrame, shared: DataFrame, span: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b in slices(batch.column("t").to_pandas(), SLICE):
+            for a, b in slices_of(pc.utf8_length(batch.column("t")).to_numpy(), SLICE):
                 part = batch.slice(a, b - a)
                 text, place, gram, data, bound = sampled([t.encode() for t in part.column("t").to_pylist()], span)
                 wanted = part.column("grams")
@@ -483,7 +491,9 @@ def _verified(docs: DataFrame, shared: DataFrame, span: int, hot: int, folder: s
     free(docs.sparkSession)
     around = docs.sparkSession.read.parquet(folder)
     masks = _masks(around.where("not later").drop("later"), hot).unionByName(around.where("later").select("doc_id", "h", "places", F.col("valid").alias("mask")))
-    return checkpoint(masks.where("mask <> 0").select("doc_id", "h", F.transform("places", lambda p: F.shiftleft(p, 32).bitwiseOR(F.col("mask"))).alias("starts")))
+    starts = F.transform("places", lambda p: F.shiftleft(p, 32).bitwiseOR(F.col("mask"))).alias("starts")
+    masks.where("mask <> 0").select("doc_id", "h", starts).write.parquet(f"{folder}-starts")  # columns: a tenth of a checkpoint's rows
+    return docs.sparkSession.read.parquet(f"{folder}-starts")
 
 
 def _covered(raw: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
@@ -517,22 +527,23 @@ def _cut(docs: DataFrame, key: str, text: str, span: int, digest: bool, **option
         raise ValueError("strings of 8 to 62 bytes")
     found = repeated(docs, key, text, span, **options).withColumnRenamed("doc_id", "of")
 
+    result = (lambda raw: hashlib.sha256(raw).hexdigest()) if digest else bytes
+
+    def cut(k, t, starts):
+        raw = (t or "").encode()
+        if starts is None or not len(starts):
+            return k, len(raw), 0, 0, result(raw)
+        data = np.frombuffer(raw, dtype=np.uint8)
+        gone = _covered(data, np.asarray(starts, dtype=np.int64), span)
+        spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+        return k, len(raw), int(gone.sum()), spans, result(data[~gone].tobytes())
+
     def run(batches):
         for batch in batches:
-            rows = []
-            for k, t, starts in zip(batch["id"], batch["t"], batch["starts"], strict=True):
-                raw = (t or "").encode()
-                if starts is None or not len(starts):
-                    rows.append((k, len(raw), 0, 0, raw))
-                    continue
-                data = np.frombuffer(raw, dtype=np.uint8)
-                gone = _covered(data, np.asarray(starts, dtype=np.int64), span)
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((k, len(raw), int(gone.sum()), spans, data[~gone].tobytes()))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-            if digest:
-                out["kept"] = [hashlib.sha256(b).hexdigest() for b in out["kept"]]
-            yield out
+            for a, b in slices_of(batch["t"].str.len().fillna(0).to_numpy(dtype="int64"), SLICE_OUT):
+                part = batch.iloc[a:b]
+                rows = [cut(*row) for row in zip(part["id"], part["t"], part["starts"], strict=True)]
+                yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"), F.xxhash64(text).alias("mine"))
     joined = rows.join(found, (F.col("id") == F.col("of")) & (F.col("mine") == F.col("h")), "left").select(F.col("id").cast("string").alias("id"), "t", "starts")
