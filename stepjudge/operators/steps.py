@@ -78,8 +78,9 @@ def first_error_mask(steps: DataFrame, by: Sequence[str] = ("problem_id",), step
 def align_steps(verdicts: DataFrame, labels: DataFrame, by: Sequence[str] = ("problem_id",),
                 step: str = "step_idx") -> DataFrame:
     """Verdict i next to label i, only where both exist (an inner equi-join: the shorter list
-    wins, as Python's ``zip`` does)."""
-    return verdicts.join(labels, [*by, step])
+    wins, as Python's ``zip`` does). Labels are as many as steps: their few bytes a row in Parquet may
+    look small enough to pass through the driver as a broadcast table, so the join is a sorted one."""
+    return verdicts.join(labels.hint("merge"), [*by, step])
 
 
 def mean_verifications(df: DataFrame, by: Sequence[str], score: str, name: str = "score") -> DataFrame:
