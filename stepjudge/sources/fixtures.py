@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepjudge.operators.ranking import number_within
@@ -66,15 +66,23 @@ def _build_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _other_verdict(gen_idx: Column, step_idx: Column, k: Column) -> Column:
+    """Whether a chain's verdict is not the label; NULL without a part."""
+    return F.pmod(k + 7 * gen_idx + step_idx, F.lit(5)) == 0
+
+
+def _has_step(problem_id: Column, gen_idx: Column, step_idx: Column) -> Column:
+    """The third chain of every eleventh solution lacks its first step."""
+    return ~((gen_idx == 2) & (F.pmod(problem_id, F.lit(11)) == 0) & (step_idx == 0))
+
+
 def _build_verd(spark: SparkSession, sf_dir: str, steps_df: DataFrame | None = None) -> DataFrame:
     """VERD(problem_id, gen_idx, step_idx, gt_label, verdict): three chains per solution."""
     s = steps_df if steps_df is not None else steps(spark, sf_dir)
     g = s.withColumn("gen_idx", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    flip = F.pmod(F.col("k") + 7 * F.col("gen_idx") + F.col("step_idx"), F.lit(5)) == 0
+    flip = _other_verdict(F.col("gen_idx"), F.col("step_idx"), F.col("k"))
     other = F.when(F.col("gt_label") == "+", "-").otherwise("+")
-    return g.filter(
-        ~((F.col("gen_idx") == 2) & (F.pmod(F.col("problem_id"), F.lit(11)) == 0) & (F.col("step_idx") == 0))
-    ).select(
+    return g.filter(_has_step(F.col("problem_id"), F.col("gen_idx"), F.col("step_idx"))).select(
         "problem_id",
         F.col("gen_idx").cast("bigint").alias("gen_idx"),
         "step_idx",
@@ -84,23 +92,30 @@ def _build_verd(spark: SparkSession, sf_dir: str, steps_df: DataFrame | None = N
 
 
 def _build_gen(spark: SparkSession, sf_dir: str, verd_df: DataFrame | None = None) -> DataFrame:
-    """GEN(problem_id, gen_idx, boxed_text, line_text): one verification text per chain."""
-    v = verd_df if verd_df is not None else verd(spark, sf_dir)
-    num = (F.col("step_idx") + 1).cast("string")
-    ok = F.col("verdict") == "+"
-    boxed = F.concat(
-        F.lit("Step "), num, F.lit(": checked. The step is \\boxed{"),
-        F.when(ok, "correct").otherwise("incorrect"), F.lit("}"),
-    )
-    line = F.concat(F.lit("Step "), num, F.lit(": checked. Correct? "), F.when(ok, "Yes.").otherwise("No."))
-    agg = v.groupBy("problem_id", "gen_idx").agg(
-        F.array_sort(F.collect_list(F.struct("step_idx", boxed.alias("b"), line.alias("l")))).alias("ls")
-    )
-    return agg.select(
+    """GEN(problem_id, gen_idx, boxed_text, line_text): one verification text per chain.
+
+    The texts of a solution's chains differ by their verdicts alone, so the solution's labels are brought
+    together, once, and every chain is written from them; from a table of verdicts, these are brought together."""
+    if verd_df is not None:
+        chains = verd_df.groupBy("problem_id", "gen_idx").agg(
+            F.array_sort(F.collect_list(F.struct("step_idx", (F.col("verdict") == "+").alias("ok")))).alias("ls"))
+    else:
+        s = steps(spark, sf_dir).groupBy("problem_id").agg(
+            F.array_sort(F.collect_list(F.struct("step_idx", (F.col("gt_label") == "+").alias("plus"), "k"))).alias("_s"))
+        s = s.withColumn("gen_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))))
+        problem, g = F.col("problem_id"), F.col("gen_idx")
+        own = F.filter("_s", lambda x: _has_step(problem, g, x["step_idx"]))
+        ok = lambda x: F.when(_other_verdict(g, x["step_idx"], x["k"]), ~x["plus"]).otherwise(x["plus"])
+        chains = s.select("problem_id", "gen_idx", F.transform(own, lambda x: F.struct(x["step_idx"].alias("step_idx"), ok(x).alias("ok"))).alias("ls"))
+        chains = chains.filter(F.size("ls") > 0)
+    num = lambda x: (x["step_idx"] + 1).cast("string")
+    boxed = lambda x: F.concat(F.lit("Step "), num(x), F.lit(": checked. The step is \\boxed{"), F.when(x["ok"], "correct").otherwise("incorrect"), F.lit("}"))
+    line = lambda x: F.concat(F.lit("Step "), num(x), F.lit(": checked. Correct? "), F.when(x["ok"], "Yes.").otherwise("No."))
+    return chains.select(
         "problem_id",
         "gen_idx",
-        F.array_join(F.transform("ls", lambda x: x["b"]), "\n").alias("boxed_text"),
-        F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias("line_text"),
+        F.array_join(F.transform("ls", boxed), "\n").alias("boxed_text"),
+        F.array_join(F.transform("ls", line), "\n").alias("line_text"),
     )
 
 
@@ -211,7 +226,7 @@ def _materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFra
 
 MATERIALIZE = True
 # bump when a fixture builder changes, so no earlier table is read back
-FIXTURE_VERSION = "fixtures-v1"
+FIXTURE_VERSION = "fixtures-v2"
 # a run reads back only what it wrote itself: the default is the application id; a benchmark sets its own
 NAMESPACE: str | None = None
 
