@@ -113,9 +113,12 @@ def q_vote_from_texts(spark, sf):
     for i, (a, b) in enumerate(layouts):
         text = F.when(F.col("idx") % 4 == i, F.concat(F.lit(a), F.col("answer"), F.lit(b))).otherwise(text)
     t = A.extract_answers(c.select("problem_id", "idx", "score", "gold_key", text.alias("text")), "text", "pred")
-    t = map_distinct(t, "pred", A.answer_key, "key").withColumn("gold", A.answer_key(A.normalize_answer("gold_key")))
-    w = V.vote_sweep(t.select("problem_id", "idx", "score", "pred", "key", "gold"), [1 << 30], key="key", answer="pred", gold="gold")
-    return w.select("problem_id", "key_naive", "key_weighted", "key_maj", (F.col("key_weighted") == F.col("gold")).alias("correct"))
+    t = map_distinct(t, "pred", A.answer_key, "key")
+    w = V.vote_sweep(t.select("problem_id", "idx", "score", "pred", "key", "gold_key"), [1 << 30], key="key", answer="pred", gold="gold_key")
+    # a problem has one gold answer, and few differ: each is keyed once, after the votes
+    golds = map_distinct(c.select(F.col("gold_key").alias("gold")).distinct(), "gold", lambda g: A.answer_key(A.normalize_answer(g)), "gold_norm")
+    w = w.join(golds, "gold", "left")
+    return w.select("problem_id", "key_naive", "key_weighted", "key_maj", (F.col("key_weighted") == F.col("gold_norm")).alias("correct"))
 
 
 @query("vote_weighted", with_views("""
