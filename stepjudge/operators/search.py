@@ -60,19 +60,23 @@ def refill(survivors: DataFrame, by: Sequence[str], n: int, rank: str = "rank")
     return slots.join(survivors, [*by, rank]).drop("_cnt")
 
 
-def follow(start: DataFrame, step: DataFrame, by: Sequence[str], moves: int, combine: Callable[[Column, Column], Column]) -> DataFrame:
+def follow(start: DataFrame, step: DataFrame, by: Sequence[str], moves: int, combine: Callable[[Column, Column], Column],
+           tables: list[DataFrame] | None = None) -> DataFrame:
     """Follow pointers up to ``moves`` times by doubling: ``start`` (by…, _at, _acc, …) stands on nodes,
     ``step`` (by…, _from, _to, _v) has at most one pointer per node.
 
     Tables of 1, 2, 4, … moves are joined from each other, and those of the binary digits of ``moves``
     are applied: at most 2 log2(moves) + 1 joins instead of one per move. ``combine`` (associative)
     merges what is met on the way; a node without a pointer ends the way, and stays where it is.
+    ``tables`` is filled with the tables, of 1, 2, 4, … moves.
     """
     by, moves = list(by), int(moves)
     if moves > 1:  # each table is read by the next one, twice, and by those who stand on it: written once
         checkpoint_dir(step.sparkSession)
         step = step.checkpoint(eager=True)
     while moves > 0:
+        if tables is not None:
+            tables.append(step)
         if moves & 1:
             s = step.select(*by, F.col("_from").alias("_at"), F.col("_to").alias("_next"), F.col("_v").alias("_add"))
             hit = F.col("_next").isNotNull()
@@ -188,22 +192,40 @@ def _beam_paths(tree: DataFrame, keep: int, n: int, rounds: int, by: list[str],
 
 
 def _finished_paths(tree: DataFrame, n: int, rounds: int, by: list[str], node: str, parent: str, text: str, score: str, stop: str) -> DataFrame:
-    """All paths from a root to a node that stops or has no children, not past an earlier stop; the n best."""
+    """All paths from a root to a node that stops or has no children, not past an earlier stop; the n best.
+
+    Paths are judged and ranked by their nodes alone; texts are read along the n best of each problem."""
     t = _children(tree, by, node, parent)
     stops = F.coalesce(F.col(stop) == "EOS", F.lit(False))
-    up = t.select(*by, F.col(node).alias("_to"), F.struct(F.col(text).alias("text"), stops.alias("blocked"), F.lit(1).alias("depth")).alias("_v"))
+    up = t.select(*by, F.col(node).alias("_to"), F.struct(stops.alias("blocked"), F.lit(1).alias("depth")).alias("_v"))
     step = t.filter(F.col(parent).isNotNull()).select(*by, F.col(node).alias("_from"), F.col(parent).alias("_to")).join(up, [*by, "_to"])
     ends = t.filter(stops | (F.col("_nchild") == 0)).select(
-        *by, node, F.col(score).alias("_score"), F.col(node).alias("_at"),
-        F.struct(F.col(text).alias("text"), F.lit(False).alias("blocked"), F.lit(0).alias("depth")).alias("_acc"))
+        *by, node, F.col(score).alias("_score"), F.col(node).alias("_at"), F.struct(F.lit(False).alias("blocked"), F.lit(0).alias("depth")).alias("_acc"))
 
     def above(a: Column, b: Column) -> Column:
-        return F.struct(F.concat(b["text"], a["text"]).alias("text"), (a["blocked"] | b["blocked"]).alias("blocked"), (a["depth"] + b["depth"]).alias("depth"))
+        return F.struct((a["blocked"] | b["blocked"]).alias("blocked"), (a["depth"] + b["depth"]).alias("depth"))
 
+    tables: list[DataFrame] = []
     roots = t.filter(F.col(parent).isNull()).select(*by, F.col(node).alias("_at"))
-    found = follow(ends, step, by, rounds, above).join(roots, [*by, "_at"], "left_semi").filter(~F.col("_acc.blocked"))
-    found = found.select(*by, node, F.col("_acc.text").alias("path"), F.col("_score").alias(score), F.col("_acc.depth").alias("depth"), F.lit(True).alias("completed"))
-    return top_k_within(found, by, [F.col(score).desc(), F.col(node)], n, "rank", salt_cols=[*by, node])
+    found = follow(ends, step, by, rounds, above, tables).join(roots, [*by, "_at"], "left_semi").filter(~F.col("_acc.blocked"))
+    found = found.select(*by, node, F.col("_score").alias(score), F.col("_acc.depth").alias("depth"), F.lit(True).alias("completed"))
+    best = top_k_within(found, by, [F.col(score).desc(), F.col(node)], n, "rank", salt_cols=[*by, node])
+    if tables:
+        best = best.checkpoint(eager=True)
+    return best.join(_path_texts(best, tables, tree, by, node, text), [*by, node]).select(*by, node, "path", score, "depth", "completed", "rank")
+
+
+def _path_texts(ends: DataFrame, tables: Sequence[DataFrame], tree: DataFrame, by: list[str], node: str, text: str) -> DataFrame:
+    """(by…, node, path): the texts from ``depth`` moves above each end down to it. The places on a way are told by the
+    binary digits of their distance, so the tables of 2^k moves (``follow``) give each of them once."""
+    places = ends.select(*by, node, "depth", F.col(node).alias("_at"), F.lit(0).alias("_far"))
+    for k in reversed(range(len(tables))):
+        far = tables[k].filter(F.col("_v.depth") == 2**k).select(*by, F.col("_from").alias("_at"), F.col("_to"))
+        more = places.filter(F.col("_far") + 2**k <= F.col("depth")).join(far, [*by, "_at"])
+        places = places.unionByName(more.select(*by, node, "depth", F.col("_to").alias("_at"), (F.col("_far") + 2**k).alias("_far")))
+    said = places.join(tree.select(*by, F.col(node).alias("_at"), F.col(text).alias("_text")), [*by, "_at"])
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_far")).alias("place"), "_text"))), lambda x: x["_text"]), "")
+    return said.groupBy(*by, node).agg(F.when(F.count("_text") == F.count("*"), whole).alias("path"))
 
 
 def _subtree_paths(tree: DataFrame, width: int, n: int, rounds: int, by: list[str], node: str, parent: str, text: str, score: str,
