@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepjudge.operators.ranking import number_within, top_k_within
-from stepjudge.operators.selection import EXACT, first_n
+from stepjudge.operators.selection import EXACT, before, first_n, last_of_first_n
 from stepjudge.session import checkpoint_dir
 
 
@@ -183,20 +183,32 @@ def random_cut(steps_n: str | Column, seed: int, key: Sequence[str]) -> Column:
 def balance(df: DataFrame, label: str, seed: int, key: Sequence[str]) -> DataFrame:
     """L4: keep all rows of the minority class and an equal-size keyed-random sample of the majority.
 
-    The input is checkpointed once (it is read by the class count and by the numbering); the
-    class counts are one aggregate with one row per class (two rows); the majority class is then
-    numbered by hash with the skew-safe numbering (a class is one huge group). Nothing else passes
-    through the driver."""
+    Only the labels and keys are checkpointed, to count the classes (one aggregate, one row per class) and to
+    find the last hash that stays (``selection.last_of_first_n``: passes over counts); rows are then cut by a filter,
+    so texts are neither written nor numbered. Of rows with one key at the cut, as many as are wanted stay.
+    Rows without a label are cut like a majority."""
     checkpoint_dir(df.sparkSession)
-    base = df.checkpoint(eager=True)
-    counts = {r[0]: r[1] for r in base.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    order = ["_u", *key]
+    d = df.withColumn("_u", hash_unit(seed, *key))
+    narrow = d.select(F.col(label).alias("_label"), *order).checkpoint(eager=True)
+    counts = {r[0]: r[1] for r in narrow.groupBy("_label").agg(F.count(F.lit(1))).collect()}
     n_true, n_false = counts.get(True, 0), counts.get(False, 0)
     target = min(n_true, n_false)
     major = n_true > n_false
-    d = base.withColumn("_u", hash_unit(seed, *key))
-    ranked = number_within(d, [label], ["_u", *key], "_r")
-    keep = (F.col(label) != F.lit(major)) | (F.col("_r") <= F.lit(target))
-    return ranked.filter(keep).drop("_u", "_r")
+    kept = d.filter(F.col(label) != F.lit(major))
+    for cut in (c for c in (major, None) if c in counts and target > 0):
+        of = F.col(label).eqNullSafe(F.lit(cut).cast("boolean"))
+        part = d.filter(of)
+        if counts[cut] > target:
+            mine = narrow.filter(F.col("_label").eqNullSafe(F.lit(cut).cast("boolean")))
+            last, ties = last_of_first_n(mine, target, order)
+            equal = before(mine, order, last, equal=True)
+            if mine.filter(equal).count() > ties:
+                part = part.filter(before(mine, order, last)).unionByName(part.filter(equal).limit(ties))
+            else:
+                part = part.filter(before(mine, order, last) | equal)
+        kept = kept.unionByName(part)
+    return kept.drop("_u")
 
 
 def top_distinct(df: DataFrame, col: str, k: int, digits: int) -> DataFrame:

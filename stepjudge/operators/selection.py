@@ -15,7 +15,7 @@ import math
 import re
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,6 +122,34 @@ def first_n(df: DataFrame, n: int, order_by: Sequence[str | Column], exact: int
     return df.where(found).unionByName(rest.orderBy(*sort).limit(need))
 
 
+def last_of_first_n(df: DataFrame, n: int, order_by: Sequence[str], exact: int = EXACT) -> tuple[Row | None, int]:
+    """(the n-th row's values of the ascending order columns, how many rows equal to it are among the first n);
+    (None, 0) for a table without rows or n = 0. A row of another table with the same columns is among the first n if
+    it comes before, so wide rows need not be written or sorted to be cut (see ``before``)."""
+    order = F.struct(*order_by)
+    size = df.count()
+    n = min(int(n), size)
+    if n <= 0:
+        return None, 0
+    found, ends = F.lit(True), (F.lit(True), n, size)
+    if n > exact:
+        found, ends = _refine(df, ordering(df, order_by), n, size, exact, F.lit(False), F.lit(True))
+    if ends is None:
+        last = df.where(found).agg(F.max(order)).first()[0]
+    elif ends[2] > exact and n > exact:  # equal in every order column
+        last = df.where(ends[0]).select(order).first()[0]
+    else:
+        last = df.where(ends[0]).orderBy(*order_by).limit(ends[1]).agg(F.max(order)).first()[0]
+    return last, n - df.where(before(df, order_by, last)).count()
+
+
+def before(df: DataFrame, order_by: Sequence[str], row: Row, equal: bool = False) -> Column:
+    """Whether a row comes before ``row`` in the ascending order (``equal``: has the same values)."""
+    here = F.struct(*order_by)
+    there = F.struct(*[F.lit(row[c]).cast(df.schema[c].dataType).alias(c) for c in order_by])
+    return here.eqNullSafe(there) if equal else here < there
+
+
 def _bucket(number: Column, low, high) -> Column:
     """The bucket of a number of [low, high]: monotone whatever the rounding, and low and high lie in different ones."""
     if not isinstance(low, float) and high - low < 2**53:  # exact differences: large numbers of one double stay apart
