@@ -222,7 +222,8 @@ def _path_texts(ends: DataFrame, tables: Sequence[DataFrame], tree: DataFrame, b
     for k in reversed(range(len(tables))):
         far = tables[k].filter(F.col("_v.depth") == 2**k).select(*by, F.col("_from").alias("_at"), F.col("_to"))
         more = places.filter(F.col("_far") + 2**k <= F.col("depth")).join(far, [*by, "_at"])
-        places = places.unionByName(more.select(*by, node, "depth", F.col("_to").alias("_at"), (F.col("_far") + 2**k).alias("_far")))
+        # a few rows a problem, read twice by the next digit: written
+        places = places.unionByName(more.select(*by, node, "depth", F.col("_to").alias("_at"), (F.col("_far") + 2**k).alias("_far"))).checkpoint(eager=True)
     said = places.join(tree.select(*by, F.col(node).alias("_at"), F.col(text).alias("_text")), [*by, "_at"])
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_far")).alias("place"), "_text"))), lambda x: x["_text"]), "")
     return said.groupBy(*by, node).agg(F.when(F.count("_text") == F.count("*"), whole).alias("path"))
