@@ -10,7 +10,7 @@ where its column is empty. A gold answer is the first of its columns that holds
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -152,8 +152,9 @@ def _filled(df: DataFrame, template: str) -> Column:
     return F.concat(*pieces)
 
 
-def gold_answer(df: DataFrame, benchmark: str, out: str = "gold", normalize: bool = True) -> DataFrame:
-    """The gold answer of each row for a benchmark, then normalised (H12) unless exempt.
+def gold_answer(df: DataFrame, benchmark: str, out: str = "gold", normalize: bool = True, read_only: bool = False) -> DataFrame:
+    """The gold answer of each row for a benchmark, then normalised (H12) unless exempt. With ``read_only`` an
+    answer that is to be normalised stays as it was read, so that those of several benchmarks can be normalised at once.
 
     Rows that carry a prepared solution and answer (``gt_cot``, ``gt``) give that answer; for a benchmark that
     reads its answers off solutions and normalises them, the prepared solution is read."""
@@ -173,15 +174,39 @@ def gold_answer(df: DataFrame, benchmark: str, out: str = "gold", normalize: boo
         for command, short in EXEMPT_COMMANDS.items():
             text = F.replace(text, F.lit(command), F.lit(short))
         return d.withColumn(out, text).drop("_gold_raw")
+    if read_only:
+        return d.withColumnRenamed("_gold_raw", out) if out not in df.columns else d.withColumn(out, F.col("_gold_raw")).drop("_gold_raw")
     if not normalize:
         return d.withColumn(out, strip_ws(F.col("_gold_raw"))).drop("_gold_raw")
     return normalize_answers(d, "_gold_raw", out).drop("_gold_raw")
 
 
-def question_text(df: DataFrame, benchmark: str, out: str = "question", gold: str | None = None) -> DataFrame:
-    """The question text per benchmark layout, with the hints the gold answer implies (when a ``gold`` column is given)."""
+def question_text(df: DataFrame, benchmark: str, out: str = "question", gold: str | None = None, strip: bool = True) -> DataFrame:
+    """The question text per benchmark layout, with the hints the gold answer implies (when a ``gold`` column is given).
+    Without ``strip`` the text is left for ``with_hints``."""
     question = _filled(df, layout(benchmark).ask)
     if gold is not None:
-        for hint, answers in HINTS.items():
-            question = F.concat(question, F.when(F.lower(F.col(gold)).isin(*answers), hint).otherwise(""))
-    return df.withColumn(out, strip_ws(question))
+        question = with_hints(question, F.col(gold))
+    return df.withColumn(out, strip_ws(question) if strip else question)
+
+
+def with_hints(question: Column, gold: Column) -> Column:
+    for hint, answers in HINTS.items():
+        question = F.concat(question, F.when(F.lower(gold).isin(*answers), hint).otherwise(""))
+    return question
+
+
+def questions_and_answers(tables: dict[str, DataFrame], keep: Sequence[str]) -> DataFrame:
+    """B13 + B14 over tables of several benchmarks: (layout, keep…, question, gold).
+
+    Questions are put together first, so rows take no other column along to their answers, and an answer that
+    benchmarks share is normalised once. Rows of exempt benchmarks stay where they are."""
+    rows: dict[bool, DataFrame] = {}
+    for name, table in tables.items():
+        part = gold_answer(question_text(table, name, "_asked", strip=False), name, "_read", read_only=True)
+        part = part.select(F.lit(name).alias("layout"), *keep, "_asked", "_read")
+        done = name in EXEMPT
+        rows[done] = rows[done].unionByName(part) if done in rows else part
+    parts = [df.withColumn("gold", F.col("_read")) if done else normalize_answers(df, "_read", "gold") for done, df in rows.items()]
+    asked = strip_ws(with_hints(F.col("_asked"), F.col("gold"))).alias("question")
+    return reduce(DataFrame.unionByName, [p.select("layout", *keep, asked, "gold") for p in parts])

@@ -11,7 +11,7 @@ from stepjudge.functions import answers as A
 from stepjudge.operators import metrics as M
 from stepjudge.operators import rows as R
 from stepjudge.operators.memo import map_remembered
-from stepjudge.plans.benchmarks import gold_answer, question_text
+from stepjudge.plans.benchmarks import gold_answer, question_text, questions_and_answers
 from stepjudge.plans.registry import query
 from stepjudge.session import checkpoint_dir
 from stepjudge.sources import fixtures as X
@@ -331,11 +331,7 @@ UNION ALL SELECT unnest(['olympiadbench', 'college_math', 'mawps', 'math', 'mine
 @query("benchmark_layouts", _LAYOUTS_SQL)
 def q_benchmark_layouts(spark, sf):
     """B13 + B14 over every layout: the question with its hints and the normalised gold answer."""
-    out = None
-    for name, rows in _layouts(spark, sf).items():
-        part = question_text(gold_answer(rows, name), name, gold="gold").select(F.lit(name).alias("layout"), "id", "question", "gold")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return questions_and_answers(_layouts(spark, sf), ["id"])
 
 
 @query("remembered_values", """

@@ -89,3 +89,26 @@ def test_best_of_n_writes_no_texts_but_of_the_best(spark):
     assert "text" not in tables[0].schema.simpleString()
     got = [tuple(r) for r in b.select("problem_id", "rank", "node_id", "path", "depth").orderBy("problem_id", "rank").collect()]
     assert got == [(1, 1, 20, "r n1 n2 n3 x", 4), (1, 2, 21, None, 3), (1, 3, 6, "r n1 n2 n3 n4 n5 n6 ", 6), (2, 1, 0, "alone", 0)]
+
+
+def test_layouts_meet_answers_with_their_question_alone(spark):
+    from stepjudge.plans import benchmarks as B
+
+    mix = spark.createDataFrame([(1, " q ", "x", "Yes", "no"), (2, "p", "y", "", "7.0"), (3, None, "z", None, None)], "id int, question string, other string, choice_answer string, answer string")
+    tables = {"gaokao2024_mix": mix, "amc23": mix, "carp_en": mix.withColumnRenamed("question", "content")}
+    joined = B.questions_and_answers(tables, ["id"])
+    assert _plan(joined).count("Join") == 1
+    one_by_one = [B.question_text(B.gold_answer(t, name), name, gold="gold").select(F.lit(name), "id", "question", "gold") for name, t in tables.items()]
+    assert _rows(joined) == _rows(one_by_one[0].union(one_by_one[1]).union(one_by_one[2]))
+    assert joined.columns == ["layout", "id", "question", "gold"]
+
+
+def test_short_keys_tell_answers_apart(spark):
+    from stepjudge.functions.answers import normalize_answers
+
+    long = "1" * 40
+    df = spark.createDataFrame([(0, long), (1, "1"), (2, None), (3, ""), (4, "1")], "id int, a string")
+    df = df.unionByName(spark.range(1).select(F.lit(5).alias("id"), F.md5(F.lit(long)).alias("a")))
+    got = {r["id"]: r["n"] for r in normalize_answers(df, "a", "n").collect()}
+    assert got[0] == long and got[1] == got[4] == "1" and got[2] is None and got[3] == "" and got[5] != long
+    assert "md5" not in [line for line in _plan(normalize_answers(df.filter("length(a) < 3"), "a", "n")).splitlines() if "Exchange" in line]
