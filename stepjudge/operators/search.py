@@ -71,6 +71,17 @@ def follow(start: DataFrame, step: DataFrame, by: Sequence[str], moves: int, com
     ``tables`` is filled with the tables, of 1, 2, 4, … moves.
     """
     by, moves = list(by), int(moves)
+
+    def moved(start: DataFrame, step: DataFrame) -> DataFrame:
+        s = step.select(*by, F.col("_from").alias("_at"), F.col("_to").alias("_next"), F.col("_v").alias("_add"))
+        hit = F.col("_next").isNotNull()
+        return start.join(s, [*by, "_at"], "left").withColumn("_at", F.coalesce("_next", "_at")).withColumn(
+            "_acc", F.when(hit, combine(F.col("_acc"), F.col("_add"))).otherwise(F.col("_acc"))).drop("_next", "_add")
+
+    if tables is None and moves < 4:  # as few joins without a second table
+        for _ in range(moves):
+            start = moved(start, step)
+        return start
     if moves > 1:  # each table is read by the next one, twice, and by those who stand on it: written once
         checkpoint_dir(step.sparkSession)
         step = step.checkpoint(eager=True)
@@ -78,10 +89,7 @@ def follow(start: DataFrame, step: DataFrame, by: Sequence[str], moves: int, com
         if tables is not None:
             tables.append(step)
         if moves & 1:
-            s = step.select(*by, F.col("_from").alias("_at"), F.col("_to").alias("_next"), F.col("_v").alias("_add"))
-            hit = F.col("_next").isNotNull()
-            start = start.join(s, [*by, "_at"], "left").withColumn("_at", F.coalesce("_next", "_at")).withColumn(
-                "_acc", F.when(hit, combine(F.col("_acc"), F.col("_add"))).otherwise(F.col("_acc"))).drop("_next", "_add")
+            start = moved(start, step)
         moves >>= 1
         if moves:
             s = step.select(*by, F.col("_from").alias("_to"), F.col("_to").alias("_next"), F.col("_v").alias("_add"))
@@ -111,13 +119,25 @@ def lookahead_text(tree: DataFrame, depth: int, by: Sequence[str] = ("problem_id
     return out.select(*by, node, F.col("_acc").alias("lookahead"))
 
 
+def _greedy_ends(tree: DataFrame, depth: int, by: list[str], node: str, parent: str, score: str) -> DataFrame:
+    """(by…, node, _acc, _moves): the score at the end of the greedy continuation, for nodes that have one. Only they are
+    followed: their best child first, then ``depth`` - 1 steps from it."""
+    step = _greedy(tree, by, node, parent, score, score)
+    if depth > 1:  # read by every move
+        checkpoint_dir(tree.sparkSession)
+        step = step.checkpoint(eager=True)
+    start = step.select(*by, F.col("_from").alias(node), F.col("_to").alias("_at"), F.col("_v").alias("_acc"))
+    return follow(start, step, by, depth - 1, lambda a, b: b).select(*by, node, "_acc", F.lit(True).alias("_moves"))
+
+
 def lookahead_score(tree: DataFrame, depth: int, by: Sequence[str] = ("problem_id",), node: str = "node_id",
                     parent: str = "parent_id", score: str = "score") -> DataFrame:
     """(by…, node, look): the score at the end of each node's greedy continuation of ``depth`` steps."""
     by = list(by)
-    start = tree.select(*by, node, F.col(node).alias("_at"), F.col(score).alias("_acc"))
-    out = follow(start, _greedy(tree, by, node, parent, score, score), by, depth, lambda a, b: b)
-    return out.select(*by, node, F.col("_acc").alias("look"))
+    if depth < 1:
+        return tree.select(*by, node, F.col(score).alias("look"))
+    out = tree.select(*by, node, score).join(_greedy_ends(tree, depth, by, node, parent, score), [*by, node], "left")
+    return out.select(*by, node, F.when(F.col("_moves"), F.col("_acc")).otherwise(F.col(score)).alias("look"))
 
 
 def _children(tree: DataFrame, by: Sequence[str], node: str, parent: str) -> DataFrame:
@@ -230,26 +250,28 @@ def _path_texts(ends: DataFrame, tables: Sequence[DataFrame], tree: DataFrame, b
 
 
 def _subtree_paths(tree: DataFrame, width: int, n: int, rounds: int, by: list[str], node: str, parent: str, text: str, score: str,
-                   stop: str, lookahead: int, write_every: int = 4) -> DataFrame:
+                   stop: str, lookahead: int, write_every: int = 8) -> DataFrame:
     """Diverse verifier tree search; the state is one row per (problem, subtree) and nothing else moves between rounds."""
     spark = tree.sparkSession
     checkpoint_dir(spark)
     ended = F.coalesce(F.col(stop) == "EOS", F.lit(False)) | (F.col(text) == "")
     kids = tree.filter(F.col(parent).isNotNull())
+    kids = kids.select(*by, parent, node, F.col(text).alias("_text"), F.col(score).alias("_own"), ended.alias("_ended"))
     if lookahead:
-        kids = kids.join(lookahead_score(tree, lookahead, by, node, parent, score), [*by, node])
+        kids = kids.join(_greedy_ends(tree, lookahead, by, node, parent, score), [*by, node], "left").withColumn("look", F.when(F.col("_moves"), F.col("_acc")).otherwise(F.col("_own")))
     else:
-        kids = kids.withColumn("look", F.col(score))
+        kids = kids.withColumn("look", F.col("_own"))
     kids = top_k_within(kids, [*by, parent], [F.col(node)], max(width, n // width), "_place", salt_cols=[*by, node])
-    kids = kids.select(*by, parent, node, F.col(text).alias("_text"), F.col(score).alias("_own"), "look", "_place", ended.alias("_ended"))
-    # read by every round and by the last fan-out: partitioned by problem and written once
-    kids = kids.repartition(shuffle_partitions(spark), *by).checkpoint(eager=True)
-    some = kids.filter(F.col("_place") <= width)
-    choice = some.groupBy(*by, F.col(parent).alias("_at")).agg(
-        F.max_by(F.struct(F.col(node).alias("to"), F.col("_text").alias("text"), F.col("_ended").alias("ended")), F.struct(F.col("look"), -F.col(node))).alias("_c"))
-    choice = choice.checkpoint(eager=True)
+    # one row per node that has children, with the first of them: written once, and all that the rounds, the last fan-out and the leaves need
+    kid = F.struct("_place", F.col(node).alias("to"), F.col("_text").alias("text"), F.col("_own").alias("own"), "look", F.col("_ended").alias("ended"))
+    families = kids.groupBy(*by, parent).agg(F.array_sort(F.collect_list(kid)).alias("_kids")).checkpoint(eager=True)
+    some = F.filter("_kids", lambda k: k["_place"] <= width)
+    best = F.array_max(F.transform(some, lambda k: F.struct(k["look"].alias("look"), (-k["to"]).alias("first"), k["text"].alias("text"), k["ended"].alias("ended"))))
+    choice = families.select(*by, F.col(parent).alias("_at"), best.alias("_b")).select(
+        *by, "_at", F.struct((-F.col("_b.first")).alias("to"), F.col("_b.text").alias("text"), F.col("_b.ended").alias("ended")).alias("_c"))
     roots = tree.filter(F.col(parent).isNull()).select(*by, F.col(node).alias(parent), F.col(text).alias("_root"))
-    first = kids.filter(F.col("_place") <= max(n // width, 1)).join(roots, [*by, parent])
+    first = families.join(roots, [*by, parent]).select(*by, "_root", F.inline(F.filter("_kids", lambda k: k["_place"] <= max(n // width, 1))))
+    first = first.select(*by, "_root", F.col("to").alias(node), F.col("text").alias("_text"), F.col("own").alias("_own"), F.col("ended").alias("_ended"))
     boxed = lambda c: F.coalesce(F.contains(c, F.lit("boxed{")), F.lit(False))
     path = F.concat("_root", "_text")
     state = first.select(*by, F.col(node).alias("subtree"), F.col(node).alias("_at"), path.alias("_path"), (~F.col("_ended") & ~boxed(path)).alias("_active"),
@@ -265,14 +287,15 @@ def _subtree_paths(tree: DataFrame, width: int, n: int, rounds: int, by: list[st
             state = state.checkpoint(eager=True)
             if r < rounds and state.filter("_active").isEmpty():
                 break
-    children = _children(tree, by, node, parent).select(*by, node, (F.col("_nchild") == 0).alias("_leaf"))
-    fan = state.filter(F.col("_from").isNotNull()).select(*by, "subtree", F.col("_from").alias(parent), "_before", "_round").join(some, [*by, parent])
-    fan = fan.select(*by, "subtree", node, F.concat("_before", "_text").alias("path"), F.when(F.col("_round") == rounds, F.col("_own")).otherwise(F.col("look")).alias(score),
-                     (F.col("_round") + 1).alias("depth"), "_ended")
+    fan = state.filter(F.col("_from").isNotNull()).select(*by, "subtree", F.col("_from").alias(parent), "_before", "_round").join(families.select(*by, parent, some.alias("_kids")), [*by, parent])
+    fan = fan.select(*by, "subtree", "_before", "_round", F.inline("_kids"))
+    fan = fan.select(*by, "subtree", F.col("to").alias(node), F.concat("_before", "text").alias("path"), F.when(F.col("_round") == rounds, F.col("own")).otherwise(F.col("look")).alias(score),
+                     (F.col("_round") + 1).alias("depth"), F.col("ended").alias("_ended"))
     alone = state.filter(F.col("_from").isNull()).select(*by, "subtree", F.col("subtree").alias(node), F.col("_path").alias("path"), F.col("_own").alias(score),
                                                          F.lit(1).alias("depth"), (~F.col("_active")).alias("_ended"))
-    out = fan.unionByName(alone).join(children, [*by, node])
-    done = F.col("_ended") | F.col("_leaf") | boxed(F.col("path"))
+    inner = families.select(*by, F.col(parent).alias(node), F.lit(False).alias("_leaf"))
+    out = fan.unionByName(alone).join(inner, [*by, node], "left")
+    done = F.col("_ended") | F.coalesce("_leaf", F.lit(True)) | boxed(F.col("path"))
     rank = F.row_number().over(Window.partitionBy(*by, "subtree").orderBy(F.col(score).desc(), F.col(node)))  # of width rows
     return out.select(*by, "subtree", node, "path", score, "depth", done.alias("completed"), rank.cast("bigint").alias("rank"))
 

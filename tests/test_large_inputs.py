@@ -112,3 +112,23 @@ def test_short_keys_tell_answers_apart(spark):
     got = {r["id"]: r["n"] for r in normalize_answers(df, "a", "n").collect()}
     assert got[0] == long and got[1] == got[4] == "1" and got[2] is None and got[3] == "" and got[5] != long
     assert "md5" not in [line for line in _plan(normalize_answers(df.filter("length(a) < 3"), "a", "n")).splitlines() if "Exchange" in line]
+
+
+def test_subtrees_write_one_row_per_family(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from stepjudge.operators import search as SE
+
+    rows = [(1, 0, None, "r ", 0.0, None)] + [(1, i, (i - 1) // 2, f"n{i} ", float(i % 3), "EOS" if i == 9 else None) for i in range(1, 15)]
+    rows += [(2, 0, None, "alone", 1.0, None), (3, 0, None, "box", 1.0, None), (3, 1, 0, "ed{ ", 1.0, None), (3, 2, 1, "x", 1.0, None)]
+    tree = spark.createDataFrame(rows, "problem_id int, node_id long, parent_id long, text string, score double, stop_reason string")
+    written, checkpoint = [], Classic.checkpoint
+    monkeypatch.setattr(Classic, "checkpoint", lambda df, eager=True: written.append(df) or checkpoint(df, eager))
+    b = SE.best_paths(tree, keep=2, n=4, rounds=4, strategy="dvts", lookahead=2)
+    got = [tuple(r) for r in b.select("problem_id", "subtree", "rank", "node_id", "path", "score", "depth", "completed").orderBy("problem_id", "subtree", "rank").collect()]
+    assert got == [
+        (1, 1, 1, 8, "r n1 n3 n8 ", 2.0, 3, True), (1, 1, 2, 7, "r n1 n3 n7 ", 1.0, 3, True),
+        (1, 2, 1, 11, "r n2 n5 n11 ", 2.0, 3, True), (1, 2, 2, 12, "r n2 n5 n12 ", 0.0, 3, True),
+        (3, 1, 1, 1, "boxed{ ", 1.0, 1, True)]
+    wide = [df for df in written if "_text" in df.columns or "text" in df.columns]
+    assert not wide and sum("_kids" in df.columns for df in written) == 1
