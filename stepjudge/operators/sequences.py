@@ -31,41 +31,39 @@ def step_sequences(steps: DataFrame, questions: DataFrame, by: Sequence[str] = (
     that keeps separators through the first error; attention mask; truncation to ``max_length``;
     with ``solution_label`` (a column of ``questions``) every loss position takes the solution's label."""
     by = list(by)
-    per = steps.select(*by, step_idx, tokenize(F.concat(F.lit("\nStep "), (F.col(step_idx) + 1).cast("string"), F.lit(": "),
-                                                        F.col(step))).alias("_tok"),
-                       step_label(label).alias("_ok"))
-    # first error per solution (aggregate, joined back) for the first-error mask
-    fe = per.groupBy(*by).agg(F.min(F.when(~F.col("_ok"), F.col(step_idx))).alias("_fe"), F.max(step_idx).alias("_last"))
-    per = per.join(fe, by)
-    n = F.size("_tok")
-    zeros = F.array_repeat(F.lit(0), n)
-    pads = F.array_repeat(F.lit(pad_id), n)
-    keep_first = F.col("_fe").isNull() | (F.col(step_idx) <= F.col("_fe"))
-    loss_here = (F.col(step_idx) == F.col("_last")) if last_only else F.lit(True)
-    per = per.select(
-        *by, step_idx,
-        F.concat("_tok", F.array(F.lit(sep_id))).alias("ids"),
-        F.concat(pads, F.array(F.when(F.col("_ok"), pos_id).otherwise(neg_id))).alias("labels"),
-        F.concat(zeros, F.array(F.when(loss_here, 1).otherwise(0))).alias("loss_mask"),
-        F.concat(zeros, F.array(F.when(keep_first, 1).otherwise(0))).alias("first_error_mask"),
-    )
-    packed = per.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(step_idx, "ids", "labels", "loss_mask", "first_error_mask"))).alias("_s"))
-    q = questions.select(*by, tokenize(F.col(question)).alias("_q"))
-    j = packed.join(q, by)
-    qz = F.array_repeat(F.lit(0), F.size("_q"))
-    qp = F.array_repeat(F.lit(pad_id), F.size("_q"))
-
-    def cat(field, head):
-        return F.concat(head, F.flatten(F.transform("_s", lambda x: x[field])))
-
-    out = j.select(*by, cat("ids", F.col("_q")).alias("input_ids"), cat("labels", qp).alias("labels"),
-                   cat("loss_mask", qz).alias("loss_mask"), cat("first_error_mask", qz).alias("loss_mask_with_first_error_only"))
+    # a solution's steps and its questions meet in one grouping, a step as its tokens and one mark alone; labels and
+    # masks are written from the grouped steps. Steps of one place go by tokens, then by label id: the lesser is not marked
+    marks_ok = pos_id > neg_id
+    tokens = tokenize(F.concat(F.lit("\nStep "), (F.col(step_idx) + 1).cast("string"), F.lit(": "), F.col(step)))
+    per = steps.select(*by, F.col(step_idx).alias("_at"), F.concat(tokens, F.array(F.lit(sep_id))).alias("_ids"), (step_label(label) == F.lit(marks_ok)).alias("_mark"))
+    ok = lambda x: x["_mark"] if marks_ok else ~x["_mark"]
+    asked = questions.select(*by, tokenize(F.col(question)).alias("_q"), *([] if solution_label is None else [step_label(solution_label).alias("_sol_ok")]))
+    packs = {"_s": ["_at", "_ids", "_mark"], "_questions": asked.columns[len(by):]}
+    rows = per.select(*by, F.struct(*packs["_s"]).alias("_s")).unionByName(asked.select(*by, F.struct(*packs["_questions"]).alias("_questions")), allowMissingColumns=True)
+    for b in by:
+        rows = rows.filter(F.col(b).isNotNull())
+    packed = rows.groupBy(*by).agg(F.array_sort(F.collect_list("_s")).alias("_s"), F.collect_list("_questions").alias("_questions"))
+    packed = packed.filter(F.size("_s") > 0).withColumn("_question", F.explode("_questions"))
+    fe = F.array_min(F.transform(F.filter("_s", lambda x: ~ok(x)), lambda x: x["_at"]))
+    last = F.array_max(F.transform("_s", lambda x: x["_at"]))
+    j = packed.select(*by, "_s", "_question.*", fe.alias("_fe"), last.alias("_last"))
+    loss = lambda x: F.when(x["_at"] == F.col("_last"), 1).otherwise(0) if last_only else F.lit(1)
+    keep = lambda x: F.when(F.col("_fe").isNull() | (x["_at"] <= F.col("_fe")), 1).otherwise(0)
+
+    def marked(fill, separator):
+        """``fill`` on every token, but ``separator`` at the end of each step."""
+        of_step = lambda x: F.concat(F.array_repeat(F.lit(fill), F.size(x["_ids"]) - 1), F.array(separator(x)))
+        return F.concat(F.array_repeat(F.lit(fill), F.size("_q")), F.flatten(F.transform("_s", of_step)))
+
+    out = j.select(*by, F.concat("_q", F.flatten(F.transform("_s", lambda x: x["_ids"]))).alias("input_ids"),
+                   marked(pad_id, lambda x: F.when(ok(x), pos_id).otherwise(neg_id)).alias("labels"),
+                   marked(0, loss).alias("loss_mask"), marked(0, keep).alias("loss_mask_with_first_error_only"),
+                   *([] if solution_label is None else ["_sol_ok"]))
     out = out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
     if solution_label is not None:
         # "same label everywhere": every loss position carries the solution's label (an explicit
         # option here; the reference's switch never takes effect)
-        lab = questions.select(*by, step_label(solution_label).alias("_sol_ok"))
-        out = out.join(lab, by).withColumn("labels", F.zip_with(
+        out = out.withColumn("labels", F.zip_with(
             "labels", "loss_mask", lambda l, m: F.when(m == 1, F.when(F.col("_sol_ok"), pos_id).otherwise(neg_id)).otherwise(l))
         ).drop("_sol_ok")
     if max_length is not None:

@@ -132,3 +132,19 @@ def test_subtrees_write_one_row_per_family(spark, monkeypatch):
         (3, 1, 1, 1, "boxed{ ", 1.0, 1, True)]
     wide = [df for df in written if "_text" in df.columns or "text" in df.columns]
     assert not wide and sum("_kids" in df.columns for df in written) == 1
+
+
+def test_sequences_group_steps_once(spark):
+    from stepjudge.operators.sequences import step_sequences
+
+    tok = lambda c: F.transform(F.split(c, r"\s+"), lambda w: F.length(w))
+    steps = spark.createDataFrame([(1, 0, "a", "+"), (1, 1, "bb", "-"), (1, 2, "c", "+"), (1, 2, "c", "-"), (2, 0, "d", "+"), (None, 0, "e", "+")], "p int, i int, s string, l string")
+    qs = spark.createDataFrame([(1, "q", "-"), (1, "qq", "+"), (None, "n", "+"), (9, "none", "+")], "p int, q string, sol string")
+    out = step_sequences(steps, qs, ["p"], "i", "s", "l", "q", tokenize=tok, pos_id=7, solution_label="sol")
+    assert "Join" not in _plan(out)
+    got = sorted(out.collect(), key=lambda r: r["input_ids"])
+    assert [r["p"] for r in got] == [1, 1] and [r["input_ids"][0] for r in got] == [1, 2]
+    assert got[0]["labels"] == [0] + [0, 0, 0, 0, 3] * 4 and got[1]["labels"] == [0] + [0, 0, 0, 0, 7] * 4
+    assert got[0]["loss_mask"] == [0] + [0, 0, 0, 0, 1] * 4 and got[0]["loss_mask_with_first_error_only"] == [0] + [0, 0, 0, 0, 1] * 2 + [0] * 10
+    own = step_sequences(steps, qs.filter("p = 1").limit(1), ["p"], "i", "s", "l", "q", tokenize=tok).first()
+    assert [x for x in own["labels"] if x] == [2, 3, 2, 3] and own["attention_mask"] == [1] * 21
