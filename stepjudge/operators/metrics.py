@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepjudge.operators.ranking import running
-from stepjudge.operators.votes import exact, first_sweep, later_ns, sweep
+from stepjudge.operators.votes import exact, sweep
 from stepjudge.session import checkpoint_dir
 
 
@@ -94,28 +94,30 @@ def scaling_table(df: DataFrame, ns: Sequence[int], by: Sequence[str] = ("proble
     """``n, problems, acc_naive, acc_weighted, acc_maj, cov`` — votes, coverage and accuracy
     for every n in one plan (three aggregation levels, no job per n).
 
-    Only correctness is needed here, not the winning texts: an answer group carries ``hit`` (its key is
-    the gold key). Every candidate is aggregated once, under the least n that holds it, and the partial
-    sums are added up per n. Scores are compared as they are and summed exactly (``votes.exact``), so
-    this table and the votes never disagree.
+    Only correctness is needed here, not the winning texts: an answer group is a hit when its key is the gold
+    key. Every candidate is aggregated once, into one row per answer group with the figures of every n, and groups
+    into one row per problem; rows per n are told apart only then. Scores are compared as they are and summed
+    exactly (``votes.exact``), so this table and the votes never disagree.
     """
-    s = first_sweep(df, ns, idx).groupBy(*by, "_n", key).agg(
-        F.count(F.lit(1)).alias("_cnt"),
-        F.sum(exact(df, score)).alias("_w"),
-        F.min(idx).alias("_fi"),
-        F.max((F.col(key) == F.col(gold)).cast("int")).alias("_hit"),
-        F.max(F.struct(F.col(score), -F.col(idx))).alias("_best"),
-    )
-    lvl1 = later_ns(s, ns).groupBy(*by, "n", key).agg(
-        F.sum("_cnt").alias("_cnt"), F.sum("_w").alias("_w"), F.min("_fi").alias("_fi"), F.max("_hit").alias("_hit"), F.max("_best").alias("_best"))
-    lvl2 = lvl1.groupBy(*by, "n").agg(
-        F.max_by("_hit", "_best").alias("naive"),
-        F.max_by("_hit", F.struct(F.col("_w"), -F.col("_fi"))).alias("weighted"),
-        F.max_by("_hit", F.struct(F.col("_cnt"), -F.col("_fi"))).alias("maj"),
-        F.max("_hit").alias("covered"),
-    )
+    ns = sorted({int(n) for n in ns})
+    at, s, hit = F.col(idx), exact(df, score), F.col(key) == F.col(gold)
+    per_n = lambda make: [make(n, f"{n}") for n in ns]
+    groups = df.where(at < ns[-1]).groupBy(*by, key).agg(
+        F.min(idx).alias("_fi"), F.min(F.when(hit, at)).alias("_right"), F.min(F.when(~hit, at)).alias("_wrong"),
+        *per_n(lambda n, i: F.count(F.when(at < n, 1)).alias("_cnt" + i)),
+        *per_n(lambda n, i: F.sum(F.when(at < n, s)).alias("_w" + i)),
+        *per_n(lambda n, i: F.max(F.when(at < n, F.struct(F.col(score), -at))).alias("_best" + i)))
+
+    def votes(n: int, i: str) -> Column:
+        there = F.col("_fi") < n
+        hits = F.when(F.col("_right") < n, 1).when(F.col("_wrong") < n, 0)
+        ranked = lambda c: F.when(there, F.struct(F.col(c + i), -F.col("_fi")))
+        return F.struct(F.lit(n).cast("bigint").alias("n"), F.bool_or(there).alias("there"), F.max_by(hits, F.col("_best" + i)).alias("naive"),
+                        F.max_by(hits, ranked("_w")).alias("weighted"), F.max_by(hits, ranked("_cnt")).alias("maj"), F.max(hits).alias("covered"))
+
+    of_n = groups.groupBy(*by).agg(F.array(*per_n(votes)).alias("_of_n")).select(F.inline("_of_n")).where("there")
     pct = lambda c: F.avg(F.col(c).cast("double")) * 100
-    return lvl2.groupBy(F.col("n").cast("bigint").alias("n")).agg(
+    return of_n.groupBy("n").agg(
         F.count(F.lit(1)).alias("problems"), pct("naive").alias("acc_naive"), pct("weighted").alias("acc_weighted"),
         pct("maj").alias("acc_maj"), pct("covered").alias("cov"))
 

@@ -148,3 +148,15 @@ def test_sequences_group_steps_once(spark):
     assert got[0]["loss_mask"] == [0] + [0, 0, 0, 0, 1] * 4 and got[0]["loss_mask_with_first_error_only"] == [0] + [0, 0, 0, 0, 1] * 2 + [0] * 10
     own = step_sequences(steps, qs.filter("p = 1").limit(1), ["p"], "i", "s", "l", "q", tokenize=tok).first()
     assert [x for x in own["labels"] if x] == [2, 3, 2, 3] and own["attention_mask"] == [1] * 21
+
+
+def test_scaling_table_has_one_row_per_answer_group(spark):
+    from stepjudge.operators.metrics import scaling_table
+
+    rows = [(1, 0, "a", 1.0, "b"), (1, 1, "b", 2.0, "b"), (1, 2, "b", 0.5, "b"), (2, 1, "a", 1.0, "a"), (2, 9, "b", 9.0, "a"), (3, None, "a", 1.0, "a"), (4, 0, None, None, "a"), (4, 1, "a", None, "a")]
+    df = spark.createDataFrame(rows, "problem_id int, idx int, answer_key string, score double, gold_key string")
+    t = scaling_table(df, [1, 2, 4, 4])
+    got = {r["n"]: tuple(r)[1:] for r in t.collect()}
+    assert got[1] == (2, 0.0, 0.0, 0.0, 0.0)
+    assert got[2][0] == got[4][0] == 3 and got[4][4] == 100.0
+    assert "Generate explode" not in _plan(t)
