@@ -80,7 +80,8 @@ def apply_by_length(df: DataFrame, factory: Callable[[], Scorer], schema: str, l
             yield fn(held[cols].reset_index(drop=True))
 
     batched = batch_by_length(df, length, budget).withColumn("_b", F.concat_ws("-", "batch_id.length_class", "batch_id.place"))
-    return batched.select(*cols, "_b").repartition("_b").sortWithinPartitions("_b").mapInPandas(run, schema)
+    # batches lie in no order of length: were the longest texts neighbours, Arrow's batches of them would be many times the others
+    return batched.select(*cols, "_b").repartition("_b").sortWithinPartitions(F.xxhash64("_b"), "_b").mapInPandas(run, schema)
 
 
 def padding_share(df: DataFrame, length: str, batch: str = "batch_id") -> DataFrame:

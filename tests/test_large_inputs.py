@@ -160,3 +160,16 @@ def test_scaling_table_has_one_row_per_answer_group(spark):
     assert got[1] == (2, 0.0, 0.0, 0.0, 0.0)
     assert got[2][0] == got[4][0] == 3 and got[4][4] == 100.0
     assert "Generate explode" not in _plan(t)
+
+
+def test_batches_by_length_are_no_neighbours(spark):
+    from itertools import groupby
+
+    from stepjudge.operators import scoring as SC
+
+    df = spark.range(3000).select("id", F.array(F.lit("s")).alias("steps"), (F.col("id") % 300 + 1).cast("int").alias("length"))
+    out = SC.apply_by_length(df, SC.length_scorer, "id bigint, length int, step_scores array<double>", "length", budget=500)
+    got = out.withColumn("_p", F.spark_partition_id()).withColumn("_c", SC.length_class(F.col("length"))).collect()
+    assert len(got) == 3000
+    runs = [c for _, rows in groupby(got, lambda r: r["_p"]) for c, _ in groupby(rows, lambda r: r["_c"])]
+    assert len(runs) > 2 * len({(r["_p"], r["_c"]) for r in got})
