@@ -13,11 +13,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stepjudge.session import shuffle_partitions
+from stepjudge.session import checkpoint_dir, shuffle_partitions
 from stepjudge.sources.publication import publish, published, read_published
 
 
+# short types whose values are equal just when their texts are
+_EXACT = (T.IntegralType, T.BooleanType, T.DateType, T.DecimalType)
+
+
 def _digest(value: Column) -> Column:
     return F.md5(value.cast("string"))
 
@@ -34,10 +39,17 @@ def remembered(spark: SparkSession, path: str, version: str) -> tuple[DataFrame
 def map_remembered(df: DataFrame, col: str, fn: Callable[[Column], Column], name: str, path: str, version: str) -> DataFrame:
     """C6 with a memory: ``fn`` of every value of ``col``, as column ``name``; NULL for NULL.
 
-    ``version`` names the function (its code and options): another version has a table of its own. Results
-    are joined back by digest, so values are shuffled once, to be told apart."""
+    ``version`` names the function (its code and options): another version has a table of its own. Values are told apart
+    once, before they get digests, and written; results meet their rows by a value that is short, else by digest."""
     spark = df.sparkSession
-    values = df.where(F.col(col).isNotNull()).groupBy(_digest(F.col(col)).alias("_digest")).agg(F.any_value(col).alias("_value"))
+    checkpoint_dir(spark)
+    kind = df.schema[col].dataType
+    exact, given = isinstance(kind, _EXACT), df.where(F.col(col).isNotNull()).select(F.col(col).alias("_value"))
+    if exact or kind == T.StringType():
+        values = given.distinct().select(_digest(F.col("_value")).alias("_digest"), "_value")
+    else:
+        values = given.groupBy(_digest(F.col("_value")).alias("_digest")).agg(F.any_value("_value").alias("_value"))
+    values = values.checkpoint(eager=True)
     while True:
         known, n = remembered(spark, path, version)
         unseen = values if known is None else values.join(known.select("_digest"), "_digest", "left_anti")
@@ -48,4 +60,8 @@ def map_remembered(df: DataFrame, col: str, fn: Callable[[Column], Column], name
         publish(part, path, f"{version}-{n}")  # lost to another run: look at what it knows, and go on
     if known is None:
         return df.withColumn(name, fn(F.col(col)))  # no value at all: the column's type alone matters
-    return df.withColumn("_digest", _digest(F.col(col))).join(known.withColumnRenamed("_result", name), "_digest", "left").drop("_digest")
+    known = known.withColumnRenamed("_result", name)
+    if exact:
+        known = values.join(known, "_digest").select("_value", name)
+        return df.join(known, F.col(col) == F.col("_value"), "left").drop("_value")
+    return df.withColumn("_digest", _digest(F.col(col))).join(known, "_digest", "left").drop("_digest")

@@ -173,3 +173,22 @@ def test_batches_by_length_are_no_neighbours(spark):
     assert len(got) == 3000
     runs = [c for _, rows in groupby(got, lambda r: r["_p"]) for c, _ in groupby(rows, lambda r: r["_c"])]
     assert len(runs) > 2 * len({(r["_p"], r["_c"]) for r in got})
+
+
+def test_remembered_values_are_told_apart_once(spark, tmpdir_path):
+    from stepjudge.operators.memo import map_remembered
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(len(b))
+            yield b
+
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([3, 3, None, 5])], "id int, v int").mapInPandas(seen, "id int, v int")
+    out = map_remembered(df, "v", lambda c: c * 2, "twice", tmpdir_path, "v1")
+    assert calls.value == 4
+    assert out.columns == ["id", "v", "twice"] and _rows(out) == [(0, 3, 6), (1, 3, 6), (2, None, None), (3, 5, 10)]
+    assert "md5" not in _plan(out)
+    zeros = spark.createDataFrame([(0.0,), (-0.0,), (None,)], "v double")
+    assert [r[1] for r in map_remembered(zeros, "v", lambda c: c.cast("string"), "s", tmpdir_path, "v2").orderBy("s").collect()] == [None, "-0.0", "0.0"]
