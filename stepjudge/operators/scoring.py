@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from stepjudge.functions.answers import split_steps
 from stepjudge.functions.verdicts import step_label_from_score
-from stepjudge.operators.ranking import number_within
+from stepjudge.operators.ranking import number_within, running, tasks_for
 from stepjudge.session import checkpoint_dir
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
@@ -140,10 +140,15 @@ def pivot_options(df: DataFrame, key: str, pos: str, token: str, rank: str, logp
     """(key, pos, top, yes, no): a table with one row per listed token (key, pos, token, rank, logprob)
     turned into one row per position: its top-ranked token and the log-probabilities of both options,
     NULL for an option that isn't listed. Spaces around tokens are ignored; of an option listed twice
-    the larger counts."""
+    the larger counts.
+
+    Rows are counted, dealt to their positions' tasks and grouped there alone: with a text among the results, Spark
+    would sort every split it reads to group it before the shuffle as well, and that sort grows with the split."""
     t, lp = F.trim(F.col(token)), F.col(logprob)
-    of = lambda option: F.max(F.when(t == option, lp))
-    return df.groupBy(key, pos).agg(F.min(F.when(F.col(rank) == 1, F.col(token))).alias("top"), of(pos_token).alias("yes"), of(neg_token).alias("no"))
+    of = lambda option: F.when(t == option, lp)
+    listed = df.select(key, pos, F.when(F.col(rank) == 1, F.col(token)).alias("top"), of(pos_token).alias("yes"), of(neg_token).alias("no"))
+    dealt = listed.repartition(tasks_for(df.count()), key, pos)
+    return dealt.groupBy(key, pos).agg(F.min("top").alias("top"), F.max("yes").alias("yes"), F.max("no").alias("no"))
 
 
 def scores_from_logprobs(df: DataFrame, key: str, pos_col: str, yes: str, no: str, top: str,
@@ -157,17 +162,24 @@ def scores_from_logprobs(df: DataFrame, key: str, pos_col: str, yes: str, no: st
     ``n_steps``: one row per verified prefix), a key without any decision gives NULL for each of its
     steps; a key whose decisions are all skipped has no rows.
     """
-    t = F.trim(F.col(top))
-    decisions = df.filter(t.isin(pos_token, neg_token))
-    d = decisions.withColumn("confidence", confidence(yes, no, temperature)).filter(F.col(yes).isNotNull() & F.col(no).isNotNull())
-    d = number_within(d.select(key, pos_col, "confidence"), [key], [pos_col], "step_idx", base=0)
-    out = d.select(key, "step_idx", pos_col, "confidence")
+    given = F.col(yes).isNotNull() & F.col(no).isNotNull()
+    decisions = df.filter(F.trim(F.col(top)).isin(pos_token, neg_token))
     if steps is None:
-        return out
-    missing = steps.select(key, n_steps).join(decisions.select(key), key, "left_anti").filter(F.col(n_steps) > 0)
-    none = missing.select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n_steps).cast("bigint") - 1)).alias("step_idx"))
-    none = none.withColumn(pos_col, F.lit(None).cast(df.schema[pos_col].dataType)).withColumn("confidence", F.lit(None).cast("double"))
-    return out.unionByName(none)
+        d = decisions.filter(given).select(key, pos_col, confidence(yes, no, temperature).alias("confidence"))
+        d = number_within(d, [key], [pos_col], "step_idx", base=0, by_rows=True)
+        return d.select(key, "step_idx", pos_col, "confidence")
+    # a key's row of ``steps`` comes after its decisions, so it sees how many there are: nothing is joined
+    d = decisions.select(key, pos_col, confidence(yes, no, temperature).alias("confidence"), given.cast("int").alias("_given"))
+    last = steps.filter(F.col(n_steps) > 0).select(key, F.col(n_steps).cast("bigint").alias("_n"))
+    both = d.unionByName(last, allowMissingColumns=True)
+    both = running(both, [key], [F.col("_n").isNotNull(), F.col(pos_col)], {
+        "_place": ("sum", F.coalesce("_given", F.lit(0))),
+        "_seen": ("sum", F.when(F.col("_given").isNotNull(), 1).otherwise(0)),
+    }, by_rows=True)
+    # as in a join, a NULL key has no decisions
+    none = F.col("_n").isNotNull() & (F.col(key).isNull() | (F.col("_seen") == 0))
+    idx = F.when(F.col("_given") == 1, F.array(F.col("_place") - 1)).when(none, F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))
+    return both.select(key, F.explode(idx).alias("step_idx"), pos_col, "confidence")
 
 
 def combine_verifications(df: DataFrame, by: Sequence[str], round_col: str, decision: str, text: str | None = None,

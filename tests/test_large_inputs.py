@@ -192,3 +192,37 @@ def test_remembered_values_are_told_apart_once(spark, tmpdir_path):
     assert "md5" not in _plan(out)
     zeros = spark.createDataFrame([(0.0,), (-0.0,), (None,)], "v double")
     assert [r[1] for r in map_remembered(zeros, "v", lambda c: c.cast("string"), "s", tmpdir_path, "v2").orderBy("s").collect()] == [None, "-0.0", "0.0"]
+
+
+def test_options_are_grouped_after_the_shuffle_alone(spark, monkeypatch):
+    from stepjudge.operators import ranking as RK
+    from stepjudge.operators import scoring as SC
+
+    rows = [(1, 0, " Yes", 1, -0.1), (1, 0, "No", 2, -2.0), (1, 0, "No ", 3, -1.5), (1, 1, "The", 1, -0.1), (1, 2, "Yes", 2, -0.3), (1, 2, "x", 3, None), (None, 0, "No", 1, -0.2), (None, 0, "Yes", 2, None)]
+    df = spark.createDataFrame(rows, "k int, pos int, token string, rank int, lp double")
+    monkeypatch.setattr(RK, "TASK_ROWS", 3)
+    wide = SC.pivot_options(df, "k", "pos", "token", "rank", "lp")
+    assert _rows(wide) == _rows(spark.createDataFrame([(1, 0, " Yes", -0.1, -1.5), (1, 1, "The", None, None), (1, 2, None, -0.3, None), (None, 0, "No", None, -0.2)], "k int, pos int, top string, yes double, no double"))
+    plan = _plan(SC.pivot_options(df, "k", "pos", "token", "rank", "lp"))
+    assert plan.count("Exchange ") == 1 and ", 3), REPARTITION_BY_NUM" in plan
+    sent = plan[plan.index("Exchange "):]
+    assert "Aggregate" not in sent and "Sort" not in sent
+
+
+def test_step_scores_join_nothing(spark, monkeypatch):
+    from stepjudge.operators import ranking as RK
+    from stepjudge.operators import scoring as SC
+
+    rows = [(1, p, -0.1, -2.0 if p % 3 else None, "Yes") for p in range(10)] + [(2, 0, -0.1, -0.2, "The"), (3, 0, None, -0.1, "No"), (None, 4, -0.1, -0.1, "No"), (None, None, -0.1, -0.1, "No")]
+    df = spark.createDataFrame(rows, "k int, pos int, yes double, no double, top string")
+    steps = spark.createDataFrame([(1, 10), (1, 10), (2, 2), (2, 1), (3, 1), (4, 0), (5, None), (None, 2)], "k int, n_steps int")
+    given = [(1, i, p, False) for i, p in enumerate(p for p in range(10) if p % 3)] + [(None, 0, None, False), (None, 1, 4, False)]
+    none = [(k, i, None, True) for k, n in ((2, 2), (2, 1), (None, 2)) for i in range(n)]
+    scores = lambda: SC.scores_from_logprobs(df, "k", "pos", "yes", "no", "top", steps=steps)
+    got = lambda s: _rows(s.select("k", "step_idx", "pos", F.col("confidence").isNull()))
+    assert got(scores()) == sorted(given + none, key=repr)
+    assert "Join" not in _plan(scores())
+    monkeypatch.setattr(RK, "TASK_ROWS", 5)
+    assert ", 4), REPARTITION_BY_NUM" in _plan(scores())  # 13 decisions, 6 rows of steps
+    monkeypatch.setattr(RK, "HOT_GROUP_ROWS", 4)
+    assert got(scores()) == sorted(given + none, key=repr)
